@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, decontam, exact_dedup, sharding
+from orrery.llm import bpe, chat, decontam, exact_dedup, license_scan, quality, sharding, simhash, token_count, warc
 from orrery.session import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -15,6 +33,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,16 +53,31 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {
-    "op5_chat_format": op5_chat_format,
-    "op8_sharding": op8_sharding,
-    "op9_exact_dedup": op9_exact_dedup,
-    "op10_decontamination": op10_decontamination,
-}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_byte_bpe, op4_warc, op5_chat_format, op6_token_count, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
 
 _LOWER = f"'{decontam.UPPER}', '{decontam.LOWER}'"
+_TEMPLATES = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in license_scan.TEMPLATES.items())
 
 ORACLES = {
+    "op1_license_scan": rf"""
+WITH seg AS (
+  SELECT doc_id, s FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM documents
+    UNION ALL SELECT doc_id, text FROM documents)
+  WHERE s <> ''
+), num AS (SELECT row_number() OVER () AS sid, doc_id, regexp_extract_all(translate(s, {_LOWER}), '[a-z0-9]+') AS w FROM seg),
+tpl AS (SELECT name, regexp_extract_all(translate(t, {_LOWER}), '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) AS v(name, t)),
+sb AS (SELECT sid, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT sid, w, unnest(range(1, len(w))) AS i FROM num) GROUP BY ALL),
+tb AS (SELECT name, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT name, w, unnest(range(1, len(w))) AS i FROM tpl) GROUP BY ALL),
+hit AS (SELECT sid, name, sum(least(sb.n, tb.n)) AS common FROM sb JOIN tb USING (g) GROUP BY ALL),
+sc AS (SELECT sid, doc_id, name, 2 * common::DOUBLE / (len(num.w) + len(tpl.w) - 2) AS score FROM hit JOIN num USING (sid) JOIN tpl USING (name)),
+good AS (SELECT * FROM sc WHERE score >= {license_scan.THRESHOLD}),
+best AS (SELECT doc_id, count(DISTINCT sid) AS n_matches, arg_min(name, (-score, name)) AS license_id, round(max(score), 9) AS score FROM good GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_segments, coalesce(n_matches, 0)::BIGINT AS n_matches, license_id, score
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id)
+""",
     "op5_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
