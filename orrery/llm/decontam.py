@@ -28,12 +28,26 @@ ANCHORS = 2
 BROADCAST_ROWS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of other characters than these; a capital is one before it is lower-cased.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+IN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Bits of the filter that keeps texts without an alignment from being moved: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def lowered(word: Column) -> Column:
+    """Lower-cased in A-Z alone; only words beyond ASCII need the slow way."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+def raw_words(text: Column) -> Column:
+    """Words as written; null has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), APART), "")
 
 
 def words(text: Column) -> Column:
-    """Words of a text, lower-cased in A-Z alone; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words lower-cased in A-Z alone; null has none."""
+    return F.transform(raw_words(text), lowered)
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -43,7 +57,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): occurrences over all documents of the terms asked for."""
-    tokens = docs.select(F.explode(words(F.col(text_col))).alias("term"))
+    tokens = docs.select(F.explode(raw_words(F.col(text_col))).alias("word")).select(lowered(F.col("word")).alias("term"))
     return tokens.join(_bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -52,7 +66,8 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
 
     Positions are gathered before the shuffle by the task that read the document.
     """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
+    tokens = tokens.select("doc_id", "pos", lowered(F.col("word")).alias("term"))
     found = tokens.join(_bounded(terms.select("term").distinct()), "term")
     return cut(found.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")), "postings")
 
@@ -87,7 +102,7 @@ def alignments(index: DataFrame, wanted: DataFrame) -> DataFrame:
     shifted = index.join(_bounded(at), "term").select("doc_id", "bid", "at", F.transform("positions", lambda p: p - F.col("at")).alias("shifts"))
     lists = shifted.groupBy("doc_id", "bid").agg(F.collect_list(F.struct("at", "shifts")).alias("lists"))
     wins = wanted.groupBy("bid", "start").agg(F.sort_array(F.collect_set("at")).alias("need")).groupBy("bid").agg(F.collect_set("need").alias("needs"))
-    joined = lists.join(_bounded(wins), "bid")
+    joined = lists.join(_bounded(wins), "bid").where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("lists.at"))) == 0))
 
     def of(at: Column) -> Column:
         return F.flatten(F.transform(F.filter("lists", lambda x: x["at"] == at), lambda x: x["shifts"]))
@@ -113,33 +128,52 @@ def _starts(word_list: Column, item: Column, shift: Column, size: Column) -> Col
     return F.filter(F.transform(ends, lambda r, i: F.when(r >= size, i - size + 1)), lambda s: s.isNotNull())
 
 
+def _may_hold(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without most rows whose id is not among ``ids``: a bit filter of FILTER_BITS, joined by broadcast.
+
+    It has a row per 64 bits, 131,072 at most, so what is broadcast is bounded whatever the input.
+    """
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("_bit")).groupBy(F.expr("_bit div 64").alias("_part"))
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    out = docs.withColumn("_bit", bit).withColumn("_at", F.expr("_bit div 64")).join(F.broadcast(bits), F.col("_at") == F.col("_part"))
+    return out.where(F.expr("getbit(_bits, cast(_bit % 64 as int)) = 1")).select(*docs.columns)
+
+
 def phrase_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, hits, item_ids) per row of ``docs``: hit word positions, and the items with occurring windows."""
-    bench = query_items(items)
+    """(doc_id, text_hash, hits, item_ids) of the texts with hits: hit word positions, and the items with occurring windows."""
+    bench = cut(query_items(items), "items")
     counts = cut(term_counts(docs, bench.select(F.explode("item_words").alias("term")).distinct(), text_col), "counts")
     wanted = cut(anchors(bench, counts, window), "anchors")
     index = build_index(docs, wanted, id_col, text_col)
     found = alignments(index, wanted).join(_bounded(bench), "bid")
     size = F.least(F.size("item_words"), F.lit(window)).alias("size")
-    found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", size, "item_words")).alias("found")), "alignments")
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).alias("d")
-    rows = rows.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
+    found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", size, "item_words")).alias("found")), "alignments").alias("f")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _may_hold(rows, found.select("doc_id"), "doc_id").alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")))
+    rows = rows.select("d.doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"), "found")
     checked = F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["size"].alias("size"), _starts(F.col("w"), x["item_words"], x["shift"], x["size"]).alias("starts")))
-    rows = rows.select("d.doc_id", F.size("w").cast("long").alias("n_words"), F.filter(checked, lambda x: F.size(x["starts"]) > 0).alias("ok"))
+    rows = rows.select("doc_id", "text_hash", F.filter(checked, lambda x: F.size(x["starts"]) > 0).alias("ok")).where(F.size("ok") > 0)
     hits = F.flatten(F.flatten(F.transform("ok", lambda x: F.transform(x["starts"], lambda s: F.sequence(s + x["shift"], s + x["shift"] + x["size"] - 1)))))
-    return rows.select("doc_id", "n_words", F.coalesce(F.array_distinct(hits), F.array().cast("array<int>")).alias("hits"), F.coalesce(F.array_distinct(F.transform("ok", lambda x: x["item_id"])), F.array().cast("array<bigint>")).alias("item_ids"))
+    return rows.select("doc_id", "text_hash", F.array_distinct(hits).alias("hits"), F.array_distinct(F.transform("ok", lambda x: x["item_id"])).alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``."""
     ids = F.array_sort(F.transform(F.filter("item_ids", lambda i: i.isNotNull()), lambda i: i.cast("string")))
-    return phrase_hits(docs, items, id_col, text_col).select(
-        "doc_id",
+    hit = phrase_hits(docs, items, id_col, text_col)
+    hit = hit.select("doc_id", "text_hash", F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"))
+    # Equal rows have equal results: a text is known by its id and hash.
+    hit = cut(hit.distinct(), "hits").alias("h")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(IN_WORD)).cast("long").alias("n_words")).alias("d")
+    rows = rows.join(hit, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
+    return rows.select(
+        "d.doc_id",
         "n_words",
-        F.size("hits").cast("long").alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
@@ -159,6 +193,5 @@ def proximity_hits(docs: DataFrame, pairs: DataFrame, slop: int, id_col: str = "
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns."""
-    bad = cut(decontaminate(docs, items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad"), "n_words", "n_hit"), "contaminated")
-    ids = bad.select("_bad").distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(phrase_hits(docs, items, id_col, text_col).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_hash")), "left_anti")
