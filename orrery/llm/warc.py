@@ -9,6 +9,9 @@ Reading: an index row per record gives archive and offset. Archives are read in
 records, by seek, as rows (record, chunk number, bytes); the last chunk of a record carries the
 digest that went along with the reading.
 
+Each record is a gzip member of its own, written and read as a stream, so that a record can be reached
+by seek in a compressed archive.
+
 Archives have names of their own for each attempt of a task, and the index lists those of the
 attempts that succeeded: what a lost executor left is never read.
 
@@ -24,6 +27,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -34,7 +38,9 @@ from pyspark.sql import functions as F
 
 from orrery.session import cut, scratch_path
 
-CHUNK, SEGMENT = 1 << 20, 32 << 20
+CHUNK, SEGMENT = 1 << 20, 16 << 20
+#: gzip's fastest level; tasks that read segments at once, at most.
+LEVEL, TASKS = 1, 10_000
 #: Fixed values of the format.
 VERSION, END = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,25 +99,30 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
-        name = f"{path}/part-{part:05d}-{uuid.uuid4().hex}.warc"
+        name = f"{path}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
         out, at, begun, now, seen = None, 0, 0, None, None
-        digest = hashlib.sha1()
+        digest, packed = hashlib.sha1(), zlib.compressobj(LEVEL, wbits=31)
+
+        def put(data: bytes, end: bool = False) -> None:
+            nonlocal at
+            for piece in (packed.compress(data), packed.flush() if end else b""):
+                out.write(piece)
+                at += len(piece)
+
         index: list[tuple[int, int, str]] = []
 
         def close() -> None:
-            nonlocal at
             if now is not None:
                 if now[2] is None and base64.b32encode(digest.digest()).decode() != now[1]:
                     raise ValueError(f"record {now[0]}: the payload's digest changed while it was written")
-                out.write(END * 2)
-                at += 4
+                put(END * 2, end=True)
                 index.append((begun, at - begun, RECORD.format(now[0])))
 
         for b in batches:
             for r in zip(*(c.to_pylist() if i < 7 else c for i, c in enumerate(b.columns)), strict=True):
                 ident, url, sha, n, refers, uid, chunk_no, payload = r
                 if out is None:
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                 if chunk_no == 0:
                     close()
                     ident = "null" if ident is None else ident
@@ -119,14 +130,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     if refers is None and (ident, sha) == seen:
                         refers = ident
                     seen = (ident, sha)
-                    begun, now, digest = at, (ident, sha, refers), hashlib.sha1()
-                    head = _header("response" if refers is None else "revisit", RECORD.format(ident), url, sha, n, None if refers is None else RECORD.format(refers))
-                    out.write(head)
-                    at += len(head)
+                    begun, now, digest, packed = at, (ident, sha, refers), hashlib.sha1(), zlib.compressobj(LEVEL, wbits=31)
+                    put(_header("response" if refers is None else "revisit", RECORD.format(ident), url, sha, n, None if refers is None else RECORD.format(refers)))
                 if now[2] is None and (data := payload.as_buffer()) is not None:
                     digest.update(data)
-                    out.write(data)
-                    at += len(data)
+                    put(data)
             if index:
                 yield _index(name, store, folder, index)
                 index = []
@@ -142,31 +150,24 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     return cut(rows.mapInArrow(run, "archive string, start bigint, size bigint, record string"), "warc-index")
 
 
-def _record(f: pa.NativeFile, chunk: int) -> Iterator[tuple[dict, int, int, bytes, str, bool]]:
+def _record(f: _Members, chunk: int) -> Iterator[tuple[dict, int, int, bytes, str, bool]]:
     """(headers, payload bytes, chunk number, bytes, running digest, last) for each chunk of the record at the file's place."""
 
-    def line() -> bytes:
-        out = b""
-        while not out.endswith(b"\n"):
-            c = f.read(1)
-            if not c:
-                raise ValueError("a record ends in its header")
-            out += c
-        return out.rstrip(b"\r\n")
-
+    line = f.line
+    f.next()
     if line() != VERSION:
         raise ValueError("no WARC record here")
     head: dict[str, str] = {}
     while text := line():
         key, _, value = text.decode("utf-8").partition(":")
         head[key.strip().lower()] = value.strip()
-    before, length = f.tell(), 0
+    before, length = f.given, 0
     line()
     while text := line():
         key, _, value = text.decode("utf-8").partition(":")
         if key.strip().lower() == "content-length":
             length = int(value)
-    left = int(head["content-length"]) - (f.tell() - before)
+    left = int(head["content-length"]) - (f.given - before)
     digest, at = hashlib.sha1(), 0
     while True:
         data = f.read(min(chunk, left)) if left else b""
@@ -178,7 +179,7 @@ def _record(f: pa.NativeFile, chunk: int) -> Iterator[tuple[dict, int, int, byte
         at += 1
         if not left:
             break
-    if f.read(4) != END * 2:
+    if f.read(5) != END * 2:
         raise ValueError("a record's end is missing")
 
 
@@ -189,7 +190,9 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
     a revisit as its headers say. running_digest is that of the payload up to and with the chunk.
     """
     seg = F.floor(F.col("start") / segment)
-    parts = index.groupBy("archive", seg.alias("seg")).agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("z")).repartition("archive", "seg")
+    parts = index.groupBy("archive", seg.alias("seg")).agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("z"))
+    # Segments are few rows: adaptive execution would put them all into one task if it chose their number.
+    parts = parts.repartition(max(1, min(parts.count(), TASKS)), "archive", "seg")
     schema = "record string, record_type string, url string, refers_to string, payload_bytes bigint, payload_digest string, chunk_no int, running_digest string, last boolean" + ", payload binary" * with_payload
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +203,8 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
                 held = 0
                 with store.open_input_file(path) as raw:
                     raw.seek(a)
-                    f = _Buffered(raw)
-                    while f.tell() < z:
+                    f = _Members(raw)
+                    while f.place() < z:
                         n = 0
                         for head, length, at, data, digest, last in _record(f, chunk):
                             n += len(data)
@@ -226,24 +229,48 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
     return parts.mapInArrow(run, schema)
 
 
-class _Buffered:
-    """Sequential reads from an open file in large blocks, with the place in the file."""
+class _Members:
+    """Reads of the gzip members of an open file, one after another, a block at a time."""
+
+    def __init__(self, raw: pa.NativeFile, block: int = 1 << 16) -> None:
+        self.raw, self.block, self.packed, self.at = raw, block, b"", raw.tell()
+        self.unpack, self.data, self.given = zlib.decompressobj(31), b"", 0
 
-    def __init__(self, raw: pa.NativeFile, block: int = 1 << 18) -> None:
-        self.raw, self.block, self.data, self.at, self.begin = raw, block, b"", 0, raw.tell()
+    def place(self) -> int:
+        """Where in the file the next member begins, once this one is read."""
+        return self.at - len(self.packed)
 
-    def tell(self) -> int:
-        return self.begin + self.at
+    def next(self) -> None:
+        """Begin a member; ``given`` counts the bytes it has given."""
+        self.unpack, self.data, self.given = zlib.decompressobj(31), b"", 0
+
+    def _more(self) -> bool:
+        if self.unpack.eof:
+            return False
+        if not self.packed:
+            self.packed = self.raw.read(self.block)
+            self.at += len(self.packed)
+            if not self.packed:
+                raise ValueError("an archive ends in a record")
+        self.data += self.unpack.decompress(self.packed, self.block)
+        self.packed = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+        return True
 
     def read(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            rest = self.data[self.at :]
-            self.begin += self.at
-            self.data, self.at = rest + self.raw.read(max(self.block, n - len(rest))), 0
-        out = self.data[self.at : self.at + n]
-        self.at += len(out)
+        while len(self.data) < n and self._more():
+            pass
+        out, self.data = self.data[:n], self.data[n:]
+        self.given += len(out)
         return out
 
+    def line(self) -> bytes:
+        """A line without its end."""
+        while (i := self.data.find(b"\n")) < 0 and self._more():
+            pass
+        if i < 0:
+            raise ValueError("a record ends in its header")
+        return self.read(i + 1).rstrip(b"\r\n")
+
 
 def record_id(record: Column) -> Column:
     """The page id inside a record's name; null for the record ``null``."""
