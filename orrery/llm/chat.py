@@ -115,14 +115,15 @@ def canonical_records(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     Each record's present paths are hashed by Spark, and the hash selects the mapping; a record of
     unknown layout, or text that is no JSON object, gives one turn of role ``unknown`` with the raw text.
     """
-    at = lambda c: F.col(f"r.`{c}`")
-    present = []
-    for p in KNOWN:
-        if p in MAPPINGS["turn_rows"]["paths"]:
-            continue
-        top, _, leaf = p.partition("[].")
-        there = F.exists(at(top), lambda x, leaf=leaf: x[leaf].isNotNull()) if leaf else at(top).isNotNull()
-        present.append(F.when(there, F.lit(p)))
+
+    def at(c: str) -> Column:
+        return F.col(f"r.`{c}`")
+
+    def there(path: str) -> Column:
+        top, _, leaf = path.partition("[].")
+        return F.exists(at(top), lambda x: x[leaf].isNotNull()) if leaf else at(top).isNotNull()
+
+    present = [F.when(there(p), F.lit(p)) for p in KNOWN if p not in MAPPINGS["turn_rows"]["paths"]]
     rows = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("raw"), F.from_json(F.col(json_col), ANY).alias("r"))
     rows = rows.withColumn("mark", F.sha2(F.concat_ws("\n", *present), 256))
     turns = F.array(F.struct(F.lit("unknown").alias("role"), F.coalesce("raw", F.lit("")).alias("text")))
