@@ -83,12 +83,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = recipes(docs, id_col, text_col, hashed).withColumn("key", F.xxhash64("recipe"))
     # Nulls sort last: the first field is false for a real id.
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))
-    groups = rows.groupBy("key", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["key", "recipe"]).select(
+    groups = rows.groupBy("key", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Read from a table, the groups have no partitioning of their own to which a hot recipe's rows would have to come.
+    groups = cut(groups, "groups")
+    return rows.join(groups, ["key", "recipe"], "left").select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id") == F.col("best.row_id")).alias("kept"),
+        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("size").isNull() | (F.col("row_id") == F.col("best.row_id"))).alias("kept"),
         "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"),
     )
