@@ -150,8 +150,9 @@ def phrase_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     size = F.least(F.size("item_words"), F.lit(window)).alias("size")
     found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", size, "item_words")).alias("found")), "alignments").alias("f")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _may_hold(rows, found.select("doc_id"), "doc_id").alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")))
-    rows = rows.select("d.doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"), "found")
+    # Words are made below the join: above it they would be made again for each word compared.
+    rows = _may_hold(rows, found.select("doc_id"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).alias("d")
+    rows = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))).select("d.doc_id", "text_hash", "w", "found")
     checked = F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["size"].alias("size"), _starts(F.col("w"), x["item_words"], x["shift"], x["size"]).alias("starts")))
     rows = rows.select("doc_id", "text_hash", F.filter(checked, lambda x: F.size(x["starts"]) > 0).alias("ok")).where(F.size("ok") > 0)
     hits = F.flatten(F.flatten(F.transform("ok", lambda x: F.transform(x["starts"], lambda s: F.sequence(s + x["shift"], s + x["shift"] + x["size"] - 1)))))
