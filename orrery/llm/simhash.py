@@ -223,9 +223,11 @@ def _assigned(docs: DataFrame, id_col: str, text_col: str, errors: int) -> DataF
     # Nulls sort last: the first field is false for a real id.
     distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
     roots = components(links(distinct.select("fp"), errors))
-    named = distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("best"))
-    return rows.join(named.join(least, "root").select("fp", "best"), "fp")
+    named = cut(distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    # Read from a table, the components have no partitioning of their own to which a large one's fingerprints would have to come.
+    least = cut(named.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "components")
+    of = named.join(least, "root", "left").select("fp", F.coalesce("best", "first").alias("best"))
+    return rows.join(of, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
