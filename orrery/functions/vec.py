@@ -87,4 +87,4 @@ def converted(v: Column, to: str) -> Column:
     width = int(to[1:])
     low, high = (0, 2**width - 1) if to[0] == "u" else (-(2 ** (width - 1)), 2 ** (width - 1) - 1)
     whole = "decimal(20,0)" if width == 64 else "bigint"
-    return F.transform(v, lambda x: F.greatest(F.least(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)), F.lit(high).cast(whole)), F.lit(low).cast(whole)).cast(kind))
+    return F.transform(v, lambda x: F.greatest(F.least(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)), F.lit(str(high)).cast(whole)), F.lit(str(low)).cast(whole)).cast(kind))

@@ -71,7 +71,7 @@ def clean_ordinals(ordered: DataFrame, *excluded: DataFrame) -> DataFrame:
     left = ordered
     for e in excluded:
         left = left.join(e.select("ordinal").distinct(), "ordinal", "left_anti")
-    return dense_positions(left, ["pos"])
+    return dense_positions(left, ["pos"]).select("pos", "ordinal")
 
 
 def dense_positions(df: DataFrame, order: list[str], out: str = "pos", buckets: int = 64) -> DataFrame:

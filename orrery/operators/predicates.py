@@ -123,6 +123,8 @@ def render(row: dict, style: str, table: str = "record", schema: T.StructType |
         "cddl": {"text": "tstr", "number": "int", "float": "float", "bool": "bool", "bytes": "bstr", "null": "null"},
     }
     dialect = style.removesuffix("_schema").removesuffix("_value")
+    if dialect not in kinds:
+        raise ValueError(f"unknown style {style!r}")
     kind = {k: kinds[dialect]["float" if isinstance(v, float) else P._value_family(v)] for k, v in row.items()}
     if style == "cddl":
         return f"{table} = {{ {', '.join(f'{k}: {t}' for k, t in kind.items())} }}"

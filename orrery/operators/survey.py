@@ -349,9 +349,11 @@ def type_tags(df: DataFrame, json_col: str, path: str) -> DataFrame:
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, r, slope, intercept) of b on a where both are there."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    at = df.where(x.isNotNull() & y.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    ok = (F.col("n") >= 2) & ~F.isnan("r")
-    return at.withColumn("r", F.when(ok, F.col("r")))
+    both = df.where(x.isNotNull() & y.isNotNull())
+    at = both.agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    slope = F.when(F.col("vx") > 0, F.col("c") / F.nullif("vx", F.lit(0.0)))
+    r = F.when((F.col("n") >= 2) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.nullif(F.sqrt("vx") * F.sqrt("vy"), F.lit(0.0)))
+    return at.select("n", r.alias("r"), slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
