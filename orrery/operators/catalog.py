@@ -70,3 +70,17 @@ def record_stats(records: DataFrame, payload: str, page_bytes: int = 65_536) ->
     # A record takes its bytes and an offset of four; a page has 28 bytes of its own.
     pages = F.ceil((F.col("bytes") + 4 * F.col("records")) / (page_bytes - 28))
     return at.withColumn("pages", pages).withColumn("utilisation", F.col("bytes") / (F.col("pages") * page_bytes))
+
+
+def dataset_json(catalog: DataFrame) -> DataFrame:
+    """(dataset, json): one object per data set, of its profiles' facets and sources, from (dataset, profile, facet, source)."""
+    facets = catalog.groupBy("dataset", "profile").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("facet", "source")))).alias("facets"))
+    out = facets.groupBy("dataset").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("profile", F.to_json("facets").alias("f"))))).alias("p"))
+    text = F.array_join(F.transform(F.map_entries("p"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return out.select("dataset", F.concat(F.lit('{"profiles":{'), text, F.lit("}}")).alias("json"))
+
+
+def variables_json(variables: DataFrame) -> DataFrame:
+    """(dataset_name, json): each data set's variables as one object, in order of their names."""
+    rows = variables.groupBy("dataset_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("v"))
+    return rows.select("dataset_name", F.to_json("v").alias("json"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.functions import vec
-from orrery.functions.predicate import Pred
+from orrery.functions.predicate import Node, Pred
 
 
 def uniform(*keys: Column) -> Column:
@@ -129,3 +129,54 @@ def trigram_predicate(df: DataFrame, field: str, selectivity: float, k: int = 10
 def reservoir_predicate(df: DataFrame, field: str, key: str, seed: int = 0) -> Pred:
     """Equality with the value of the record whose seeded hash is least."""
     return Pred(field, "eq", (df.where(F.col(field).isNotNull()).orderBy(F.xxhash64(F.lit(seed), key), key).first()[field],))
+
+
+def compound_predicates(df: DataFrame, n: int, selectivity: float, fields: list[str] | None = None, without: tuple[str, ...] = (), ops: tuple[str, ...] = ("lt", "le", "gt", "ge", "eq"), joined: int = 1, key: str | None = None, seed: int = 0, unique: float = 0.0) -> list[Pred | Node]:
+    """n predicates of ``joined`` comparisons each, every one on its own field, together of about the selectivity if fields are independent.
+
+    Fields are those given, or all numeric, text and Boolean ones, less ``without`` and ``key``; only the given
+    operators are used. An error if fewer than the share ``unique`` of the predicates differ.
+    """
+    import random
+
+    able = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))]
+    names = [f for f in (fields or able) if f not in without and f != key]
+    rng, share, pool = random.Random(seed), selectivity ** (1 / joined), {}
+    for f in names:
+        own = numeric_predicates(df, f, share) if isinstance(df.schema[f].dataType, T.NumericType) and set(ops) & {"lt", "le", "gt", "ge"} else []
+        if not own and "eq" in ops:
+            own = [categorical_predicate(df, f, share)]
+        if own := [p for p in own if p.op in ops and p.values[0] is not None]:
+            pool[f] = own
+    if len(pool) < joined:
+        raise ValueError(f"{len(pool)} fields have a predicate, {joined} are needed")
+    out = []
+    for _ in range(n):
+        parts = [rng.choice(pool[f]) for f in rng.sample(sorted(pool), joined)]
+        out.append(parts[0] if joined == 1 else Node("and", tuple(parts)))
+    if len(set(out)) < unique * n:
+        raise ValueError(f"only {len(set(out))} of {n} predicates differ")
+    return out
+
+
+def from_template(template: str, df: DataFrame, selectivity: float) -> Pred | Node:
+    """A predicate from its text form with values left as ``?``: each is filled so that its comparison has the selectivity."""
+    from orrery.functions.predicate import OPS, parse
+
+    shape = parse(template.replace("?", "'?'"))
+
+    def fill(p: Pred | Node) -> Pred | Node:
+        if isinstance(p, Node):
+            return Node(p.kind, tuple(map(fill, p.children)))
+        if p.values != ("?",):
+            return p
+        f = str(p.field)
+        if p.op in ("lt", "le", "gt", "ge"):
+            low, high = numeric_predicates(df, f, selectivity)
+            return Pred(f, p.op, (low if p.op in ("lt", "le") else high).values)
+        if p.op == "matches":
+            return trigram_predicate(df, f, selectivity)
+        value = categorical_predicate(df, f, selectivity if p.op != "ne" else 1 - selectivity).values
+        return Pred(f, p.op, value) if p.op in OPS else p
+
+    return fill(shape)

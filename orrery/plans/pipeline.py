@@ -95,3 +95,26 @@ class Pipeline:
                 known = [Step(i, lambda spark: None) for i in outputs]
                 todo = [s for s in order([*known, *todo, *fresh]) if s.id not in outputs]
         return outputs
+
+
+def evaluate(expression: str, frames: dict[str, DataFrame], variables: dict[str, object] | None = None) -> object:
+    """A variable's value: ``count:name`` rows, ``dim:name`` components of its vectors, ``${other}``, or the text itself."""
+    known = variables or {}
+    kind, _, name = expression.partition(":")
+    if kind == "count" and name in frames:
+        return frames[name].count()
+    if kind == "dim" and name in frames:
+        df = frames[name]
+        column = next(c for c, k in df.dtypes if k.startswith("array<"))
+        row = df.where(f"{column} IS NOT NULL").select(column).first()
+        return len(row[0]) if row else 0
+    if expression.startswith("${") and expression.endswith("}"):
+        return known[expression[2:-1]]
+    return expression
+
+
+def require(frames: dict[str, DataFrame], names: list[str], least: int = 1) -> None:
+    """An error unless every named output is there with at least so many rows."""
+    for n in names:
+        if n not in frames or frames[n].limit(least).count() < least:
+            raise ValueError(f"{n} has fewer than {least} rows, or is not there")
