@@ -20,6 +20,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Characters in a chunk; compiled transitions and cached words that a task keeps before it starts anew.
-CHUNK, TRANSITIONS, WORDS = 1 << 15, 500_000, 400_000
+#: Characters in a chunk; compiled transitions and cached words that a task keeps before it starts either anew.
+CHUNK, TRANSITIONS, WORDS = 1 << 15, 600_000, 300_000
 LIMIT = 4096
 
 
@@ -80,7 +81,7 @@ def read_pieces(model: bytes) -> dict[str, float]:
 
 
 class Transducer:
-    """The machine of one model, compiled as it runs. A state is the dict of its transitions."""
+    """The machine of one model, compiled as it runs. A state is the dict of its transitions, with what it stands for under None."""
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.pieces = pieces
@@ -89,20 +90,19 @@ class Transducer:
         #: Words begin at a space after another character, and at and after a newline.
         odd = [x for x in self.inside if x[1] == SPACE != x[0] or "\n" in x]
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if not odd else None
+        self.cache: dict[str, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.states: dict[tuple, dict] = {}
-        self.keys: dict[int, tuple] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, int] = {}
+        self.joins: dict[tuple[str | None, str], bool] = {}
+        self.shapes: dict[str, tuple] = {}
         self.size = 0
         self.start = self._state(("", (None,), (0,)))
 
     def _state(self, key: tuple) -> dict:
         if (s := self.states.get(key)) is None:
-            s = self.states[key] = {}
-            self.keys[id(s)] = key
+            s = self.states[key] = {None: key}
         return s
 
     def weight(self, token: str) -> int:
@@ -123,35 +123,40 @@ class Transducer:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _fits(self, before: str | None, token: str) -> bool:
-        """Whether the token may stand after the one before it (None: nothing merges across)."""
-        key = (before or "", token)
-        if (found := self.joins.get(key)) is None:
-            found = self.joins[key] = self.merged(key[0] + token) == ([before, token] if before else [token])
+    def _fits(self, key: tuple[str | None, str]) -> bool:
+        """Whether a token may stand after the one before it (None: nothing merges across)."""
+        before, token = key
+        found = self.joins[key] = self.merged((before or "") + token) == ([before, token] if before else [token])
         return found
 
+    def _shape(self, text: str) -> tuple:
+        """Of a window and a character: the tokens that can end there, where the next window starts, and its places at which none can start."""
+        ends = tuple((s, text[s:], self.weight(text[s:])) for s in range(len(text)) if text[s:] in self.pieces or s == len(text) - 1)
+        cut = next((s for s in range(len(text)) if text[s:] in self.begins), len(text))
+        dead = tuple(s - cut for s in range(cut, len(text)) if text[s:] not in self.begins)
+        out = self.shapes[text] = ends, cut, text[cut:], dead
+        return out
+
     def step(self, state: dict, c: str) -> tuple[dict, int]:
         """Compile the transition of a state under a character."""
-        window, lasts, counts = self.keys[id(state)]
+        window, lasts, counts = state[None]
         if lasts[-1] is not None and lasts[-1][-1] + c not in self.inside:
             lasts = (*lasts[:-1], None)
         text = window + c
-        for s in range(len(text)):
-            token = text[s:]
-            if (token in self.pieces or len(token) == 1) and self._fits(lasts[s], token):
+        ends, cut, after, dead = self.shapes.get(text) or self._shape(text)
+        joins = self.joins
+        for s, token, weight in ends:
+            key = lasts[s], token
+            fits = joins.get(key)
+            if fits if fits is not None else self._fits(key):
                 break
         else:
             raise AssertionError(f"no token ends at {c!r} after {window!r}")
-        change = counts[s] + self.weight(token)
-        lasts, counts = (*lasts, token), (*(n - change for n in counts), 0)
-        cut = 0
-        while cut < len(text) and text[cut:] not in self.begins:
-            cut += 1
-        window, lasts, counts = text[cut:], list(lasts[cut:]), list(counts[cut:])
-        for s in range(len(window)):
-            if window[s:] not in self.begins:  # no token can start here any more: what stood before is all one
-                lasts[s], counts[s] = None, 0
-        state[c] = out = self._state((window, tuple(lasts), tuple(counts))), change
+        change = counts[s] + weight
+        lasts, counts = [*lasts[cut:], token], [*[n - change for n in counts[cut:]], 0]
+        for s in dead:
+            lasts[s], counts[s] = None, 0
+        state[c] = out = self._state((after, tuple(lasts), tuple(counts))), change
         self.size += 1
         return out
 
@@ -159,7 +164,9 @@ class Transducer:
         """The state after a text, and the change in the number of tokens."""
         n = 0
         for c in text:
-            state, d = state.get(c) or self.step(state, c)
+            if (to := state.get(c)) is None:
+                to = self.step(state, c)
+            state, d = to
             n += d
         return state, n
 
@@ -170,11 +177,21 @@ class Transducer:
     def count_words(self, words: list[str]) -> int:
         cache = self.cache
         if missing := set(words).difference(cache):
-            if len(cache) + len(missing) > WORDS or self.size > TRANSITIONS:
+            if self.size > TRANSITIONS:
                 self._clear()
-                cache, missing = self.cache, set(words)
-            for w in missing:
-                cache[w] = self.word(w)
+                gc.collect()  # states refer to each other
+            if len(cache) + len(missing) > WORDS:
+                cache.clear()
+                missing = set(words)
+            # States are many small containers that stay: the collector would walk them again and again.
+            on = gc.isenabled()
+            gc.disable()
+            try:
+                for w in missing:
+                    cache[w] = self.word(w)
+            finally:
+                if on:
+                    gc.enable()
         return sum(map(cache.__getitem__, words))
 
 
