@@ -192,7 +192,8 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
     seg = F.floor(F.col("start") / segment)
     parts = index.groupBy("archive", seg.alias("seg")).agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("z"))
     # Segments are few rows: adaptive execution would put them all into one task if it chose their number.
-    parts = parts.repartition(max(1, min(parts.count(), TASKS)), "archive", "seg")
+    # The hash is not what they are grouped by, so that this shuffle is not taken for the one before.
+    parts = parts.repartition(max(1, min(parts.count(), TASKS)), F.xxhash64("archive", "seg"))
     schema = "record string, record_type string, url string, refers_to string, payload_bytes bigint, payload_digest string, chunk_no int, running_digest string, last boolean" + ", payload binary" * with_payload
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
