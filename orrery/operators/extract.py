@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
+from orrery.session import cut
 
 
 def parse_spec(spec: str) -> list[tuple[int, int]]:
@@ -65,8 +66,7 @@ def extract_by_predicate(df: DataFrame, results: DataFrame, pred_id: int, id_col
 def clean_ordinals(ordered: DataFrame, *excluded: DataFrame) -> DataFrame:
     """(pos, ordinal): an ordered index without the ordinals of the exclusion lists, ranked anew.
 
-    Places are counted within ranges of the old place, and a range's start from the counts of the
-    ranges before, so that no task holds the whole index.
+    See dense_positions(): no task holds the whole index.
     """
     left = ordered
     for e in excluded:
@@ -74,23 +74,21 @@ def clean_ordinals(ordered: DataFrame, *excluded: DataFrame) -> DataFrame:
     return dense_positions(left, ["pos"]).select("pos", "ordinal")
 
 
-def dense_positions(df: DataFrame, order: list[str], out: str = "pos", buckets: int = 64) -> DataFrame:
-    """``df`` with a gapless place from 0 in the order of numeric columns, the first of which leads.
+def dense_positions(df: DataFrame, order: list[str], out: str = "pos", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, less the columns ``drop``, with a gapless place from 0 in the order of the columns.
 
-    Rows are dealt into equal ranges of the first column. Sizes of ranges are summed; ranks are counted
-    within a range alone.
+    One range shuffle, whose sampled bounds take all order columns into account, and a sort within
+    each range; a row's place there and the number of its range are one id, kept by being written.
+    What is added afterwards is the sizes of the ranges before: one number per task. No task sees the
+    whole table, and nothing but those numbers is gathered.
     """
-    first = F.col(order[0]).cast("double")
-    ends = df.agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"))
-    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    bucket = F.least(F.floor((first - F.col("_lo")) / span * buckets), F.lit(buckets - 1)).cast("int")
-    rows = df.crossJoin(F.broadcast(ends)).withColumn("_bucket", bucket).drop("_lo", "_hi")
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    # There is one offset per range: as many rows as buckets.
-    return rows.withColumn("_rank", rank).join(F.broadcast(offsets), "_bucket").withColumn(out, (F.col("_before") + F.col("_rank")).cast("bigint")).drop("_bucket", "_before", "_rank")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut(rows.drop(*drop), "placed").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    # A row per range, which is a row per shuffle partition.
+    return placed.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_id", "_part", "_at", "_before")
 
 
 def find_vector(df: DataFrame, example: list[float], limit: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

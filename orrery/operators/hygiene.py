@@ -23,10 +23,10 @@ def keyed(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
 def sort_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(pos, ordinal): places in lexicographic order of components, equal vectors by ordinal.
 
-    A sampled range sort deals the rows out; places are counted per range of the first component.
+    A sampled range sort deals the rows out; vectors stop moving once their rows are in order.
     """
-    rows = df.select(F.col(id_col).alias("ordinal"), F.col(vec_col).alias("_v"), F.get(vec.doubles(vec_col), F.lit(0)).alias("_first"))
-    return dense_positions(rows, ["_first", "_v", "ordinal"]).select("pos", "ordinal")
+    rows = df.select(F.col(id_col).alias("ordinal"), F.col(vec_col).alias("_v"))
+    return dense_positions(rows, ["_v", "ordinal"], drop=("_v",)).select("pos", "ordinal")
 
 
 def dedup_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -143,7 +143,7 @@ def endianness(header: bytes) -> str:
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "ordinal") -> DataFrame:
-    """A gapless ordinal from 0 in the order of numeric columns."""
+    """A gapless ordinal from 0 in the order of columns."""
     return dense_positions(df, order, out)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
+from orrery.session import cut
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
@@ -34,10 +35,36 @@ def stats_per_dimension(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return components(df, vec_col).groupBy("dim").agg(*moments())
 
 
+def percentiles(x: DataFrame, ps: list[float]) -> DataFrame:
+    """One row, p0 and on: exact percentiles (0 to 100) of a column ``x`` by linear interpolation.
+
+    Values are counted, put in order by ranges, and looked up by place: only the two values around
+    each percentile leave the tasks. The built-in function would gather every distinct value in one.
+    """
+    counts = x.where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
+    ranked = cut(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranked")
+    sizes = ranked.groupBy("part").agg(F.sum("k").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"))  # a row per task
+    run = F.sum("k").over(Window.partitionBy("part").orderBy("x"))
+    at = ranked.join(F.broadcast(offsets), "part").select("x", "k", (F.col("before") + run).alias("upto"))
+    n = sizes.agg(F.sum("n").alias("total"))
+    at = at.crossJoin(F.broadcast(n))
+
+    def place(p: float, up: bool) -> Column:
+        where = F.lit(p / 100) * (F.col("total") - 1)
+        i = F.ceil(where) if up else F.floor(where)
+        return F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("k") <= i), F.col("x")))
+
+    ends = at.agg(F.max("total").alias("total"), *[place(p, up).alias(f"{'b' if up else 'a'}{i}") for i, p in enumerate(ps) for up in (False, True)])
+    share = [F.lit(p / 100) * (F.col("total") - 1) - F.floor(F.lit(p / 100) * (F.col("total") - 1)) for p in ps]
+    return ends.select(*[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * s).alias(f"p{i}") for i, s in enumerate(share)])
+
+
 def stats_dimension_detail(df: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
     """Percentiles by linear interpolation, quartile range, fences at 1.5 ranges, and the number of values beyond them."""
     x = df.select(F.get(vec.doubles(vec_col), F.lit(dim)).alias("x"))
-    q = x.agg(*[F.expr(f"percentile(x, {p / 100})").alias(f"p{p}") for p in PERCENTS])
+    q = percentiles(x, list(PERCENTS)).toDF(*[f"p{p}" for p in PERCENTS])
     q = q.withColumn("iqr", F.col("p75") - F.col("p25"))
     q = q.withColumns({"lower_fence": F.col("p25") - 1.5 * F.col("iqr"), "upper_fence": F.col("p75") + 1.5 * F.col("iqr")})
     out = x.crossJoin(F.broadcast(q)).groupBy(*q.columns)
@@ -62,8 +89,12 @@ def norms_distribution(df: DataFrame, stride: int = 1, id_col: str = "vec_id", v
     rows = df if stride == 1 else df.where(F.col(id_col) % stride == 0)
     x = rows.select(vec.norm(F.col(vec_col)).alias("x"))
     ps = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9, 100)
-    named = [F.expr(f"percentile(x, {p / 100})").alias(f"p{str(p).replace('.', '_')}") for p in ps]
-    return x.agg(*named, F.avg("x").alias("mean"), F.stddev_pop("x").alias("std_dev"), F.count_if(F.col("x") == 0).alias("zeros"), F.count("x").alias("count"))
+    named = percentiles(x, list(ps)).toDF(*[f"p{str(p).replace('.', '_')}" for p in ps])
+    return named.crossJoin(_norm_sums(x))
+
+
+def _norm_sums(x: DataFrame) -> DataFrame:
+    return x.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std_dev"), F.count_if(F.col("x") == 0).alias("zeros"), F.count("x").alias("count"))
 
 
 def ks_p(d: Column, n: Column, m: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.operators.stats import percentiles
+
 LOW, MID, RATE = 64, 4096, 0.95
 #: 2000-01-01 and 2100-01-01, in seconds.
 EPOCH_LOW, EPOCH_HIGH = 946_684_800, 4_102_444_800
@@ -178,10 +180,9 @@ QUANTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
 def quantiles(df: DataFrame, field: str) -> DataFrame:
-    """(p, value) by linear interpolation; exact."""
-    ps = ", ".join(str(p / 100) for p in QUANTILES)
-    at = df.agg(F.expr(f"percentile({field}, array({ps}))").alias("q"))
-    return at.select(F.posexplode("q").alias("i", "value")).select(F.array(*map(F.lit, QUANTILES))[F.col("i")].alias("p"), "value")
+    """(p, value) by linear interpolation; exact, and by ranges of values, so that no task holds them all."""
+    at = percentiles(df.select(F.col(field).cast("double").alias("x")), list(QUANTILES))
+    return at.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{i}").alias("value")) for i, p in enumerate(QUANTILES)])).alias("r")).select("r.*")
 
 
 def quantile_sketch(df: DataFrame, field: str, k: int = 1000) -> DataFrame:

@@ -193,10 +193,10 @@ SELECT query_id, neighbor_id, (row_number() OVER (PARTITION BY query_id ORDER BY
 d AS (SELECT size, q.vec_id AS query_id, b.vec_id AS neighbor_id, {_D['L2']} AS distance FROM q, b, s WHERE b.vec_id - {N_QUERIES} < size)
 SELECT size, query_id, neighbor_id, (row_number() OVER (PARTITION BY size, query_id ORDER BY distance, neighbor_id) - 1)::INT AS rank, round(distance, 6) AS distance FROM d QUALIFY rank < {K}""",
     "knn_compare": f"SELECT vec_id AS query_id, CASE vec_id WHEN 1 THEN 'set' WHEN 2 THEN 'boundary' WHEN 3 THEN 'boundary' ELSE 'exact' END AS verdict, (CASE vec_id WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 0 END)::INT AS differing FROM embeddings WHERE vec_id < {N_QUERIES}",
-    "verify_knn": f"SELECT vec_id AS query_id, CASE vec_id WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE {K} END AS found, {K} AS wanted, CASE vec_id WHEN 2 THEN 0.7 WHEN 3 THEN 0.2 ELSE 1.0 END::DOUBLE AS recall FROM embeddings WHERE vec_id < {N_QUERIES}",
+    "verify_knn": f"SELECT vec_id AS query_id, (CASE vec_id WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE {K} END)::BIGINT AS found, {K}::BIGINT AS wanted, CASE vec_id WHEN 2 THEN 0.7 WHEN 3 THEN 0.2 ELSE 1.0 END::DOUBLE AS recall FROM embeddings WHERE vec_id < {N_QUERIES}",
     "verify_prefiltered": f"SELECT 'exact' AS verdict, count(*) AS queries FROM embeddings WHERE vec_id < {N_QUERIES}",
     "verify_postfiltered": f"WITH {_BQ}, {_ranked('L2', 50)} SELECT 'exact' AS verdict, count(DISTINCT query_id) AS queries FROM g JOIN b ON b.vec_id = neighbor_id AND b.label = g.label",
-    "engine_parity": f"SELECT unnest(['L2', 'DOT', 'L1', 'COSINE']) AS metric, 'exact' AS verdict, {N_QUERIES} AS queries",
+    "engine_parity": f"SELECT unnest(['L2', 'DOT', 'L1', 'COSINE']) AS metric, 'exact' AS verdict, {N_QUERIES}::BIGINT AS queries",
     "explain_knn": f"WITH {_BQ}, {_ranked('L2', K)} SELECT rank::INT AS rank, neighbor_id, round(distance, 6) AS distance, neighbor_id AS recomputed_id, round(distance, 6) AS recomputed_distance, true AS same FROM g WHERE query_id = 7",
     "explain_filtered_knn": f"""WITH {_BQ}, {_ranked('L2', 50)}, {_F},
 j AS (SELECT coalesce(g.query_id, f.query_id) AS query_id, g.rank AS gr, f.rank AS fr FROM g FULL JOIN f ON g.query_id = f.query_id AND g.neighbor_id = f.neighbor_id)

@@ -162,7 +162,7 @@ FROM (SELECT l_extendedprice AS x, avg(l_extendedprice) OVER () AS m FROM lineit
 t AS (SELECT sum(sign(b.x - a.x)) / (count(*)) AS tau FROM f a JOIN f b ON a.o < b.o)
 SELECT count(*) FILTER (x > b) AS up, count(*) FILTER (x < b) AS down, count(*) FILTER (x = b) AS level, round(max(tau), 6) AS tau, CASE WHEN max(tau) > 0.7 THEN 'StrictlyAscending' WHEN max(tau) > 0.3 THEN 'MostlyAscending' WHEN max(tau) < -0.7 THEN 'StrictlyDescending' WHEN max(tau) < -0.3 THEN 'MostlyDescending' ELSE 'Random' END AS class FROM s, t""",
     "survey_bit_width": """WITH a AS (SELECT count(*) AS count, min(o_custkey) AS min, max(o_custkey) AS max, avg(bit_count(o_custkey)) AS pop FROM orders)
-SELECT count, min, max, (max - min)::DOUBLE AS range, length(bin(max - min))::INT AS bits_used, round(count / greatest(max - min, 1), 6) AS density, round(pop, 6) AS avg_popcount, 'Sequential' AS class FROM a""",
+SELECT count, min, max, (max - min)::DOUBLE AS range, length(bin(max - min))::INT AS bits_used, round(count / greatest(max - min, 1), 6) AS density, round(pop, 6) AS avg_popcount, CASE WHEN max = min THEN 'Constant' WHEN max - min < 256 AND count / (max - min) > 0.5 THEN 'PackedEnum' WHEN count / (max - min) > 0.1 THEN 'Sequential' WHEN pop > 28 THEN 'HashLike' ELSE 'Sparse' END AS class FROM a""",
     "survey_discrete": "SELECT round(avg(CASE WHEN l_extendedprice = floor(l_extendedprice) THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS integer_share FROM lineitem",
     "survey_hll": "SELECT count(DISTINCT o_custkey) AS exact, true AS within FROM orders",
     "survey_heavy_hitters": f"WITH {_O} SELECT o_custkey::VARCHAR AS value, count(*) AS n FROM o WHERE o_custkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 64",

@@ -155,7 +155,7 @@ SELECT count(*) AS count, round(avg(e), 9) AS mean, round(min(e), 9) AS min, rou
     "check_normalization": f"WITH {_DIRTY} SELECT count(*) AS total, count(*) FILTER ({_NORM.format('v')} = 0) AS zeros, bool_and(abs({_NORM.format('v')} - 1) < 1e-3) AS normalized FROM d",
     "fvecs_check": f"WITH {_DIRTY}, e AS (SELECT abs({_NORM.format('v')} - 1) AS e FROM d) SELECT CASE WHEN e < 1e-12 THEN -99 ELSE floor(log10(e)) END::INT AS magnitude, count(*) AS n, count(*) FILTER (e < 1e-5) AS within FROM e GROUP BY 1",
     "normalize_vectors": f"""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT) AS v FROM embeddings WHERE vec_id < 50), n AS (SELECT *, {_NORM.format('v')} AS n FROM t)
-SELECT vec_id, (i - 1)::INT AS dim, round((v[i]::DOUBLE / n)::FLOAT::DOUBLE, 5) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM n)""",
+SELECT vec_id, (i - 1)::INT AS dim, round((v[i]::DOUBLE / n)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM n)""",
     "remove_zeros": f"WITH {_DIRTY} SELECT vec_id FROM d WHERE {_NORM.format('v')} >= 1e-6",
     "overlap": "SELECT 25::BIGINT AS queries, count(*) AS shared, round(count(*) / 25, 6) AS fraction FROM embeddings WHERE vec_id BETWEEN 80 AND 104 AND embedding IN (SELECT embedding FROM embeddings WHERE vec_id >= 100)",
     "remove_overlap": "SELECT vec_id FROM embeddings WHERE vec_id BETWEEN 80 AND 99",

@@ -57,3 +57,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, so that any store works."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut; results that are still to be read from them are lost."""
+    drop_path(spark, f"{shared_dir(spark).rstrip('/')}/orrery-{spark.sparkContext.applicationId}")
