@@ -91,6 +91,24 @@ def dense_positions(df: DataFrame, order: list[str], out: str = "pos", drop: tup
     return placed.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_id", "_part", "_at", "_before")
 
 
+def running_sums(df: DataFrame, by: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """``df`` with sums from the start of each group to the row, in the order of ``order``.
+
+    Rows are dealt out by ranges of group and order, so that a large group is many tasks; a task's
+    sums start from those of the group's earlier ranges. Rows of equal order are in any order. A row whose group is
+    null is left out.
+    """
+    rows = df.repartitionByRange(*by, *order).withColumns({"_part": F.spark_partition_id(), **{f"_{k}": v for k, v in sums.items()}})
+    placed = cut(rows, "ranges")
+    per = placed.groupBy("_part", *by).agg(*[F.sum(f"_{k}").alias(f"_{k}_own") for k in sums])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_part", *by, *[F.coalesce(F.sum(f"_{k}_own").over(before), F.lit(0)).alias(f"_{k}_before") for k in sums])
+    w = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumns({k: F.sum(f"_{k}").over(w) for k in sums})
+    out = inner.join(offsets, ["_part", *by]).withColumns({k: F.col(k) + F.col(f"_{k}_before") for k in sums})
+    return out.drop("_part", *[f"_{k}" for k in sums], *[f"_{k}_before" for k in sums])
+
+
 def find_vector(df: DataFrame, example: list[float], limit: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, matching, exact): the rows that share most components with an example, exact ones first."""
     probe = F.array(*[F.lit(float(x)) for x in example])

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
+from orrery.operators.extract import running_sums
 
 #: Floats of a block of queries that is broadcast: 64 MB.
 BLOCK_FLOATS = 8_000_000
@@ -210,9 +211,9 @@ def partition_profiles(base: DataFrame, label_col: str = "label", id_col: str =
     sizes = base.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     if sizes.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} partitions")
-    own = base.join(F.broadcast(sizes.select(label_col)), label_col)
-    w = Window.partitionBy(label_col).orderBy(id_col)
-    return own.select(F.col(label_col).alias("label"), (F.row_number().over(w) - 1).cast("bigint").alias("ordinal"), F.col(id_col).alias("id"))
+    own = base.join(F.broadcast(sizes.select(label_col)), label_col).select(F.col(label_col).alias("label"), F.col(id_col).alias("id"))
+    placed = running_sums(own, ["label"], ["id"], place=F.lit(1))
+    return placed.select("label", (F.col("place") - 1).cast("bigint").alias("ordinal"), "id")
 
 
 def partitioned_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", cosine_mode: str | None = None, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
+from orrery.operators.extract import running_sums
 from orrery.session import cut
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
@@ -108,13 +109,13 @@ def ks_p(d: Column, n: Column, m: Column) -> Column:
 def ks_compare(a: DataFrame, b: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """(dim, d, p): per dimension the largest distance of the two empirical distributions, exact where values tie.
 
-    One window per dimension over counts of distinct values; each dimension's rows spill as they need to.
+    Running counts are kept by ranges of values, so that a dimension is as many tasks as it needs.
     """
     both = components(a, vec_col).select("dim", "x", F.lit(1).alias("a"), F.lit(0).alias("b")).union(components(b, vec_col).select("dim", "x", F.lit(0), F.lit(1)))
     at = both.groupBy("dim", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.partitionBy("dim").orderBy("x")
-    run = at.select("dim", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(Window.partitionBy("dim")).alias("na"), F.sum("b").over(Window.partitionBy("dim")).alias("nb"))
-    out = run.groupBy("dim").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    run = running_sums(at, ["dim"], ["x"], ca=F.col("a"), cb=F.col("b"))
+    n = at.groupBy("dim").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # a row per dimension
+    out = run.join(F.broadcast(n), "dim").groupBy("dim").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return out.select("dim", "d", ks_p(F.col("d"), F.col("na"), F.col("nb")).alias("p"))
 
 
@@ -187,8 +188,8 @@ def ks_model(df: DataFrame, model: DataFrame, vec_col: str = "embedding") -> Dat
     x = components(df, vec_col).join(F.broadcast(model.select("dim", "kind", "mean", "std_dev", "lower", "upper")), "dim")
     cdf = F.when(F.col("kind") == "uniform", uniform_cdf(F.col("x"), F.col("lower"), F.col("upper"))).otherwise(normal_cdf(F.col("x"), F.col("mean"), F.col("std_dev")))
     at = x.groupBy("dim", "x", cdf.alias("f")).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("dim").orderBy("x")
-    at = at.select("dim", "f", "k", F.sum("k").over(w).alias("c"), F.sum("k").over(Window.partitionBy("dim")).alias("n"))
+    n = at.groupBy("dim").agg(F.sum("k").alias("n"))
+    at = running_sums(at, ["dim"], ["x"], c=F.col("k")).join(F.broadcast(n), "dim")
     up, down = F.abs(F.col("c") / F.col("n") - F.col("f")), F.abs((F.col("c") - F.col("k")) / F.col("n") - F.col("f"))
     return at.groupBy("dim").agg(F.max(F.greatest(up, down)).alias("d"))
 
