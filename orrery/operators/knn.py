@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vec
 from orrery.operators.extract import running_sums
+from orrery.session import map_arrow
 
 #: Floats of a block of queries that is broadcast: 64 MB.
 BLOCK_FLOATS = 8_000_000
@@ -152,7 +153,7 @@ def _candidates(base: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, name: s
             published = -kernel if name == "DOT" else 1 - kernel if name == "COSINE" else kernel
             yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(bid[j]), pa.array(kernel), pa.array(published)], names=["query_id", "neighbor_id", "kernel", "distance"])
 
-    return base.mapInArrow(run, "query_id bigint, neighbor_id bigint, kernel double, distance double")
+    return map_arrow(base, run, "query_id bigint, neighbor_id bigint, kernel double, distance double")
 
 
 def knn_arrays(neighbors: DataFrame, k: int) -> DataFrame:

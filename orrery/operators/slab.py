@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.extract import dense_positions
+from orrery.session import ship
 from orrery.sources import formats
 
 
@@ -61,6 +62,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 def check(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, problem): pages that cannot be read, or whose ordinals run into the next page. One task per page."""
     table = pages(spark, path)
+    ship(spark)
 
     def run(batches):
         import pandas as pd

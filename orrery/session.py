@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python finds it wherever they run.
+
+    Spark serves the archive from the driver, as it does files named to spark-submit.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="orrery-")) / "orrery.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"orrery/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def local_session(name: str = "orrery", cpus: str | int = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
     settings = {

@@ -29,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from orrery.functions.vec import ELEMENTS
+from orrery.session import ship
 
 DTYPES = {"f16": "<f2", "f32": "<f4", "f64": "<f8", "u8": "u1", "u16": "<u2", "u32": "<u4", "u64": "<u8", "i8": "i1", "i16": "<i2", "i32": "<i4", "i64": "<i8"}
 #: File name endings of vector and scalar files, with their element types.
@@ -481,6 +482,7 @@ SOURCES = (Xvec, Vvec, Scalar, Slab, Npy)
 
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session."""
+    ship(spark)
     for s in SOURCES:
         spark.dataSource.register(s)
 
