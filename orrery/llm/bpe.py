@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import map_arrow
+
 #: Merged pre-tokens that a task keeps; when full, the cache starts anew. No result depends on it.
 CACHE = 400_000
 
@@ -187,4 +189,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return slim.mapInArrow(run, schema)
+    return map_arrow(slim, run, schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import map_arrow
+
 THRESHOLD = 0.8
 
 #: Short notices of public licences, by SPDX identifier.
@@ -105,4 +107,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
                 names=["doc_id", "n_segments", "n_matches", "license_id", "score"],
             )
 
-    return slim.mapInArrow(run, f"doc_id {kind}, n_segments bigint, n_matches bigint, license_id string, score double")
+    return map_arrow(slim, run, f"doc_id {kind}, n_segments bigint, n_matches bigint, license_id string, score double")

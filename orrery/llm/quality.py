@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import map_arrow
+
 #: Bounds of the labelled sample.
 SAMPLE, PER_ROW = 1500, 4
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
@@ -194,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
                 score = score_texts(net, shift, texts) if net else np.full(len(texts), 1 / (1 + np.exp(-shift)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= keep).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(slim, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
@@ -210,4 +212,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 score = score_texts(net, shift, texts) if net else np.full(len(texts), 1 / (1 + np.exp(-shift)))
                 yield part.filter(pa.array(score >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import cut, drop_path, scratch_path
+from orrery.session import cut, drop_path, map_arrow, scratch_path
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
 #: Widths of the blocks, from the top bit down; one more block than errors.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
+    return map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _prefix(x: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def links(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
             back = (own >> np.uint64(o)) | (own << np.uint64(64 - o)) if o else own
             yield pa.RecordBatch.from_arrays([pa.array(back[far].view(np.int64)), pa.array(back[label[far]].view(np.int64))], names=["u", "v"])
 
-    return rows.repartition("block", "top").select("block", "key").mapInArrow(run, "u bigint, v bigint")
+    return map_arrow(rows.repartition("block", "top").select("block", "key"), run, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, most: int = 64) -> DataFrame:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import map_arrow
+
 SPACE = "▁"
 #: Characters in a chunk; compiled transitions and cached words that a task keeps before it starts either anew.
 CHUNK, TRANSITIONS, WORDS = 1 << 15, 600_000, 300_000
@@ -272,4 +274,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             n = np.fromiter((count_tokens(machine, t.as_py()) for t in b.column(2)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_arrow(slim, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

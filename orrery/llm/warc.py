@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.session import cut, scratch_path
+from orrery.session import cut, map_arrow, scratch_path
 
 CHUNK, SEGMENT = 1 << 20, 16 << 20
 #: gzip's fastest level; tasks that read segments at once, at most.
@@ -147,7 +147,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         file = f"{uri.rstrip('/')}/{name.rsplit('/', 1)[1]}"
         return pa.RecordBatch.from_arrays([pa.array([file] * len(index)), pa.array([x[0] for x in index], pa.int64()), pa.array([x[1] for x in index], pa.int64()), pa.array([x[2] for x in index], pa.string())], names=["archive", "start", "size", "record"])
 
-    return cut(rows.mapInArrow(run, "archive string, start bigint, size bigint, record string"), "warc-index")
+    return cut(map_arrow(rows, run, "archive string, start bigint, size bigint, record string"), "warc-index")
 
 
 def _record(f: _Members, chunk: int) -> Iterator[tuple[dict, int, int, bytes, str, bool]]:
@@ -227,7 +227,7 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return parts.mapInArrow(run, schema)
+    return map_arrow(parts, run, schema)
 
 
 class _Members:
