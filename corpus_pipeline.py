@@ -11,12 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, decontam, exact_dedup, quality, simhash
-from orrery.session import cut, table
+from orrery.session import cut, spread, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(spread(docs), table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-equal fingerprints."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(spread(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, with digests of the ids and of the decoded text."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(spread(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean), ("bpe", encoded)]

@@ -6,20 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import bpe, chat, decontam, exact_dedup, license_scan, quality, sharding, simhash, token_count, warc
-from orrery.session import table
+from orrery.session import spread, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count.token_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
