@@ -110,20 +110,24 @@ def encoding(kind: T.DataType) -> str:
 
 
 def probe_rates(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, probe, position, rate): the share of non-null values that each probe of a field accepts, in one scan."""
-    aggs, names = [], []
-    for f in fields:
-        kind = encoding(df.schema[f].dataType)
-        c = F.trim(F.col(f)) if kind == "Textual" else F.col(f)
-        suite = TEXT_PROBES if kind == "Textual" else NUMBER_PROBES if isinstance(df.schema[f].dataType, T.IntegralType) else {}
-        for i, (name, test) in enumerate(suite.items()):
-            names.append((f, name, i))
-            aggs.append(F.avg(F.when(F.col(f).isNotNull(), F.coalesce(test(c), F.lit(False)).cast("double"))))
-    if not names:
-        return df.sparkSession.createDataFrame([], "field string, probe string, position int, rate double")
-    wide = df.agg(*[a.alias(f"p{i}") for i, a in enumerate(aggs)])
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(p).alias("probe"), F.lit(k).alias("position"), F.col(f"p{i}").alias("rate")) for i, (f, p, k) in enumerate(names)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    """(field, probe, position, rate): the share of non-null values that each probe of a field accepts.
+
+    Fields of one kind are stacked, so that the plan has a suite's probes once and not once per field;
+    each task hands on one row of sums per field.
+    """
+    out = df.sparkSession.createDataFrame([], "field string, probe string, position int, rate double")
+    text = [f for f in fields if encoding(df.schema[f].dataType) == "Textual"]
+    whole = [f for f in fields if isinstance(df.schema[f].dataType, T.IntegralType)]
+    for names, suite, value in ((text, TEXT_PROBES, lambda f: F.trim(F.col(f))), (whole, NUMBER_PROBES, lambda f: F.col(f).cast("bigint"))):
+        if not names:
+            continue
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("v")) for f in names])
+        rows = df.select(F.explode(pairs).alias("p")).select("p.field", "p.v")
+        tests = {k: F.avg(F.when(F.col("v").isNotNull(), F.coalesce(t(F.col("v")), F.lit(False)).cast("double"))) for k, t in suite.items()}
+        rates = rows.groupBy("field").agg(*[r.alias(k) for k, r in tests.items()])
+        found = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(i).alias("position"), F.col(k).alias("rate")) for i, k in enumerate(suite)])
+        out = out.unionByName(rates.select("field", F.explode(found).alias("r")).select("field", "r.probe", "r.position", "r.rate"))
+    return out
 
 
 def semantic_types(rates: DataFrame, threshold: float = RATE) -> DataFrame:

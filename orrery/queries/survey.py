@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import stats, survey
 from orrery.queries.vectors import rounded
-from orrery.session import table
+from orrery.session import spread, table
 
 FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -32,7 +32,7 @@ def probed(spark: SparkSession, sf: str) -> DataFrame:
         "geo": F.concat((k % 90).cast("string"), F.lit(", "), (k % 180).cast("string"), F.lit(".5")), "money": F.concat(F.lit("$1,"), F.lpad((k % 1000).cast("string"), 3, "0")),
         "hash": F.concat(F.lit("0x"), hexed), "json": F.concat(F.lit('{"k": '), t, F.lit("}")), "comp": F.concat(F.lit("ORD-"), t), "tags": F.concat(F.lit("red, "), "o_orderstatus", F.lit(",new")),
     }
-    return table(spark, sf, "orders").select(*[c.alias(n) for n, c in cols.items()])
+    return spread(table(spark, sf, "orders")).select(*[c.alias(n) for n, c in cols.items()])
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +40,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _probes(spark: SparkSession, sf: str) -> DataFrame:
