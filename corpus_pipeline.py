@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, decontam, exact_dedup, quality, simhash
+from orrery.llm import bpe, decontam, exact_dedup, quality, similar
 from orrery.session import cut, spread, table
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
-    return simhash.keep_one(spread(docs))
+    """One document of each component of texts that share 0.8 or more of their five-word shingles."""
+    return similar.keep_one(spread(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

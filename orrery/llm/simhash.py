@@ -20,7 +20,7 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,12 +217,11 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def _assigned(docs: DataFrame, id_col: str, text_col: str, errors: int) -> DataFrame:
-    """(doc_id, text_hash, fp, best) per row: best is the (null, doc_id, text_hash) that names the component."""
-    rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+def assigned(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, text_hash, fp) with best, the (null, doc_id, text_hash) that names the component; ``link`` gives edges (u, v) for distinct ``fp``."""
     # Nulls sort last: the first field is false for a real id.
     distinct = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
-    roots = components(links(distinct.select("fp"), errors))
+    roots = components(link(distinct.select("fp")))
     named = cut(distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     # Read from a table, the components have no partitioning of their own to which a large one's fingerprints would have to come.
     least = cut(named.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "components")
@@ -230,15 +229,23 @@ def _assigned(docs: DataFrame, id_col: str, text_col: str, errors: int) -> DataF
     return rows.join(of, "fp")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, errors: int) -> DataFrame:
+    return assigned(cut(fingerprints(docs, id_col, text_col), "fingerprints"), lambda distinct: links(distinct, errors))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of ``docs``."""
-    rows = _assigned(docs, id_col, text_col, errors)
+    rows = _linked(docs, id_col, text_col, errors)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id."""
-    rows = _assigned(docs, id_col, text_col, errors)
+    return staying(docs, _linked(docs, id_col, text_col, errors), id_col, text_col)
+
+
+def staying(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``rows``, one of each."""
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     found = cut(rows.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "near-copies")
     text_hash = F.xxhash64(F.col(text_col))

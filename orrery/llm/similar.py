@@ -1,0 +1,150 @@
+"""Near copies by exact similarity: texts whose sets of word shingles have a Jaccard coefficient of a threshold or more.
+
+Two sets of similarity t share at least one of their n - ceil(t n) + 1 first shingles, in any order that
+holds for all sets. The order is by rising count in the corpus, so a first shingle is rare: shingles of a
+single set fill most of these prefixes and can link nothing. Sets that share a first shingle are compared
+in full, so no pair at or over the threshold is missed, and none below it is linked.
+
+Counts are taken where shingles are dealt out by hash, as packed blocks. Of the sets under a shingle each is
+first compared with the smallest; then all pairs that those links have not already joined.
+
+Defined results: words are lower-cased in A-Z; fewer words than a shingle make one shingle, wordless and
+null texts an empty one; texts of equal sets are linked; links carry on, and a component keeps its smallest
+non-null ``doc_id``; an empty table gives an empty table; other columns are carried along.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from orrery.llm.simhash import assigned, components, staying
+from orrery.session import cut, map_arrow
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Blocks for each shuffle partition.
+SPLIT = 8
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
+    spans = [b" ".join(words)] if len(words) <= shingle else [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
+    return np.unique(np.fromiter((h(s, SEED) for s in spans), np.uint64, len(spans)))
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n, parts): fp names the set of shingles, parts are its n hashes."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                found = [shingles(t.as_py(), shingle) for t in part.column(2)]
+                ends = np.cumsum([0, *map(len, found)])
+                fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+                parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array(np.diff(ends), pa.int64()), parts], names=["doc_id", "text_hash", "fp", "n", "parts"])
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp bigint, n bigint, parts array<bigint>")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """(fp, token, df, m): the shingles of each set that other sets have as well, by their count; m is how many hashes the token stands for.
+
+    A token is a hash cut to a block and 32 bits. One that stands for several hashes makes more to compare, not less.
+    """
+    blocks = SPLIT * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, parts = b.column(0).to_numpy(), b.column(1)
+            ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+            owner = np.repeat(fps, np.diff(ends))
+            h = parts.flatten().to_numpy().view(np.uint64)
+            block = (h >> np.uint64(32)) % np.uint64(blocks)
+            order = np.argsort(block, kind="stable")
+            block, token, owner = block[order].astype(np.int32), h[order].astype(np.uint32), owner[order]
+            at = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(block)) if len(block) else np.array([0])
+            spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            if spans:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[at[:-1]]), pa.array([token[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in spans], pa.binary())],
+                    names=["block", "tokens", "owners"],
+                )
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners = [], []
+        for b in batches:
+            for block, token, owner in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                keys.append(np.frombuffer(token.as_buffer(), np.uint32).astype(np.int64) | np.int64(block << 32))
+                owners.append(np.frombuffer(owner.as_buffer(), np.int64).copy())
+        if not keys:
+            return
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        del keys, owners
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))))
+        m = np.diff(np.append(new, len(key)))
+        key, owner = key[new], owner[new]
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        df = np.diff(np.append(np.flatnonzero(head), len(key)))[np.cumsum(head) - 1]
+        at = np.flatnonzero(df > 1)
+        for i in range(0, len(at), 100_000):
+            x = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(owner[x]), pa.array(key[x]), pa.array(df[x]), pa.array(m[x])], names=["fp", "token", "df", "m"])
+
+    packed = map_arrow(rows.select("fp", "parts"), pack, "block int, tokens binary, owners binary")
+    return map_arrow(packed.repartition("block"), count, "fp bigint, token bigint, df bigint, m bigint")
+
+
+def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """(token, fp, n): the shared shingles among the first of each set, where another set has them among its first."""
+    sizes = rows.groupBy("fp").agg(F.max("n").alias("n"))
+    held = shared(rows).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"), F.sum("m").alias("m"))
+    # Repeated sets count their shingles again, which makes a prefix longer.
+    room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - F.greatest(F.col("n") - F.col("m"), F.lit(0))
+    firsts = held.join(sizes, "fp").withColumn("room", room.cast("int")).where("room > 0")
+    firsts = cut(firsts.select("fp", "n", F.explode(F.slice("s", F.lit(1), F.col("room"))).alias("x")).select("x.token", "fp", "n"), "prefixes")
+    several = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("pivot")).where("k > 1")
+    return cut(firsts.join(several, "token").select("token", "fp", "n", "pivot"), "first-shingles")
+
+
+def similar(pairs: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (u, v) whose sets are as similar as that."""
+    u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
+    both = F.size(F.array_intersect("pu", "pv"))
+    found = pairs.join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
+    return found.select("u", "v")
+
+
+def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): links between sets that connect exactly what all pairs at or over the similarity connect."""
+    firsts = prefixes(rows, similarity)
+    wanted = firsts.select("fp").distinct()
+    parts = cut(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("parts").alias("parts")), "parts")
+    star = firsts.where("fp != pivot").select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct()
+    star = cut(similar(star, parts, similarity), "star")
+    # What the smallest of a shingle's sets has not joined is compared with all others.
+    roots = components(star)
+    of = cut(firsts.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root")), "joined")
+    a, b = (of.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("fp", "n", "root")]) for i in "12")
+    sized = (F.col("n1") >= F.col("n2") * similarity - 1e-9) & (F.col("n2") >= F.col("n1") * similarity - 1e-9)
+    rest = a.join(b, "token").where((F.col("root1") != F.col("root2")) & (F.col("fp1") > F.col("fp2")) & sized)
+    rest = rest.select(F.col("fp1").alias("u"), F.col("fp2").alias("v")).distinct()
+    return star.unionByName(similar(rest, parts, similarity))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id."""
+    rows = cut(sets(docs, id_col, text_col, shingle), "shingles")
+    return staying(docs, assigned(rows.select("doc_id", "text_hash", "fp"), lambda _: links(rows, similarity)), id_col, text_col)

@@ -1,0 +1,71 @@
+import math
+import random
+
+import pytest
+
+import corpus_pipeline
+from orrery.llm import similar as S
+from orrery.session import table
+
+from .common import SCHEMA, frame, hard_rows, texts
+from .test_simhash import components_of
+
+
+def slow_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+
+
+def brute(rows, t=0.8):
+    """Indices of the rows whose (id, text) are the smallest of their component."""
+    sets = [slow_set(x[1]) for x in rows]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+    return components_of(range(len(rows)), near)
+
+
+def edited(text, r, n):
+    w = text.split(" ")
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"changed{r.random()}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_against_brute_force(spark, sf, seed):
+    r = random.Random(seed)
+    base = texts(spark, sf)
+    more = [edited(t, r, max(1, len(t.split(" ")) // r.choice([20, 40, 60, 90]))) for t in base[:30] if len(t.split(" ")) > 30]
+    line = "one very common line of many words that stands in every text of the group"
+    more += [f"{line} {i} {j} x{i}y{j}" for i in range(6) for j in range(5)]
+    rows = hard_rows(base + more)
+    comp = brute(rows)
+    least = {}
+    for i, c in comp.items():
+        least.setdefault(c, []).append(rows[i][0])
+    want = sorted(min((x for x in ids if x is not None), default=-1) for ids in least.values())
+    kept = S.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == want
+
+
+def test_stage_drops_a_copy_many_bits_away_and_keeps_what_is_less_similar(spark):
+    # Documents 1 and 177 share 0.83 of their shingles and are nine bits apart.
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id IN (1, 177)")
+    assert [r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()] == [1]
+    # At sf0.1, 2 and 1700 share 0.68 and are within four bits.
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("doc_id IN (2, 1700)")
+    assert corpus_pipeline.near(spark, docs, "").count() == 2
+
+
+def test_the_threshold_itself_is_a_link(spark):
+    words = [f"w{i}" for i in range(49)]
+    other = words[:45] + ["a", "b", "c", "d"]
+    a, b = slow_set(" ".join(words)), slow_set(" ".join(other))
+    t = len(a & b) / len(a | b)
+    rows = frame(spark, [(i, " ".join(w), "en", "s", 1, "k", "f", "w", 1, 2) for i, w in enumerate((words, other))])
+    assert S.keep_one(rows, similarity=t).count() == 1
+    assert S.keep_one(rows, similarity=math.nextafter(t, 1) + 1e-6).count() == 2
+
+
+def test_empty_table(spark):
+    assert S.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
