@@ -58,6 +58,15 @@ def _find(spark: SparkSession, sf: str) -> DataFrame:
     return extract.find_vector(e, probe, 5)
 
 
+def _converted(vectors: DataFrame) -> DataFrame:
+    return exploded(extract.convert_elements(vectors, "i8", scale=127.0), "vec_id")
+
+
+def _normalized(vectors: DataFrame) -> DataFrame:
+    tripled = vectors.withColumn("embedding", F.transform("embedding", lambda x: (x * 3).cast("float")))
+    return exploded(hygiene.normalize_vectors(tripled), "vec_id").withColumn("x", F.round(F.col("x").cast("double"), 5))
+
+
 def _overlap_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of which a fifth are in the base of ids 100 and up."""
     e = emb(spark, sf)
@@ -83,7 +92,8 @@ def _ks_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "convert_elements": lambda s, sf: exploded(extract.convert_elements(emb(s, sf).where("vec_id < 50"), "i8", scale=127.0), "vec_id"),
+    "convert_elements": lambda s, sf: _converted(emb(s, sf).where("vec_id < 50")),
+    "convert_elements_whole": lambda s, sf: _converted(emb(s, sf)),
     "select_ordinals": lambda s, sf: extract.select_ordinals(emb(s, sf), "3,7,10..19,[20,25),(30,33]").select("vec_id", "label"),
     "slice_vectors": lambda s, sf: exploded(extract.slice_vectors(emb(s, sf), 10, 30, 4, 5), "vec_id"),
     "extract_by_index": _extract_index,
@@ -101,7 +111,8 @@ QUERIES = {
     "measure_normals": lambda s, sf: rounded(hygiene.measure_normals(emb(s, sf)), digits=9),
     "check_normalization": lambda s, sf: hygiene.check_normalization(dirty(s, sf)),
     "fvecs_check": lambda s, sf: hygiene.fvecs_check(dirty(s, sf)),
-    "normalize_vectors": lambda s, sf: exploded(hygiene.normalize_vectors(emb(s, sf).where("vec_id < 50").withColumn("embedding", F.transform("embedding", lambda x: (x * 3).cast("float")))), "vec_id").withColumn("x", F.round(F.col("x").cast("double"), 5)),
+    "normalize_vectors": lambda s, sf: _normalized(emb(s, sf).where("vec_id < 50")),
+    "normalize_vectors_whole": lambda s, sf: _normalized(emb(s, sf)),
     "remove_zeros": lambda s, sf: hygiene.remove_zeros(dirty(s, sf)).select("vec_id"),
     "overlap": lambda s, sf: rounded(hygiene.overlap(_overlap_queries(s, sf), emb(s, sf).where("vec_id >= 100"))),
     "remove_overlap": _remove_overlap,
@@ -188,3 +199,6 @@ FROM embeddings l, h, embeddings r WHERE l.vec_id % 10 = 0 AND r.vec_id = l.vec_
 SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std_dev, round((max(d) - min(d)) / min(d), 6) AS contrast, round(stddev_pop(d) / avg(d), 6) AS cv FROM p""",
     "covariance": f"WITH {_C} SELECT a.dim::INT AS i, b.dim::INT AS j, round(covar_pop(a.x, b.x), 9) AS cov FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL",
 }
+
+# The same over the whole table.
+ORACLES |= {f"{k}_whole": ORACLES[k].replace(" WHERE vec_id < 50", "") for k in ("convert_elements", "normalize_vectors")}
