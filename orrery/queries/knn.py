@@ -1,7 +1,14 @@
-"""Nearest neighbours over ``embeddings``: queries are the ids below 20, the base is the rest."""
+"""Nearest neighbours over ``embeddings``: queries are the ids below 20, the base is the rest.
+
+Queries named _whole take every row whose id is divisible by 20 against all rows.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +17,7 @@ from orrery.session import table
 
 K, N_QUERIES = 10, 20
 SIZES = [50, 120, 300]
+Sides = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -17,7 +25,13 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e.where(f"vec_id >= {N_QUERIES}"), e.where(f"vec_id < {N_QUERIES}")
 
 
-def passing(spark: SparkSession, sf: str) -> DataFrame:
+def whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A query finds itself first: it is a row of the base."""
+    e = table(spark, sf, "embeddings")
+    return e, e.where("vec_id % 20 = 0")
+
+
+def passing(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     """(query_id, ordinal): base rows that share the query's label."""
     b, q = sides(spark, sf)
     return q.select(F.col("vec_id").alias("query_id"), "label").join(b.select(F.col("vec_id").alias("ordinal"), "label"), "label").drop("label")
@@ -28,77 +42,82 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _metric(metric: str, mode: str | None = None):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
+    def run(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
         b, q = sides(spark, sf)
         return rounded(knn.knn(b, q, K, metric, mode))
 
     return run
 
 
-def _distances(spark: SparkSession, sf: str) -> DataFrame:
+def _distances(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
     return rounded(knn.knn_distances(knn.knn(b, q, K), b, q, "L1"))
 
 
-def _ties(spark: SparkSession, sf: str) -> DataFrame:
+def _ties(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     # Components cut to a few levels, so that there are ties.
-    b, q = (x.withColumn("embedding", F.transform(F.slice("embedding", 1, 4), lambda v: F.round(v * 2).cast("float"))) for x in sides(spark, sf))
+    kept = F.slice("embedding", 1, 4) if sides is not whole else F.col("embedding")
+    b, q = (x.withColumn("embedding", F.transform(kept, lambda v: F.round(v * 2).cast("float"))) for x in sides(spark, sf))
     return knn.knn_ties(b, q, K)
 
 
-def _pre(spark: SparkSession, sf: str) -> DataFrame:
+def _pre(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(knn.prefiltered_knn(b, q, passing(spark, sf), K))
+    return rounded(knn.prefiltered_knn(b, q, passing(spark, sf, sides), K))
 
 
-def _post(spark: SparkSession, sf: str) -> DataFrame:
+def _post(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    return knn.postfiltered_knn(knn.knn(b, q, 50), passing(spark, sf))
+    return knn.postfiltered_knn(knn.knn(b, q, 50), passing(spark, sf, sides))
 
 
-def _partitioned(spark: SparkSession, sf: str) -> DataFrame:
+def _partitioned(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
     return rounded(knn.partitioned_knn(b, q, K))
 
 
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
+def _sized(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
+    if sides is whole:
+        n = b.count()
+        return rounded(knn.sized_knn(b, q, sorted({*[x for x in SIZES if x < n], n}), K))
     return rounded(knn.sized_knn(b, q, SIZES, K, offset=N_QUERIES))
 
 
-def _spoiled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The true neighbours, and the same with faults: query 1 swaps two, 2 loses three, 3 loses all but two."""
+def _spoiled(spark: SparkSession, sf: str, sides: Sides = sides) -> tuple[DataFrame, DataFrame]:
+    """The true neighbours, and the same with faults: query 1 swaps two, 2 loses three, 3 loses all but two; of the whole, queries 20, 40 and 60."""
+    step = 20 if sides is whole else 1
     b, q = sides(spark, sf)
     truth = knn.knn(b, q, K)
-    bad = truth.withColumn("rank", F.when((F.col("query_id") == 1) & (F.col("rank") < 2), 1 - F.col("rank")).otherwise(F.col("rank")))
-    gone = ((F.col("query_id") == 2) & (F.col("rank") >= 7)) | ((F.col("query_id") == 3) & (F.col("rank") >= 2))
-    return truth, bad.withColumn("neighbor_id", F.when(gone, -F.col("neighbor_id")).otherwise(F.col("neighbor_id")))
+    bad = truth.withColumn("rank", F.when((F.col("query_id") == step) & (F.col("rank") < 2), 1 - F.col("rank")).otherwise(F.col("rank")))
+    gone = ((F.col("query_id") == 2 * step) & (F.col("rank") >= 7)) | ((F.col("query_id") == 3 * step) & (F.col("rank") >= 2))
+    return truth, bad.withColumn("neighbor_id", F.when(gone, -1 - F.col("neighbor_id")).otherwise(F.col("neighbor_id")))
 
 
-def _compare(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.knn_compare(*_spoiled(spark, sf))
+def _compare(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+    return verify.knn_compare(*_spoiled(spark, sf, sides))
 
 
-def _verify(spark: SparkSession, sf: str) -> DataFrame:
-    truth, bad = _spoiled(spark, sf)
+def _verify(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+    truth, bad = _spoiled(spark, sf, sides)
     return rounded(verify.recall(truth, bad), "recall")
 
 
-def _verify_pre(spark: SparkSession, sf: str) -> DataFrame:
+def _verify_pre(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    rows = passing(spark, sf)
+    rows = passing(spark, sf, sides)
     again = knn.postfiltered_knn(knn.knn(b, q, b.count(), plan="sql"), rows)
     return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, rows, K), verify.first_ranks(again, K)))
 
 
-def _verify_post(spark: SparkSession, sf: str) -> DataFrame:
+def _verify_post(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    ground, rows = knn.knn(b, q, 50), passing(spark, sf)
+    ground, rows = knn.knn(b, q, 50), passing(spark, sf, sides)
     direct = knn.knn(b, q, 50, plan="sql").join(rows.withColumnRenamed("ordinal", "neighbor_id"), ["query_id", "neighbor_id"])
     return verify.summary(verify.knn_compare(direct, knn.postfiltered_knn(ground, rows)))
 
 
-def _parity(spark: SparkSession, sf: str) -> DataFrame:
+def _parity(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
     out = None
     for metric, mode in (("L2", None), ("DOT", None), ("L1", None), ("COSINE", "proper")):
@@ -107,21 +126,25 @@ def _parity(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def _explain(spark: SparkSession, sf: str) -> DataFrame:
+def _explain(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(verify.explain_knn(knn.knn(b, q, K), knn.knn(b, q, K, plan="sql"), 7), "distance", "recomputed_distance")
+    return rounded(verify.explain_knn(knn.knn(b, q, K), knn.knn(b, q, K, plan="sql"), 140 if sides is whole else 7), "distance", "recomputed_distance")
 
 
-def _explain_filtered(spark: SparkSession, sf: str) -> DataFrame:
+def _explain_filtered(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    rows = passing(spark, sf)
+    rows = passing(spark, sf, sides)
     out = verify.explain_filtered_knn(knn.knn(b, q, 50), knn.prefiltered_knn(b, q, rows, 50), rows, b.count(), 50)
     return rounded(out, "selectivity", "recall", "mean_rank_shift")
 
 
-def _explain_partition(spark: SparkSession, sf: str) -> DataFrame:
+def _explain_partition(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     b, q = sides(spark, sf)
-    return verify.explain_partition(knn.partition_profiles(b), knn.partitioned_knn(b, q, K), 5)
+    return verify.explain_partition(knn.partition_profiles(b), knn.partitioned_knn(b, q, K), 100 if sides is whole else 5)
+
+
+def _profiles(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+    return knn.partition_profiles(sides(spark, sf)[0], least=K)
 
 
 QUERIES = {
@@ -133,7 +156,7 @@ QUERIES = {
     "knn_distances": _distances,
     "prefiltered_knn": _pre,
     "postfiltered_knn": _post,
-    "partition_profiles": lambda spark, sf: knn.partition_profiles(sides(spark, sf)[0], least=K),
+    "partition_profiles": _profiles,
     "partitioned_knn": _partitioned,
     "sized_profile_knn": _sized,
     "knn_compare": _compare,
@@ -145,6 +168,7 @@ QUERIES = {
     "explain_filtered_knn": _explain_filtered,
     "explain_partition": _explain_partition,
 }
+QUERIES |= {f"{k}_whole": partial(f, sides=whole) for k, f in QUERIES.items()}
 
 _BQ = f"b AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE vec_id >= {N_QUERIES}), q AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE vec_id < {N_QUERIES})"
 _ZIP = "list_sum(list_transform(list_zip(q.v, b.v), lambda p: {}))"
@@ -206,3 +230,22 @@ round(avg(abs(fr - gr)), 6) AS mean_rank_shift, count(*) FILTER (gr IS NULL) AS
     "explain_partition": f"""WITH {_BQ}, {_ranked('L2', K, 'WHERE q.label = b.label')}, p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id FROM b)
 SELECT rank::INT AS rank, neighbor_id, p.label, ordinal FROM g JOIN p ON p.vec_id = neighbor_id WHERE query_id = 5""",
 }
+
+
+def _of_whole(name: str, sql: str) -> str:
+    """The SQL of the same query where every 20th row is a query and all rows are the base."""
+    size = "(SELECT count(*) FROM embeddings)"
+    sql = sql.replace(f"WHERE vec_id >= {N_QUERIES}", "").replace(f"WHERE vec_id < {N_QUERIES}", "WHERE vec_id % 20 = 0")
+    if name == "knn_ties":
+        return sql.replace("embedding[1:4]", "embedding")
+    if name == "sized_profile_knn":
+        ladder = f"SELECT DISTINCT least(unnest({SIZES} || [{size}::INT]), {size})::INT AS size"
+        return sql.replace(f"SELECT unnest({SIZES}) AS size", ladder).replace(f"b.vec_id - {N_QUERIES} < size", "b.vec_id < size")
+    if name in ("knn_compare", "verify_knn"):
+        return re.sub(r"WHEN ([123]) THEN", lambda m: f"WHEN {20 * int(m[1])} THEN", sql)
+    if name == "engine_parity":
+        return sql.replace(f"{N_QUERIES}::BIGINT", "(SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)")
+    return sql.replace("query_id = 7", "query_id = 140").replace("query_id = 5", "query_id = 100")
+
+
+ORACLES |= {f"{k}_whole": _of_whole(k, s) for k, s in ORACLES.items()}
