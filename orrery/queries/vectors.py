@@ -77,6 +77,13 @@ def _remove_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return hygiene.remove_overlap(_overlap_queries(spark, sf), emb(spark, sf).where("vec_id >= 100")).select("vec_id")
 
 
+def _shared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every 20th vector, and all others with a copy of every 100th under another id: a fifth of the queries are in the base, whatever the size."""
+    e = emb(spark, sf).select("vec_id", "embedding")
+    copies = e.where("vec_id % 100 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    return e.where("vec_id % 20 = 0"), e.where("vec_id % 20 <> 0").unionByName(copies)
+
+
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = emb(spark, sf)
     return e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
@@ -116,6 +123,8 @@ QUERIES = {
     "remove_zeros": lambda s, sf: hygiene.remove_zeros(dirty(s, sf)).select("vec_id"),
     "overlap": lambda s, sf: rounded(hygiene.overlap(_overlap_queries(s, sf), emb(s, sf).where("vec_id >= 100"))),
     "remove_overlap": _remove_overlap,
+    "overlap_whole": lambda s, sf: rounded(hygiene.overlap(*_shared(s, sf))),
+    "remove_overlap_whole": lambda s, sf: hygiene.remove_overlap(*_shared(s, sf)).select("vec_id"),
     "shuffle_split": lambda s, sf: hygiene.shuffle_split(emb(s, sf), 50, seed=42),
     "stats_global": lambda s, sf: rounded(stats.stats_global(emb(s, sf))),
     "stats_per_dimension": lambda s, sf: rounded(stats.stats_per_dimension(emb(s, sf))),
@@ -202,3 +211,9 @@ SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std_dev, round((max(
 
 # The same over the whole table.
 ORACLES |= {f"{k}_whole": ORACLES[k].replace(" WHERE vec_id < 50", "") for k in ("convert_elements", "normalize_vectors")}
+_SHARED = """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+b AS (SELECT embedding FROM embeddings WHERE vec_id % 20 <> 0 UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 100 = 0)"""
+ORACLES |= {
+    "overlap_whole": f"{_SHARED} SELECT count(*) AS queries, count(*) FILTER (s) AS shared, round(count(*) FILTER (s) / count(*), 6) AS fraction FROM (SELECT embedding IN (SELECT embedding FROM b) AS s FROM q)",
+    "remove_overlap_whole": f"{_SHARED} SELECT vec_id FROM q WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.embedding = q.embedding)",
+}

@@ -20,3 +20,10 @@ def test_every_twentieth_row_is_a_query(spark, sf, name):
         assert got.agg({"size": "max"}).first()[0] == e.count()
     if name == "knn_l2":
         assert got.where("rank = 0 AND query_id = neighbor_id").count() == e.where("vec_id % 20 = 0").count()
+
+
+def test_overlap_grows_with_the_table(spark, sf):
+    n = table(spark, sf, "embeddings").where("vec_id % 20 = 0").count()
+    shared = entry.queries()["overlap_whole"](spark, sf).first()
+    assert shared.queries == n and shared.shared >= n // 5
+    assert entry.queries()["remove_overlap_whole"](spark, sf).count() == n - shared.shared
