@@ -1,12 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index (DataFrame functions only).
 
-The index stores postings (term, document, ordered positions) of training tokens. A query phrase
-looks up its rarest terms first: their position lists, shifted by the term's offset in the phrase,
-must share an alignment before anything else is read. What survives is checked word by word.
+The index stores a posting (term, row, position) for every token of the training texts, and nothing else
+is read afterwards. It is sharded by document: each file holds the postings of the documents that one task
+read, ordered by term, so a term's list is contiguous in every shard, a term that all documents hold is
+spread over all shards, and building the index moves nothing.
 
-Only the anchors, the rarest terms of each window by their counts over the whole corpus, are
-indexed: other terms could only confirm what the exact check decides. Postings of one term are one
-row per document, so a term that every document holds gives no more rows than there are documents.
+A phrase is looked up from its rarest term on, by counts over the whole corpus. The lists of its two rarest
+terms meet first: places at most SLOP words apart are proximity matches, and those at just the phrase's own
+offset are alignments. Each further term's list, shifted by its offset, must hold the alignment too; what all
+terms hold is an exact match. Equal windows of several items are one phrase.
 
 Defined results: a null or wordless text has no words and no hits; a wordless item matches nothing;
 an item with fewer words than a window is one window; repeated rows each get their own result;
@@ -22,16 +24,15 @@ from pyspark.sql import functions as F
 from orrery.session import cut
 
 WINDOW = 10
-#: How many of a window's rarest terms have to agree on an alignment before the exact check.
-ANCHORS = 2
-#: A query side of up to so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Words between the two rarest terms of a window in a proximity match, at most.
+SLOP = 10
+#: A query side of up to so many rows and bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of other characters than these; a capital is one before it is lower-cased.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-IN_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: Bits of the filter that keeps texts without an alignment from being moved: 1 MB, whatever the input.
+#: Bits of the filter that keeps postings of rows without an alignment from being moved: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
 
 
@@ -51,130 +52,157 @@ def words(text: Column) -> Column:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if a count proves it small, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if a count of its rows and bytes proves it small, else left to a shuffle join."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): occurrences over all documents of the terms asked for."""
-    tokens = docs.select(F.explode(raw_words(F.col(text_col))).alias("word")).select(lowered(F.col("word")).alias("term"))
-    return tokens.join(_bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional index of all tokens, stored: (term, row, pos, doc_id, text_hash).
 
+    The empty term's postings are the documents themselves: pos is the number of words, and only these rows
+    carry doc_id and the text's hash. ``row`` tells repeated ids apart; it is fixed by being written.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), raw_words(F.col(text_col)).alias("w"))
+    rows = rows.select("*", F.size("w").alias("n_words"))
+    posts = rows.select("row", "doc_id", "text_hash", "n_words", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("at", "word"))
+    own = F.col("at") == 0
+    return cut(
+        posts.select(
+            lowered(F.col("word")).alias("term"),
+            "row",
+            F.when(own, F.col("n_words")).otherwise(F.col("at") - 1).alias("pos"),
+            F.when(own, F.col("doc_id")).alias("doc_id"),
+            F.when(own, F.col("text_hash")).alias("text_hash"),
+        ).sortWithinPartitions("term"),
+        "postings",
+    )
 
-def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index, stored: (term, doc_id, positions) for the terms asked for.
 
-    Positions are gathered before the shuffle by the task that read the document.
-    """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
-    tokens = tokens.select("doc_id", "pos", lowered(F.col("word")).alias("term"))
-    found = tokens.join(_bounded(terms.select("term").distinct()), "term")
-    return cut(found.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions")), "postings")
+def documents(index: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, n_words) of every indexed row."""
+    return index.where("term = ''").select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+
+
+def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, row, pos) of the terms asked for, with the other columns of ``terms``."""
+    return index.where("term <> ''").select("term", "row", "pos").join(_bounded(terms), "term")
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): occurrences over all documents of the terms asked for."""
+    return postings(index, terms).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def query_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(bid, item_id, item_words): distinct items that have words."""
-    out = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
-    return out.withColumn("bid", F.md5(F.to_json(F.struct("item_id", "item_words"))))
+def query_phrases(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(wid, phrase), each distinct window of the items, and (wid, item_id), the items that have it; both stored."""
+    texts = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
+    texts = texts.select("item_id", "w", F.size("w").alias("n"), F.least(F.size("w"), F.lit(window)).alias("size")).where("n > 0")
+    windows = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.get("w", i + k)))
+    held = cut(texts.select("item_id", F.explode(windows).alias("phrase")).distinct(), "windows")
+    phrases = cut(held.select("phrase").distinct().select(F.monotonically_increasing_id().alias("wid"), "phrase"), "phrases")
+    return phrases, cut(held.join(phrases, "phrase").select("wid", "item_id"), "owners")
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, n: int = ANCHORS) -> DataFrame:
-    """(bid, start, size, at, term): the n rarest positions of each window, by corpus counts.
+def by_rarity(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """(wid, size, t0, k0, t1, delta, rest), stored: the rarest term and its place, the next one and its distance, all others as (k, term).
 
-    A window with a term that the corpus lacks cannot occur and is left out.
+    A phrase with a term that the corpus lacks cannot occur and is left out. A phrase of one word has a null t1.
     """
-    size = F.least(F.size("item_words"), F.lit(window))
-    wins = items.select("bid", "item_words", size.alias("size"), F.explode(F.sequence(F.lit(0), F.size("item_words") - size)).alias("start"))
-    cells = wins.select("bid", "start", "size", F.posexplode(F.slice("item_words", F.col("start") + 1, F.col("size"))).alias("k", "term"))
-    cells = cells.join(counts, "term", "left").withColumn("at", F.col("start") + F.col("k"))
-    w = Window.partitionBy("bid", "start")
-    ranked = cells.withColumn("lacking", F.max(F.col("n").isNull()).over(w)).withColumn("rank", F.row_number().over(w.orderBy("n", "at")))
-    return ranked.where(~F.col("lacking") & (F.col("rank") <= n)).select("bid", "start", "size", "at", "term")
+    cells = phrases.select("wid", F.size("phrase").alias("size"), F.posexplode("phrase").alias("k", "term")).join(counts, "term")
+    lists = cells.groupBy("wid", "size").agg(F.sort_array(F.collect_list(F.struct("n", "k", "term"))).alias("c")).where(F.size("c") == F.col("size"))
+    a, b = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    rest = F.transform(F.filter("c", lambda x, i: i >= 2), lambda x: F.struct(x["k"].alias("k"), x["term"].alias("term")))
+    return cut(lists.select("wid", "size", a["term"].alias("t0"), a["k"].alias("k0"), b["term"].alias("t1"), (b["k"] - a["k"]).alias("delta"), rest.alias("rest")), "lists")
 
 
-def alignments(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, bid, shift): where all rarest terms of some window agree; shift = document minus item position.
+def near(index: DataFrame, pairs: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(row, t0, t1, p, d): places p of t0 with t1 at p + d, at most ``slop`` words away. ``pairs`` has t0 and t1.
 
-    The lists of one (document, item) are intersected after subtracting each term's offset. Only
-    shifts leave the join, one row per document, item and anchor position.
+    Positions are dealt into blocks of 2 slop + 1, of which a place reaches two; rows and blocks are the join's
+    keys, so neither a frequent term nor a long text is a hot key.
     """
-    at = wanted.select("bid", "term", "at").distinct()
-    shifted = index.join(_bounded(at), "term").select("doc_id", "bid", "at", F.transform("positions", lambda p: p - F.col("at")).alias("shifts"))
-    lists = shifted.groupBy("doc_id", "bid").agg(F.collect_list(F.struct("at", "shifts")).alias("lists"))
-    wins = wanted.groupBy("bid", "start").agg(F.sort_array(F.collect_set("at")).alias("need")).groupBy("bid").agg(F.collect_set("need").alias("needs"))
-    joined = lists.join(_bounded(wins), "bid").where(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("lists.at"))) == 0))
-
-    def of(at: Column) -> Column:
-        return F.flatten(F.transform(F.filter("lists", lambda x: x["at"] == at), lambda x: x["shifts"]))
-
-    def meet(need: Column) -> Column:
-        rest = F.slice(need, 2, F.greatest(F.size(need) - 1, F.lit(0)))
-        return F.aggregate(rest, of(need[0]), lambda acc, a: F.array_intersect(acc, of(a)))
-
-    shifts = F.array_distinct(F.flatten(F.transform("needs", meet)))
-    return joined.select("doc_id", "bid", F.explode(shifts).alias("shift"))
-
-
-def _starts(word_list: Column, item: Column, shift: Column, size: Column) -> Column:
-    """Starts in the item of the windows that occur in the document at this shift."""
-    same = F.transform(item, lambda x, i: F.coalesce(F.get(word_list, i + shift) == x, F.lit(False)))
-    # ends[i]: the length of the run of equal words that ends at i.
-    ends = F.aggregate(
-        same,
-        F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs")),
-        lambda acc, x: F.struct(F.when(x, acc["run"] + 1).otherwise(0).alias("run"), F.concat(acc["runs"], F.array(F.when(x, acc["run"] + 1).otherwise(0))).alias("runs")),
-        lambda acc: acc["runs"],
-    )
-    return F.filter(F.transform(ends, lambda r, i: F.when(r >= size, i - size + 1)), lambda s: s.isNotNull())
+    wide = 2 * slop + 1
+    left = postings(index, pairs.select(F.col("t0").alias("term"), "t1").distinct())
+    blocks = F.array_distinct(F.array(F.expr(f"(pos + {wide - slop}) div {wide}"), F.expr(f"(pos + {wide + slop}) div {wide}")))
+    left = left.select("row", F.col("term").alias("t0"), "t1", F.col("pos").alias("p"), F.explode(blocks).alias("block"))
+    right = postings(index, pairs.select(F.col("t1").alias("term")).distinct())
+    right = right.select("row", F.col("term").alias("t1"), F.col("pos").alias("q"), F.expr(f"(pos + {wide}) div {wide}").alias("block"))
+    both = left.join(right, ["row", "block", "t1"]).where(f"p <> q AND abs(q - p) <= {slop}")
+    return both.select("row", "t0", "t1", "p", (F.col("q") - F.col("p")).alias("d"))
 
 
-def _may_hold(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without most rows whose id is not among ``ids``: a bit filter of FILTER_BITS, joined by broadcast.
+def _may_hold(posts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``posts`` without most rows that are not among ``rows``: a bit filter of FILTER_BITS, joined by broadcast.
 
     It has a row per 64 bits, 131,072 at most, so what is broadcast is bounded whatever the input.
     """
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    bits = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("_bit")).groupBy(F.expr("_bit div 64").alias("_part"))
-    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
-    out = docs.withColumn("_bit", bit).withColumn("_at", F.expr("_bit div 64")).join(F.broadcast(bits), F.col("_at") == F.col("_part"))
-    return out.where(F.expr("getbit(_bits, cast(_bit % 64 as int)) = 1")).select(*docs.columns)
-
-
-def phrase_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, hits, item_ids) of the texts with hits: hit word positions, and the items with occurring windows."""
-    bench = cut(query_items(items), "items")
-    counts = cut(term_counts(docs, bench.select(F.explode("item_words").alias("term")).distinct(), text_col), "counts")
-    wanted = cut(anchors(bench, counts, window), "anchors")
-    index = build_index(docs, wanted, id_col, text_col)
-    found = alignments(index, wanted).join(_bounded(bench), "bid")
-    size = F.least(F.size("item_words"), F.lit(window)).alias("size")
-    found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", size, "item_words")).alias("found")), "alignments").alias("f")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # Words are made below the join: above it they would be made again for each word compared.
-    rows = _may_hold(rows, found.select("doc_id"), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).alias("d")
-    rows = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))).select("d.doc_id", "text_hash", "w", "found")
-    checked = F.transform("found", lambda x: F.struct(x["item_id"].alias("item_id"), x["shift"].alias("shift"), x["size"].alias("size"), _starts(F.col("w"), x["item_words"], x["shift"], x["size"]).alias("starts")))
-    rows = rows.select("doc_id", "text_hash", F.filter(checked, lambda x: F.size(x["starts"]) > 0).alias("ok")).where(F.size("ok") > 0)
-    hits = F.flatten(F.flatten(F.transform("ok", lambda x: F.transform(x["starts"], lambda s: F.sequence(s + x["shift"], s + x["shift"] + x["size"] - 1)))))
-    return rows.select("doc_id", "text_hash", F.array_distinct(hits).alias("hits"), F.array_distinct(F.transform("ok", lambda x: x["item_id"])).alias("item_ids"))
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+
+    bits = rows.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = posts.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part")
+    return out.where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select(*posts.columns)
+
+
+def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """Exact matches (row, start, size, wid, item ids by ``wid``) and proximity matches, both stored.
+
+    Returns (occurrences, owners, close): occurrences (wid, row, start, size); owners (wid, item_id);
+    close (row, item_id): items with a window whose two rarest terms stand at most ``slop`` words apart.
+    """
+    phrases, owners = query_phrases(items, window)
+    counts = cut(term_counts(index, phrases.select(F.explode("phrase").alias("term")).distinct()), "counts")
+    lists = by_rarity(phrases, counts)
+    pairs = lists.where("t1 IS NOT NULL")
+    found = cut(near(index, pairs, slop), "near")
+    single = lists.where("t1 IS NULL")
+    alone = cut(postings(index, single.select(F.col("t0").alias("term"), "wid")).select("wid", "row", F.col("pos").alias("start"), F.lit(1).alias("size")), "alone")
+    # Alignments of the two rarest terms, and all other terms of their phrases at the places where they must be.
+    aligned = found.join(_bounded(pairs.select("wid", "size", "k0", "t0", "t1", F.col("delta").alias("d"))), ["t0", "t1", "d"])
+    aligned = cut(aligned.select("wid", "row", (F.col("p") - F.col("k0")).alias("start"), "size"), "alignments")
+    wanted = aligned.join(_bounded(pairs.select("wid", "rest")), "wid").select("wid", "row", "start", "size", F.explode("rest").alias("c"))
+    wanted = wanted.select("wid", "row", "start", "size", (F.col("start") + F.col("c.k")).alias("pos"), F.col("c.term").alias("term"))
+    held = postings(index, pairs.select(F.explode("rest.term").alias("term")).distinct())
+    met = wanted.join(_may_hold(held, aligned), ["row", "pos", "term"]).groupBy("wid", "row", "start", "size").agg(F.count(F.lit(1)).alias("n"))
+    whole = met.where("n = size - 2").drop("n").unionByName(aligned.where("size = 2")).unionByName(alone)
+    owned = _bounded(lists.where("t1 IS NOT NULL").join(owners, "wid").select("t0", "t1", "item_id").distinct())
+    close = found.select("row", "t0", "t1").distinct().join(owned, ["t0", "t1"]).select("row", "item_id")
+    close = close.unionByName(alone.select("wid", "row").distinct().join(_bounded(owners), "wid").select("row", "item_id")).distinct()
+    return cut(whole, "matches"), owners, cut(close, "close")
+
+
+def results(index: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, n_hit, n_items, items_sha256, n_near) of the rows with any match."""
+    whole, owners, close = matches(index, items)
+    # Words in any match, each once: what a match adds to the matches that begin before it.
+    before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    more = F.col("start") + F.col("size") - F.greatest("start", F.coalesce(before, F.lit(0)))
+    hits = whole.select("row", F.greatest(more, F.lit(0)).alias("more")).groupBy("row").agg(F.sum("more").alias("n_hit"))
+    found = whole.select("row", "wid").distinct().join(_bounded(owners), "wid").select("row", "item_id").distinct()
+    ids = F.array_sort(F.collect_list(F.col("item_id").cast("string")))
+    found = found.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"))
+    by_row = close.groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    return by_row.join(hits.join(found, "row"), "row", "left").select("row", "n_hit", "n_items", "items_sha256", "n_near")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``."""
-    ids = F.array_sort(F.transform(F.filter("item_ids", lambda i: i.isNotNull()), lambda i: i.cast("string")))
-    hit = phrase_hits(docs, items, id_col, text_col)
-    hit = hit.select("doc_id", "text_hash", F.size("hits").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"))
-    # Equal rows have equal results: a text is known by its id and hash.
-    hit = cut(hit.distinct(), "hits").alias("h")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(IN_WORD)).cast("long").alias("n_words")).alias("d")
-    rows = rows.join(hit, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near: one row per row of ``docs``.
+
+    n_near counts the items with a proximity match; every item with an exact match has one.
+    """
+    index = build_index(docs, id_col, text_col)
+    rows = documents(index).join(cut(results(index, items), "results"), "row", "left")
     return rows.select(
-        "d.doc_id",
+        "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
@@ -183,16 +211,16 @@ def proximity_hits(docs: DataFrame, pairs: DataFrame, slop: int, id_col: str = "
 
     ``pairs`` has columns a and b. Each occurrence of a with at least one b near it counts once.
     """
-    terms = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    index = build_index(docs, terms, id_col, text_col)
-    left = index.select(F.col("term").alias("a"), "doc_id", F.col("positions").alias("pa")).join(_bounded(pairs.select("a", "b").distinct()), "a")
-    right = index.select(F.col("term").alias("b"), F.col("doc_id").alias("doc_b"), F.col("positions").alias("pb"))
-    both = left.join(right, (left["b"] == right["b"]) & left["doc_id"].eqNullSafe(right["doc_b"]))
-    near = F.filter("pa", lambda p: F.exists("pb", lambda q: (p != q) & (F.abs(p - q) <= slop)))
-    return both.select("doc_id", "a", left["b"], F.size(near).cast("long").alias("n")).where("n > 0")
+    index = build_index(docs, id_col, text_col)
+    found = near(index, pairs.select(F.col("a").alias("t0"), F.col("b").alias("t1")).distinct(), slop)
+    n = found.select("row", "t0", "t1", "p").distinct().groupBy("row", "t0", "t1").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(documents(index), "row").select("doc_id", F.col("t0").alias("a"), F.col("t1").alias("b"), "n")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, with all their columns."""
-    bad = cut(phrase_hits(docs, items, id_col, text_col).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col)) == F.col("_bad_hash")), "left_anti")
+    """The rows of ``docs`` without any hit, with all their columns. A row is known by its id and its text's hash: rows with both equal have equal results."""
+    index = build_index(docs, id_col, text_col)
+    bad = matches(index, items)[0].select("row").distinct().join(documents(index), "row")
+    bad = cut(bad.select("doc_id", "text_hash").distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("r"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    return rows.join(bad, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_anti").select("r.*")

@@ -107,9 +107,17 @@ sizes AS (SELECT DISTINCT s FROM bs),
 dw AS (SELECT doc_id, s, i, array_to_string(w[i : i + s - 1], ' ') AS g FROM (SELECT doc_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, sizes)),
 m AS (SELECT dw.doc_id, dw.s, dw.i, bw.item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.g = bw.g),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+tok AS (SELECT doc_id, w[p] AS term, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+cnt AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+cell AS (SELECT item_id, s, i, k, w[i + k] AS term FROM (SELECT item_id, w, s, i, unnest(range(0, s)) AS k FROM (SELECT item_id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM bs))),
+rare AS (SELECT item_id, s, list(cell.term ORDER BY n, k) AS ts FROM cell JOIN cnt USING (term) GROUP BY item_id, s, i HAVING count(*) = s),
+pair AS (SELECT DISTINCT item_id, ts[1] AS a, CASE WHEN s = 1 THEN '' ELSE ts[2] END AS b FROM rare),
+close AS (SELECT x.doc_id, pair.item_id FROM pair JOIN tok x ON x.term = a JOIN tok y ON y.doc_id = x.doc_id AND y.term = b WHERE x.p <> y.p AND abs(x.p - y.p) <= {decontam.SLOP}
+  UNION SELECT x.doc_id, pair.item_id FROM pair JOIN tok x ON x.term = a WHERE b = ''),
+c AS (SELECT doc_id, count(*) AS n_near FROM close GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
 }
