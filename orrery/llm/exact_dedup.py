@@ -1,9 +1,10 @@
 """Exact deduplication by content-defined chunk recipes (DataFrame functions only).
 
-A normalised text is cut into chunks at places its own content decides. Every chunk gets a
-verified identifier, a document becomes its ordered list of identifiers (its recipe), and two
-documents are equal exactly when their recipes are. Long texts never meet each other: each distinct
-chunk crosses the network once, to verify identifiers, and afterwards only recipes move.
+A normalised text is cut into chunks at places its own bytes decide: a hash of a window that slides over them
+says where. Every chunk gets a verified identifier, a document becomes its ordered list of identifiers (its
+recipe), and two documents are equal exactly when their recipes are. Texts are cut once and never meet each
+other: chunks whose hash occurs once cannot be mistaken for another, so only those of repeated hashes cross
+the network, each distinct one once a task, to be compared byte by byte; afterwards only recipes move.
 
 Defined results: a null text counts as empty; empty texts equal each other and have the empty
 recipe; of rows with equal texts the one with the smallest ``doc_id`` stays (null ids are never
@@ -22,8 +23,20 @@ from orrery.session import cut
 
 #: White space as the contract names it, except a lone space: what has to be replaced.
 RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-#: A chunk ends after one of these letter patterns, at 256 characters or more, or at 4,096.
-CHUNK = r"(?s).{252,4092}?[b-dg-l][aeiou][n-t] |.{1,4096}"
+#: The window's hash has a bit for each of its characters: the parity of the last byte's bits under a mask. A
+#: chunk may end where all bits are as wanted. Every mask has the lowest bit, in which neighbours of any alphabet differ.
+MASKS, WANTED = (0x01, 0x1B, 0x35, 0x2F, 0x51, 0x6D, 0x47, 0x7B), (1, 0, 1, 1, 0, 1, 0, 0)
+#: Bytes of a chunk before its window, at least, and in all, at most.
+LEAST, MOST = 248, 4096
+#: Bits of the filter that keeps chunks of unique hashes from being moved: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _pattern() -> str:
+    """Chunks as a regular expression over bytes, so that the window slides in the JVM; the bytes before a character's last are passed over."""
+    before = r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]|[\xF0-\xF4][\x80-\xBF]{2})?+"
+    last = ("".join(f"\\x{b:02X}" for b in range(256) if (b & m).bit_count() % 2 == w) for m, w in zip(MASKS, WANTED, strict=True))
+    return f"(?s).{{{LEAST},{MOST - 8}}}?{before.join(f'[{x}]' for x in last)}|.{{1,{MOST}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -32,8 +45,19 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(norm: Column) -> Column:
-    """The content-defined chunks of a text in order; they join to the text again."""
-    return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
+    """The content-defined chunks of a text's UTF-8 in order, each byte as the character of its number."""
+    return F.regexp_extract_all(F.decode(F.encode(norm, "UTF-8"), "ISO-8859-1"), F.lit(_pattern()), F.lit(0))
+
+
+def _repeated(pieces: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``pieces`` without most whose hash is not among ``hashes``: a bit filter of 131,072 rows at most, joined by broadcast."""
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("h", F.lit(1)), F.lit(FILTER_BITS))
+
+    bits = hashes.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = pieces.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part")
+    return out.where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select(*pieces.columns)
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -41,36 +65,27 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
 
     A chunk's identifier is its hash and a variant number, 0 unless different chunks share the
     hash. That is verified on the chunks themselves: the dictionary of distinct (hash, chunk) pairs
-    is built once, with partial aggregation before the shuffle, and hashes with two entries are
-    told apart by content.
+    under repeated hashes is built with partial aggregation before the shuffle, and hashes with two
+    entries are told apart by content.
     """
     norm = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    cuts = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("contents"))
     # The row number only tells repeated ids apart; it is fixed by being written.
-    out = cut(
-        norm.select(
-            F.monotonically_increasing_id().alias("row_id"),
-            "doc_id",
-            F.transform(chunks(F.col("norm")), lambda c: hashed(c)).alias("recipe"),
-            F.sha2("norm", 256).alias("text_sha256"),
-        ),
-        "recipes",
-    )
-    # A row is known by its id and digest: rows with both equal have equal texts and chunks.
-    pieces = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.posexplode(chunks(F.col("norm"))).alias("at", "content"))
-    pieces = pieces.withColumn("h", hashed(F.col("content")))
-    dictionary = pieces.select("h", "content").distinct()
+    table = cut(cuts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.transform("contents", lambda c: hashed(c)).alias("recipe"), "text_sha256", "contents"), "chunks")
+    out = table.drop("contents")
+    hashes = table.select(F.explode("recipe").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    hashes = cut(hashes, "repeated-hashes")
+    pieces = table.select("row_id", F.posexplode(F.arrays_zip(F.col("recipe").alias("h"), F.col("contents").alias("content"))).alias("at", "c")).select("row_id", "at", "c.h", "c.content")
+    dictionary = _repeated(pieces.select("h", "content"), hashes).distinct()
     clashes = cut(dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "clashes")
     if clashes.isEmpty():
         return out
     # Different chunks under one hash: number them by content, and replace the recipes they are in.
     variants = dictionary.join(clashes, "h").groupBy("h").agg(F.sort_array(F.collect_list("content")).alias("contents"))
     variants = variants.select("h", F.posexplode("contents").alias("variant", "content"))
-    told = pieces.join(variants, ["h", "content"]).select("doc_id", "text_sha256", "at", "variant").distinct()
-    told = told.groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("at", "variant"))).alias("told"))
-    own, more = out.alias("o"), told.alias("t")
-    joined = own.join(more, F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.text_sha256") == F.col("t.text_sha256")), "left")
-    extra = F.coalesce(F.flatten(F.transform("t.told", lambda x: F.array(x["at"].cast("long"), x["variant"].cast("long")))), F.array().cast("array<bigint>"))
-    return cut(joined.select("o.row_id", "o.doc_id", F.concat("o.recipe", F.array(F.lit(-1).cast("long")), extra).alias("recipe"), "o.text_sha256"), "recipes")
+    told = pieces.join(variants, ["h", "content"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "variant"))).alias("told"))
+    extra = F.coalesce(F.flatten(F.transform("told", lambda x: F.array(x["at"].cast("long"), x["variant"].cast("long")))), F.array().cast("array<bigint>"))
+    return cut(out.join(told, "row_id", "left").select("row_id", "doc_id", F.concat("recipe", F.array(F.lit(-1).cast("long")), extra).alias("recipe"), "text_sha256"), "recipes")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -97,19 +112,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
-    found = cut(exact_dedup(docs, id_col, text_col).select("doc_id", "kept"), "kept")
+    """The rows of ``docs`` that stay, with all their columns, whatever they are called: one of each group of equal texts."""
+    found = cut(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "kept")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("k"))
-    gone = ids.where("k = 0").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = ids.where("n > 1 and k > 0").select(F.col("doc_id").alias("_again"))
+    rows = docs.select(F.struct("*").alias("r"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    left = rows.join(ids.where("k = 0").select("doc_id"), F.col("i").eqNullSafe(F.col("doc_id")), "left_anti")
+    repeated = ids.where("n > 1 and k > 0").select("doc_id")
     if repeated.isEmpty():
-        return left
+        return left.select("r.*")
     # Rows that share an id: one row of each of its texts, unless another id keeps that text.
-    again = F.col(id_col).eqNullSafe(F.col("_again"))
-    own = left.join(repeated, again, "left_semi")
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = own.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_semi")
-    own = own.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
-    return left.join(repeated, again, "left_anti").unionByName(own)
+    again = F.col("i").eqNullSafe(F.col("doc_id"))
+    own = left.join(repeated, again, "left_semi").withColumn("sha", F.sha2(normalised(F.col("t")), 256))
+    own = own.join(found.where("kept").select("doc_id", "text_sha256"), again & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    return left.join(repeated, again, "left_anti").select("r.*").unionByName(own.dropDuplicates(["i", "sha"]).select("r.*"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -39,14 +40,38 @@ def test_against_brute_force(spark, sf, hashed):
 def test_chunks_join_to_the_text(spark, sf):
     df = frame(spark, hard_rows(texts(spark, sf)))
     n = X.normalised(F.col("text"))
-    assert df.where(F.array_join(X.chunks(n), "") != n).count() == 0
+    assert df.where(F.encode(F.array_join(X.chunks(n), ""), "ISO-8859-1") != F.encode(n, "UTF-8")).count() == 0
+
+
+R = random.Random(5)
+SAMPLES = {
+    "cyrillic": " ".join(R.choice("привет мир как дела хорошо сегодня погода и в на не что это человек время".split()) for _ in range(6000)),
+    "chinese": "".join(chr(R.randrange(0x4E00, 0x5A00)) for _ in range(15_000)),
+    "digits": "".join(R.choice("0123456789") for _ in range(40_000)),
+    "capitals": " ".join("".join(R.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(R.randrange(2, 9))) for _ in range(6000)),
+    "binary digits": "".join(R.choice("01") for _ in range(40_000)),
+    "emoji": "".join(chr(R.randrange(0x1F600, 0x1F640)) for _ in range(15_000)),
+}
 
 
 def test_chunks_are_content_defined(spark, sf):
-    text = " ".join(texts(spark, sf, 20))
-    df = spark.createDataFrame([(text,), ("Some other beginning. " + text,)], "text string")
-    a, b = (set(r[0]) for r in df.select(X.chunks(X.normalised(F.col("text")))).collect())
-    assert len(a & b) > 0.8 * len(a)
+    samples = SAMPLES | {"prose": " ".join(texts(spark, sf, 40))}
+    df = spark.createDataFrame([(k, p + t) for k, t in samples.items() for p in ("", "123456789")], "kind string, text string")
+    found = {}
+    for r in df.select("kind", X.chunks(X.normalised(F.col("text"))).alias("c")).collect():
+        found.setdefault(r.kind, []).append(r.c)
+    for kind, (a, b) in found.items():
+        assert len(set(a) & set(b)) >= 0.9 * len(a), kind
+        assert sorted(map(len, a))[len(a) // 2] < 1000, kind
+        assert all(len(c) <= X.MOST for c in a)
+
+
+def test_only_chunks_of_repeated_hashes_are_compared(spark):
+    docs = [(i, SAMPLES["digits"][i * 3000 : i * 3000 + 3000]) for i in range(10)] + [(20, SAMPLES["capitals"])]
+    pieces = spark.createDataFrame(docs, "doc_id long, text string").select(F.explode(X.chunks(F.col("text"))).alias("content")).select(F.xxhash64("content").alias("h"), "content")
+    assert X._repeated(pieces, pieces.limit(0).select("h")).count() == 0
+    one = pieces.select("h").limit(1)
+    assert X._repeated(pieces, one).join(one, "h", "left_anti").count() < 3
 
 
 def test_keep_first_has_one_row_of_each_text(spark, sf):
@@ -65,3 +90,12 @@ def test_same_id_with_two_texts(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert X.exact_dedup(df).count() == 0 and X.keep_first(df).count() == 0
+
+
+def test_clashing_columns_are_carried(spark):
+    names = "doc_id long, text string, r string, i long, t string, sha string, kept boolean, row_id long, recipe string, n long"
+    rows = [(1, "a", "x", 1, "y", "z", True, 1, "q", 1), (2, "a", "x", 1, "y", "z", True, 1, "q", 1), (3, "b", "x", 1, "y", "z", False, 1, "q", 1), (3, "b", "x", 1, "y", "z", False, 1, "q", 1)]
+    df = spark.createDataFrame(rows, names)
+    got = X.keep_first(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert X.exact_dedup(df).count() == 4
