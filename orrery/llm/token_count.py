@@ -8,9 +8,10 @@ relative count at each of its positions. Its transitions, compiled when first ta
 in the number of tokens. Where no piece contains a pair of neighbouring characters, nothing can
 merge across it, and the machine is back in its start state: a reset.
 
-A long text is cut into chunks. A chunk's map takes an entry state to an exit state and a count; it
-is kept as the characters before its first reset, and the count and state from there on. Maps
-compose associatively, and a prefix scan by doubling joins a text's chunks.
+A long text is cut into chunks. A chunk's map takes an entry state to an exit state and a count. Up to its
+first reset it depends on the entry state and is tabulated for those that occur; beyond, it is the same for
+all. Maps compose associatively: a text's are joined in a tree, level by level, each composition a map of its
+own. Tables hold states by what they stand for, never a text, so memory grows with the text alone.
 
 Words between resets are taken in one step through a bounded cache of their counts.
 
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from orrery.session import map_arrow
 
 SPACE = "▁"
-#: Characters in a chunk; compiled transitions and cached words that a task keeps before it starts either anew.
-CHUNK, TRANSITIONS, WORDS = 1 << 15, 600_000, 300_000
+#: Characters in a chunk; compiled transitions, and characters of cached words, that a worker keeps before it starts either anew.
+CHUNK, TRANSITIONS, CACHED = 1 << 15, 600_000, 6_000_000
+#: A word of more characters than this is counted anew each time.
+LONG = 64
 LIMIT = 4096
 
 
@@ -82,6 +85,10 @@ def read_pieces(model: bytes) -> dict[str, float]:
     return out
 
 
+#: The state at the beginning of a text and after a reset.
+START = ("", (None,), (0,))
+
+
 class Transducer:
     """The machine of one model, compiled as it runs. A state is the dict of its transitions, with what it stands for under None."""
 
@@ -93,6 +100,7 @@ class Transducer:
         odd = [x for x in self.inside if x[1] == SPACE != x[0] or "\n" in x]
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+") if not odd else None
         self.cache: dict[str, int] = {}
+        self.held = 0
         self._clear()
 
     def _clear(self) -> None:
@@ -100,7 +108,6 @@ class Transducer:
         self.joins: dict[tuple[str | None, str], bool] = {}
         self.shapes: dict[str, tuple] = {}
         self.size = 0
-        self.start = self._state(("", (None,), (0,)))
 
     def _state(self, key: tuple) -> dict:
         if (s := self.states.get(key)) is None:
@@ -162,87 +169,98 @@ class Transducer:
         self.size += 1
         return out
 
-    def run(self, state: dict, text: str) -> tuple[dict, int]:
-        """The state after a text, and the change in the number of tokens."""
-        n = 0
+    def run(self, key: tuple, text: str) -> tuple[tuple, int]:
+        """The state after a text, and the change in the number of tokens. States go in and out as what they stand for, so that transitions can be forgotten between."""
+        state, n = self._state(key), 0
         for c in text:
             if (to := state.get(c)) is None:
+                if self.size >= TRANSITIONS:
+                    state = self._forget(state)
                 to = self.step(state, c)
             state, d = to
             n += d
-        return state, n
+        return state[None], n
+
+    def _forget(self, state: dict) -> dict:
+        """Start the compiled transitions anew; the state goes on."""
+        key = state[None]
+        self._clear()
+        gc.collect()  # states refer to each other
+        return self._state(key)
 
     def word(self, text: str) -> int:
         """The count of a text that stands between resets."""
-        return self.run(self.start, text)[1]
+        return self.run(START, text)[1]
 
     def count_words(self, words: list[str]) -> int:
         cache = self.cache
-        if missing := set(words).difference(cache):
-            if self.size > TRANSITIONS:
-                self._clear()
-                gc.collect()  # states refer to each other
-            if len(cache) + len(missing) > WORDS:
-                cache.clear()
-                missing = set(words)
-            # States are many small containers that stay: the collector would walk them again and again.
-            on = gc.isenabled()
-            gc.disable()
-            try:
-                for w in missing:
-                    cache[w] = self.word(w)
-            finally:
-                if on:
-                    gc.enable()
-        return sum(map(cache.__getitem__, words))
+        missing = set(words).difference(cache)
+        if not missing:
+            return sum(map(cache.__getitem__, words))
+        # States are many small containers that stay: the collector would walk them again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            own = {w: self.word(w) for w in missing}
+        finally:
+            if on:
+                gc.enable()
+        total = sum(own[w] if w in own else cache[w] for w in words)
+        short = {w: n for w, n in own.items() if len(w) <= LONG}
+        more = sum(map(len, short))
+        if self.held + more > CACHED:
+            cache.clear()
+            self.held = 0
+        cache.update(short)
+        self.held += more
+        return total
 
 
 class StateMap:
-    """What a chunk does to any entry state: run ``head`` from it; if there is a reset, add ``count`` and end in the state that ``tail`` leads to from the start."""
+    """What a stretch of text does to an entry state: ``at(entry)`` is (exit state, count), tabulated as it is asked for.
+
+    ``beyond`` is (exit state, count) from the first reset on, None without one; a chunk runs ``head`` from the entry state.
+    """
 
-    __slots__ = ("count", "head", "machine", "tail")
+    __slots__ = ("beyond", "first", "head", "machine", "second", "table")
 
-    def __init__(self, machine: Transducer, head: str, count: int | None, tail: str) -> None:
-        self.machine, self.head, self.count, self.tail = machine, head, count, tail
+    def __init__(self, machine: Transducer, head: str, beyond: tuple[tuple, int] | None, first: StateMap | None = None, second: StateMap | None = None) -> None:
+        self.machine, self.head, self.beyond, self.first, self.second = machine, head, beyond, first, second
+        self.table: dict[tuple, tuple[tuple, int]] = {}
 
     @classmethod
     def of(cls, machine: Transducer, chunk: str) -> StateMap:
+        """The map of a chunk. Its first word may go on from the chunk before, its last into the next."""
         words = machine.words.findall(chunk) if machine.words else [chunk]
-        # The first word may go on from the chunk before, the last into the next.
-        resets = len(words) > 1
-        return cls(machine, words[0] if words else "", machine.count_words(words[1:-1]) if resets else None, words[-1] if resets else "")
+        if len(words) < 2:
+            return cls(machine, chunk, None)
+        out, n = machine.run(START, words[-1])
+        return cls(machine, words[0], (out, n + machine.count_words(words[1:-1])))
+
+    def at(self, entry: tuple) -> tuple[tuple, int]:
+        if (found := self.table.get(entry)) is None:
+            if self.first is None:
+                out, n = self.machine.run(entry, self.head)
+                found = (out, n) if self.beyond is None else (self.beyond[0], n + self.beyond[1])
+            else:
+                middle, n = self.first.at(entry)
+                out, more = self.second.at(middle)
+                found = out, n + more
+            self.table[entry] = found
+        return found
 
     def then(self, other: StateMap) -> StateMap:
-        """This map, then the other."""
-        m = self.machine
-        if self.count is None and other.count is None:
-            joined = StateMap.of(m, self.head + other.head)
-            return joined
-        if self.count is None:
-            first = StateMap.of(m, self.head + other.head)
-            if first.count is None:
-                return StateMap(m, first.head, other.count, other.tail)
-            return StateMap(m, first.head, first.count + m.word(first.tail) + other.count, other.tail)
-        edge = StateMap.of(m, self.tail + other.head)
-        if other.count is None:
-            if edge.count is None:
-                return StateMap(m, self.head, self.count, edge.head)
-            return StateMap(m, self.head, self.count + m.word(edge.head) + edge.count, edge.tail)
-        middle = m.word(edge.head) if edge.count is None else m.word(edge.head) + edge.count + m.word(edge.tail)
-        return StateMap(m, self.head, self.count + middle + other.count, other.tail)
-
-    def total(self) -> int:
-        """The count of a text that is just this chunk."""
-        return self.machine.word(self.head) + (0 if self.count is None else self.count + self.machine.word(self.tail))
-
-
-def scan(maps: list[StateMap]) -> list[StateMap]:
-    """Inclusive prefix compositions, by doubling: each round could run in parallel."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [out[i - step].then(m) if i >= step else m for i, m in enumerate(out)]
-        step *= 2
-    return out
+        """This map, then the other. The exit state of a map with a reset is known whatever comes in, so the other is tabulated for it now."""
+        if self.beyond is not None:
+            other.at(self.beyond[0])
+        return StateMap(self.machine, "", None, self, other)
+
+
+def composed(maps: list[StateMap]) -> StateMap:
+    """All maps as one: neighbours are joined, level by level, and each level could run in parallel."""
+    while len(maps) > 1:
+        maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def count_tokens(machine: Transducer, text: str | None, chunk: int = CHUNK) -> int:
@@ -250,9 +268,7 @@ def count_tokens(machine: Transducer, text: str | None, chunk: int = CHUNK) -> i
     if not text:
         return 0
     norm = SPACE + text.replace(" ", SPACE)
-    if machine.words is None:
-        return machine.word(norm)
-    return scan([StateMap.of(machine, norm[i : i + chunk]) for i in range(0, len(norm), chunk)])[-1].total()
+    return composed([StateMap.of(machine, norm[i : i + chunk]) for i in range(0, len(norm), chunk)]).at(START)[1]
 
 
 @lru_cache(maxsize=2)

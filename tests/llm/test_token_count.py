@@ -1,3 +1,7 @@
+import gc
+import random
+import tracemalloc
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -42,18 +46,49 @@ def test_maps_compose_associatively(machine):
     right = parts[-1]
     for p in reversed(parts[:-1]):
         right = p.then(right)
-    assert left.total() == right.total() == T.scan(parts)[-1].total() == machine.word(text)
+    assert left.at(T.START) == right.at(T.START) == T.composed(parts).at(T.START) == machine.run(T.START, text)
 
 
 def test_start_over_when_full(machine, monkeypatch, library):
     monkeypatch.setattr(T, "TRANSITIONS", 50)
-    monkeypatch.setattr(T, "WORDS", 20)
+    monkeypatch.setattr(T, "CACHED", 20)
     own = T.Transducer(machine.pieces)
     text = "some words of several kinds " * 5 + "and then other ones"
     for t in (text, text[::-1], text):
         assert T.count_tokens(own, t) == len(library.encode(t))
 
 
+def test_a_map_takes_each_entry_state_to_its_exit_state(machine):
+    # A chunk without a reset has an entry for each state that it was asked for, all of them what running on would give.
+    unbroken = T.StateMap.of(machine, "ingthereforwardsandbackwards")
+    for before in ("", "th", "work", "zzz", "str"):
+        entry, n = machine.run(T.START, T.SPACE + before)
+        out, more = unbroken.at(entry)
+        assert (out, n + more) == machine.run(T.START, T.SPACE + before + "ingthereforwardsandbackwards")
+    assert len(unbroken.table) == 5 and unbroken.beyond is None
+
+
+def test_memory_of_an_unbroken_text_grows_in_proportion(machine, monkeypatch):
+    monkeypatch.setattr(T, "TRANSITIONS", 5_000)
+    own, r, peaks = T.Transducer(machine.pieces), random.Random(2), []
+    for n in (100_000, 400_000):
+        text = "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+        own._clear()
+        gc.collect()
+        tracemalloc.start()
+        T.count_tokens(own, text, 4096)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert own.size <= 5_000 and own.held == 0
+    assert peaks[1] < 4.5 * peaks[0]
+
+
+def test_a_long_unbroken_text_as_the_library_counts_it(machine, library):
+    r = random.Random(4)
+    text = "".join(r.choices(["the", "ing", "tion", "x", "Q", "7", "日本", "é"], k=60_000))
+    assert T.count_tokens(machine, text, 1 << 12) == len(library.encode(text))
+
+
 def test_table(spark, sf, library):
     rows = hard_rows(texts(spark, sf))
     got = T.token_counts(frame(spark, rows), PATH).collect()
