@@ -8,10 +8,13 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the cluster names no shared folder (tests, a laptop).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/orrery"
+#: Input that is dealt out over all cores at most.
+SPREAD_BYTES = 1 << 30
 
 
 _SHIPPED: set[str] = set()
@@ -62,20 +65,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, dealt out over all of them; any other as it is.
+    """A scan of fewer partitions than there are cores, and of SPREAD_BYTES at most, dealt out over all of them; any other as it is.
 
-    For small files that cannot be split. A large input has more partitions than cores and is never moved.
+    For small files that cannot be split. A large input is never moved, however many cores there are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    small = int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
+    return df.repartition(cores) if small and plan.toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's spark.checkpoint.dir names it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{master}: set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or LOCAL_CHECKPOINTS
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a URI, and the path in it, for Python code on executors. Hadoop's names of stores are taken as well."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    elif scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; nothing is created."""
     return f"{shared_dir(spark).rstrip('/')}/orrery-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"

@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from orrery.functions.vec import ELEMENTS
 from orrery.session import ship
+from orrery.session import store as store_of
 
 DTYPES = {"f16": "<f2", "f32": "<f4", "f64": "<f8", "u8": "u1", "u16": "<u2", "u32": "<u4", "u64": "<u8", "i8": "i1", "i16": "<i2", "i32": "<i4", "i64": "<i8"}
 #: File name endings of vector and scalar files, with their element types.
@@ -55,7 +56,7 @@ class Range(InputPartition):
 
 def listing(uri: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of a folder's files in order of names; hidden and unfinished ones are left out."""
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = store_of(uri)
     info = store.get_file_info(path)
     if info.type == fs.FileType.File:
         return [(uri, info.size)]
@@ -66,7 +67,7 @@ def listing(uri: str) -> list[tuple[str, int]]:
 
 
 def _open(uri: str) -> pa.NativeFile:
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = store_of(uri)
     return store.open_input_file(path)
 
 
@@ -334,7 +335,7 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        store, path = fs.FileSystem.from_uri(self.uri)
+        store, path = store_of(self.uri)
         store.create_dir(path, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.{self.ending}"
         with store.open_output_stream(f"{path}/_{name}", compression=None) as out:
@@ -345,7 +346,7 @@ class _Writer(DataSourceWriter):
         raise NotImplementedError
 
     def commit(self, messages: list) -> None:
-        store, path = fs.FileSystem.from_uri(self.uri)
+        store, path = store_of(self.uri)
         if self.overwrite:
             for f in store.get_file_info(fs.FileSelector(path)):
                 if f.is_file and not f.base_name.startswith(("_", ".")):
@@ -355,7 +356,7 @@ class _Writer(DataSourceWriter):
                 store.move(m.temporary, m.final)
 
     def abort(self, messages: list) -> None:
-        store, _ = fs.FileSystem.from_uri(self.uri)
+        store, _ = store_of(self.uri)
         for m in messages:
             if m is not None:
                 store.delete_file(m.temporary)
