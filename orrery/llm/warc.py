@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
-Writing: payloads become rows (record, chunk number, bytes), a record's rows one after another in a
-task, and the task streams them into its archive while a running SHA-1 goes along; no task holds
-more than a chunk of a payload at once. Equal payloads are found by digest and length beforehand; the
-record with the smallest id is a response, others are revisits that refer to it.
+Writing: equal payloads are found by digest and length beforehand; the record with the smallest id is a
+response, others are revisits that refer to it. Payloads become rows (record, chunk number, bytes), a record's
+rows one after another in a task, and the task streams them into its archive while a running SHA-1 goes along;
+beside the row that was read, no task holds more than a chunk of a payload at once. Only payloads that several
+rows share are moved.
 
 Reading: an index row per record gives archive and offset. Archives are read in segments of whole
 records, by seek, as rows (record, chunk number, bytes); the last chunk of a record carries the
@@ -17,7 +18,7 @@ attempts that succeeded: what a lost executor left is never read.
 
 Defined results: a null payload is empty; a null id is written as the record ``null``; rows that
 repeat an id and payload are records of their own, of which one is the response; equal ids with
-different payloads are different records; line breaks in URLs are percent-encoded; an empty table
+different payloads are different records; every record has a name of its own; line breaks in URLs are percent-encoded; an empty table
 gives an empty index; other columns are ignored.
 """
 
@@ -31,12 +32,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.session import cut, map_arrow, scratch_path
+from orrery.session import cut, map_arrow, scratch_path, store
 
 CHUNK, SEGMENT = 1 << 20, 16 << 20
 #: gzip's fastest level; tasks that read segments at once, at most.
@@ -45,7 +45,8 @@ LEVEL, TASKS = 1, 10_000
 VERSION, END = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
-RECORD = "<urn:orrery:record:{}>"
+#: Bits of the filter that picks payloads which may be shared: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 
 
 def base32(hex_digest: Column) -> Column:
@@ -55,29 +56,64 @@ def base32(hex_digest: Column) -> Column:
 
 
 def decide(pages: DataFrame, id_col: str, text_col: str, least: int = 0) -> DataFrame:
-    """(id, digest, n, refers_to) of each distinct (id, payload): refers_to is null for responses.
+    """(id, digest, n, first, copies) of the distinct (id, payload) whose payload, of ``least`` bytes or more, several rows have; stored.
 
-    Payloads of fewer than ``least`` bytes are all responses. Digests, not payloads, are grouped, and
-    only digests that several records share are handed back.
+    ``first`` is the id of the response. Digests, not payloads, are grouped, and only digests that several
+    rows share are handed back.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = cut(pages.select(F.col(id_col).alias("id"), base32(F.sha1(data)).alias("digest"), F.octet_length(data).cast("long").alias("n")), "digests").distinct()
-    first = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    rows = cut(pages.select(F.col(id_col).alias("id"), base32(F.sha1(data)).alias("digest"), F.octet_length(data).cast("long").alias("n")), "digests").where(F.col("n") >= least)
+    first = rows.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     first = cut(first, "shared-digests")
-    joined = rows.join(first, ["digest", "n"], "left")
-    return joined.select("id", "digest", "n", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    return cut(rows.groupBy("id", "digest", "n").agg(F.count(F.lit(1)).alias("copies")).join(first, ["digest", "n"]).select("id", "digest", "n", "first", "copies"), "decided")
 
 
-def chunk_rows(pages: DataFrame, decided: DataFrame, id_col: str, text_col: str, url_col: str, chunk: int = CHUNK) -> DataFrame:
-    """(id, url, digest, n, refers_to, uid, chunk_no, payload): the chunk table, a record's rows together and in order; revisits have one row without payload."""
+def _record(ident: Column, digest: Column) -> Column:
+    """A record's name: two records of one id have different payloads or are copies, which are numbered."""
+    return F.concat(F.lit("<urn:orrery:record:"), F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
+
+
+def chunk_rows(pages: DataFrame, decided: DataFrame, id_col: str, text_col: str, url_col: str, chunk: int = CHUNK, least: int = 0) -> DataFrame:
+    """(record, url, digest, n, refers_to, chunk_no, payload): the chunk table, a record's rows together and in order; revisits have one row without payload.
+
+    Payloads that no other row has are cut where they are read. A filter of 131,072 rows at most, joined by
+    broadcast, picks those that may be shared; only these are moved, to the decision on their record type.
+    """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), data.alias("data"), base32(F.sha1(data)).alias("own")).alias("p")
-    d = decided.alias("d")
-    rows = rows.join(d, F.col("p.id").eqNullSafe(F.col("d.id")) & (F.col("p.own") == F.col("d.digest")))
-    last = F.when(F.col("d.refers_to").isNotNull(), 0).otherwise(F.greatest(F.ceil(F.col("n") / chunk) - 1, F.lit(0))).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(F.col("d.refers_to").isNull(), F.substring("data", i * chunk + 1, F.lit(chunk))))
-    out = rows.select("p.id", "url", "digest", "n", "refers_to", F.monotonically_increasing_id().alias("uid"), F.posexplode(pieces).alias("chunk_no", "payload"))
-    return out.sortWithinPartitions("id", "uid", "chunk_no")
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.octet_length(data).cast("long").alias("n"), base32(F.sha1(data)).alias("digest"), data.alias("data"))
+    bits = decided.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = rows.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part", "left")
+    shared = F.coalesce(F.expr("getbit(bits, cast(bit % 64 as int)) = 1"), F.lit(False))
+    named = _record(F.col("id"), F.col("digest"))
+    # Copies that nothing refers to are told apart by a number.
+    copy = F.concat(F.regexp_replace(named, ">$", ":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
+    named_plain = F.when(F.col("n") < least, copy).otherwise(named) if least else named
+    plain = rows.where(~shared).select(named_plain.alias("record"), "url", "digest", "n", F.lit(None).cast("string").alias("refers_to"), "data")
+    p, d = rows.where(shared).alias("p"), decided.alias("d")
+    held = p.join(d, F.col("p.id").eqNullSafe(F.col("d.id")) & (F.col("p.digest") == F.col("d.digest")) & (F.col("p.n") == F.col("d.n")), "left")
+    # A payload that the filter let through by chance has no decision: it is a response.
+    responds = F.col("copies").isNull() | F.col("p.id").eqNullSafe(F.col("first"))
+    held = held.select("p.id", "url", "p.digest", "p.n", "first", "copies", responds.alias("responds"), F.when(responds, F.col("data")).alias("data"))
+    first = F.when(~F.col("responds"), _record(F.col("first"), F.col("digest")))
+    once = held.where(~(F.col("responds") & (F.coalesce("copies", F.lit(1)) > 1)))
+    out = plain.unionByName(once.select(F.when((F.col("copies") > 1) | (F.col("n") < least), copy).otherwise(named).alias("record"), "url", "digest", "n", first.alias("refers_to"), "data"))
+    if not decided.where("copies > 1 AND id <=> first").isEmpty():
+        # Rows that repeat the response's id and payload: the one with the smallest number stays the response. The number is fixed by being written.
+        again = cut(held.where(F.col("responds") & (F.col("copies") > 1)).withColumn("uid", F.monotonically_increasing_id()), "copies")
+        lead = again.groupBy("id", "digest", "n").agg(F.min("uid").alias("uid")).select("uid", F.lit(True).alias("leads"))
+        again = again.join(lead, "uid", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        number = F.concat(F.regexp_replace(named, ">$", ":r"), F.col("uid").cast("string"), F.lit(">"))
+        out = out.unionByName(
+            again.select(F.when(F.col("leads"), named).otherwise(number).alias("record"), "url", "digest", "n", F.when(~F.col("leads"), named).alias("refers_to"), F.when(F.col("leads"), F.col("data")).alias("data"))
+        )
+    last = F.when(F.col("refers_to").isNotNull(), 0).otherwise(F.greatest(F.ceil(F.col("n") / chunk) - 1, F.lit(0))).cast("int")
+    # The chunk's number is exploded, not its bytes: a row holds one chunk.
+    out = out.select("record", "url", "digest", "n", "refers_to", "data", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return out.select("record", "url", "digest", "n", "refers_to", "chunk_no", F.when(F.col("refers_to").isNull(), F.substring("data", F.col("chunk_no") * chunk + 1, F.lit(chunk))).alias("payload"))
 
 
 def _header(kind: str, record: str, url: str | None, digest: str, n: int, refers: str | None) -> bytes:
@@ -96,11 +132,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Write the chunk table as archives into a shared folder; returns the index (archive, start, size, record), stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
+        place, path = store(folder)
+        place.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{path}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
-        out, at, begun, now, seen = None, 0, 0, None, None
+        out, at, begun, now = None, 0, 0, None
         digest, packed = hashlib.sha1(), zlib.compressobj(LEVEL, wbits=31)
 
         def put(data: bytes, end: bool = False) -> None:
@@ -114,43 +150,38 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         def close() -> None:
             if now is not None:
                 if now[2] is None and base64.b32encode(digest.digest()).decode() != now[1]:
-                    raise ValueError(f"record {now[0]}: the payload's digest changed while it was written")
+                    raise ValueError(f"{now[0]}: the payload's digest changed while it was written")
                 put(END * 2, end=True)
-                index.append((begun, at - begun, RECORD.format(now[0])))
+                index.append((begun, at - begun, now[0]))
 
         for b in batches:
-            for r in zip(*(c.to_pylist() if i < 7 else c for i, c in enumerate(b.columns)), strict=True):
-                ident, url, sha, n, refers, uid, chunk_no, payload = r
+            for r in zip(*(c.to_pylist() if i < 6 else c for i, c in enumerate(b.columns)), strict=True):
+                record, url, sha, n, refers, chunk_no, payload = r
                 if out is None:
-                    out = store.open_output_stream(name, compression=None)
+                    out = place.open_output_stream(name, compression=None)
                 if chunk_no == 0:
                     close()
-                    ident = "null" if ident is None else ident
-                    # Of rows that repeat an id and payload, the first is as decided and the others refer to it.
-                    if refers is None and (ident, sha) == seen:
-                        refers = ident
-                    seen = (ident, sha)
-                    begun, now, digest, packed = at, (ident, sha, refers), hashlib.sha1(), zlib.compressobj(LEVEL, wbits=31)
-                    put(_header("response" if refers is None else "revisit", RECORD.format(ident), url, sha, n, None if refers is None else RECORD.format(refers)))
-                if now[2] is None and (data := payload.as_buffer()) is not None:
+                    begun, now, digest, packed = at, (record, sha, refers), hashlib.sha1(), zlib.compressobj(LEVEL, wbits=31)
+                    put(_header("response" if refers is None else "revisit", record, url, sha, n, refers))
+                if refers is None and (data := payload.as_buffer()) is not None:
                     digest.update(data)
                     put(data)
             if index:
-                yield _index(name, store, folder, index)
+                yield _index(name, folder, index)
                 index = []
         if out is not None:
             close()
             out.close()
-            yield _index(name, store, folder, index)
+            yield _index(name, folder, index)
 
-    def _index(name: str, store: fs.FileSystem, uri: str, index: list) -> pa.RecordBatch:
+    def _index(name: str, uri: str, index: list) -> pa.RecordBatch:
         file = f"{uri.rstrip('/')}/{name.rsplit('/', 1)[1]}"
         return pa.RecordBatch.from_arrays([pa.array([file] * len(index)), pa.array([x[0] for x in index], pa.int64()), pa.array([x[1] for x in index], pa.int64()), pa.array([x[2] for x in index], pa.string())], names=["archive", "start", "size", "record"])
 
     return cut(map_arrow(rows, run, "archive string, start bigint, size bigint, record string"), "warc-index")
 
 
-def _record(f: _Members, chunk: int) -> Iterator[tuple[dict, int, int, bytes, str, bool]]:
+def _chunks_of(f: _Members, chunk: int) -> Iterator[tuple[dict, int, int, bytes, str, bool]]:
     """(headers, payload bytes, chunk number, bytes, running digest, last) for each chunk of the record at the file's place."""
 
     line = f.line
@@ -199,15 +230,15 @@ def read_chunks(index: DataFrame, with_payload: bool = True, chunk: int = CHUNK,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive, a, z in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                store, path = fs.FileSystem.from_uri(archive)
+                place, path = store(archive)
                 rows: list[tuple] = []
                 held = 0
-                with store.open_input_file(path) as raw:
+                with place.open_input_file(path) as raw:
                     raw.seek(a)
                     f = _Members(raw)
                     while f.place() < z:
                         n = 0
-                        for head, length, at, data, digest, last in _record(f, chunk):
+                        for head, length, at, data, digest, last in _chunks_of(f, chunk):
                             n += len(data)
                             kind = head["warc-type"]
                             full = head["warc-payload-digest"].removeprefix("sha1:")
@@ -275,12 +306,12 @@ class _Members:
 
 def record_id(record: Column) -> Column:
     """The page id inside a record's name; null for the record ``null``."""
-    return F.regexp_extract(record, r"record:(.*)>$", 1).try_cast("long")
+    return F.regexp_extract(record, r"record:(.*?):[A-Z2-7]{32}(?::r?\d+)?>$", 1).try_cast("long")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", text_col: str = "html", url_col: str = "url", least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: written as archives in the shared folder, and read back."""
-    rows = chunk_rows(pages, decide(pages, id_col, text_col, least), id_col, text_col, url_col, chunk)
+    rows = chunk_rows(pages, decide(pages, id_col, text_col, least), id_col, text_col, url_col, chunk, least)
     index = write_archives(rows, scratch_path(spark, "warc"))
     return read_chunks(index, with_payload=False, chunk=chunk).where("last").select(
         record_id(F.col("record")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", record_id(F.col("refers_to")).alias("refers_to")

@@ -60,6 +60,51 @@ def test_payload_chunks_join_to_the_payload(spark):
     assert {len(b"".join(x[1] for x in p)) for p in got.values()} == {len((r[2] or "").encode()) for r in ROWS}
 
 
+def test_one_response_of_a_row_that_several_large_files_repeat(spark, tmp_path):
+    for i in range(4):
+        rows = [(1, "u", "same payload")] + [(100 * i + 10 + j, "u", f"{i} {j} " + hashlib.sha256(f"{i}.{j}".encode()).hexdigest() * 4000) for j in range(12)]
+        pages(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    got = [r for r in warc.round_trip(spark, df).collect() if r.page_id == 1]
+    assert sorted((r.record_type, r.refers_to) for r in got) == [("response", None)] + [("revisit", 1)] * 3
+
+
+def test_every_record_has_a_name_of_its_own(spark):
+    for least in (0, 100):
+        df = pages(spark, ROWS + ROWS[:3])
+        index = warc.write_archives(warc.chunk_rows(df, warc.decide(df, "page_id", "html", least), "page_id", "html", "url", least=least), scratch_path(spark, "warc"))
+        rows = warc.read_chunks(index, with_payload=False).where("last").collect()
+        names = [r.record for r in rows]
+        assert len(set(names)) == len(names) == len(ROWS) + 3
+        # What a revisit refers to is a response of the same payload.
+        found = {r.record: r for r in rows}
+        for r in rows:
+            if r.record_type == "revisit":
+                assert found[r.refers_to].record_type == "response" and found[r.refers_to].payload_digest == r.payload_digest
+
+
+def test_payloads_of_several_chunks_and_segments(spark):
+    rows = [(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * n) for i, n in enumerate((50_000, 120_000, 1, 40_000, 50_000))] + [(9, "u", hashlib.sha256(b"0").hexdigest() * 50_000)]
+    df = pages(spark, rows)
+    chunks = warc.chunk_rows(df, warc.decide(df, "page_id", "html"), "page_id", "html", "url")
+    assert chunks.selectExpr("max(octet_length(payload))", "max(chunk_no)").first()[:] == (warc.CHUNK, 7)
+    index = warc.write_archives(chunks, scratch_path(spark, "warc"))
+    got = defaultdict(bytes)
+    for r in sorted(warc.read_chunks(index, segment=1 << 20).collect(), key=lambda r: (r.record, r.chunk_no)):
+        got[r.record] += bytes(r.payload)
+    want = defaultdict(int)
+    for data in got.values():
+        want[hashlib.sha1(data).hexdigest()] += 1
+    assert {hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows} <= set(want) and sorted(map(len, got.values()))[-1] == 64 * 120_000
+    assert sorted(map(tuple, warc.round_trip(spark, df).collect()), key=str) == expected(rows)
+
+
+def test_payloads_of_single_rows_are_not_moved(spark):
+    df = pages(spark)
+    plan = warc.chunk_rows(df, warc.decide(df.limit(0), "page_id", "html"), "page_id", "html", "url")
+    assert plan.where("refers_to IS NOT NULL").count() == 0
+
+
 def test_archives_are_plain_gzip_of_the_format(spark):
     df = pages(spark, ROWS[:4])
     folder = scratch_path(spark, "warc")
