@@ -2,8 +2,8 @@
 
 The index stores a posting (term, row, position) for every token of the training texts, and nothing else
 is read afterwards. It is sharded by document: each file holds the postings of the documents that one task
-read, ordered by term, so a term's list is contiguous in every shard, a term that all documents hold is
-spread over all shards, and building the index moves nothing.
+read, ordered by the term's hash, so a term's list is contiguous in every shard, a term that all documents
+hold is spread over all shards, and building the index moves nothing.
 
 A phrase is looked up from its rarest term on, by counts over the whole corpus. The lists of its two rarest
 terms meet first: places at most SLOP words apart are proximity matches, and those at just the phrase's own
@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.when(own, F.col("n_words")).otherwise(F.col("at") - 1).alias("pos"),
             F.when(own, F.col("doc_id")).alias("doc_id"),
             F.when(own, F.col("text_hash")).alias("text_hash"),
-        ).sortWithinPartitions("term"),
+        ).sortWithinPartitions(F.when(F.col("term") == "", F.lit(-(1 << 63))).otherwise(F.xxhash64("term"))),
         "postings",
     )
 
@@ -123,11 +123,12 @@ def near(index: DataFrame, pairs: DataFrame, slop: int = SLOP) -> DataFrame:
     Positions are dealt into blocks of 2 slop + 1, of which a place reaches two; rows and blocks are the join's
     keys, so neither a frequent term nor a long text is a hot key.
     """
-    wide = 2 * slop + 1
-    left = postings(index, pairs.select(F.col("t0").alias("term"), "t1").distinct())
+    wide, pairs = 2 * slop + 1, pairs.select("t0", "t1").distinct()
+    lists = cut(postings(index, pairs.select(F.explode(F.array("t0", "t1")).alias("term")).distinct()), "lists-asked-for")
     blocks = F.array_distinct(F.array(F.expr(f"(pos + {wide - slop}) div {wide}"), F.expr(f"(pos + {wide + slop}) div {wide}")))
+    left = postings(lists, pairs.select(F.col("t0").alias("term"), "t1"))
     left = left.select("row", F.col("term").alias("t0"), "t1", F.col("pos").alias("p"), F.explode(blocks).alias("block"))
-    right = postings(index, pairs.select(F.col("t1").alias("term")).distinct())
+    right = postings(lists, pairs.select(F.col("t1").alias("term")).distinct())
     right = right.select("row", F.col("term").alias("t1"), F.col("pos").alias("q"), F.expr(f"(pos + {wide}) div {wide}").alias("block"))
     both = left.join(right, ["row", "block", "t1"]).where(f"p <> q AND abs(q - p) <= {slop}")
     return both.select("row", "t0", "t1", "p", (F.col("q") - F.col("p")).alias("d"))
