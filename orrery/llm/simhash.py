@@ -1,21 +1,28 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Fingerprints are written once; from then on only distinct 64-bit values move. Five copies of each,
-rotated so that a different block of bits comes first, are dealt out by that block: two fingerprints
-at most four bits apart have one of five blocks in common. Each task sorts its fingerprints, which
-makes ranges of them the nodes of a binary trie, and walks pairs of nodes together: differing bits
-of the common prefixes add up, a pair beyond the error budget is dropped with all below it, and the
-larger node is split otherwise.
-
-A task returns a spanning forest of the links it finds, one row per fingerprint at most, so a group
-of many near copies never becomes all its pairs; node pairs already in one component are skipped,
-which loses no connection. Components across tasks are joined by alternating large-star and
-small-star steps on tables.
+Fingerprints are written once; from then on only distinct values move. With a budget of e differing bits,
+e + 1 copies of each are dealt out, rotated so that a different block of bits comes first: two fingerprints
+within the budget have one of the blocks in common. Each task sorts its fingerprints, which makes ranges of
+them the nodes of a binary trie, and walks pairs of nodes together: differing bits of the common prefixes add
+up, a pair beyond the error budget is dropped with all below it, and the larger node is split otherwise. A
+block value that very many fingerprints share is dealt out again by the blocks of its remaining bits, so no
+task holds more than MOST of them at once.
+
+``near_duplicates`` links fingerprints within the budget. A task returns a spanning forest of the links it
+finds, one row per fingerprint at most, so a group of many near copies never becomes all its pairs; node pairs
+already in one component are skipped, which loses no connection. Components across tasks are joined by
+alternating large-star and small-star steps on tables.
+
+``keep_one`` links texts that share 0.8 or more of their five-word shingles. Such texts differ in about a
+seventh of their bits, so the walk runs over TABLES short fingerprints of independent hashes, and each pair that
+it finds is confirmed on the whole sets of shingles: no text below the similarity is linked. A pair at just
+0.8 is found with a probability of 0.96, one at 0.85 of 0.998. First the spanning forests are confirmed; then
+all found pairs of different components.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows and equal texts share a fingerprint and so a
 component; a component is named by its smallest non-null ``doc_id``; an empty table gives an empty
-table; other columns are ignored.
+table; other columns are ignored, or carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,10 +38,15 @@ from pyspark.sql import functions as F
 from orrery.session import cut, drop_path, map_arrow, scratch_path
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
-#: Widths of the blocks, from the top bit down; one more block than errors.
-BLOCKS = (13, 13, 13, 13, 12)
+#: Of the near-copy stage: words of a shingle, similarity of sets; number, bits and error budget of its fingerprints.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+TABLES, TABLE_BITS, TABLE_ERRORS = 26, 32, 2
 #: Node pairs walked at once: bounds a task's memory, not its result.
 SLAB = 1 << 18
+#: Fingerprints under one block value that a task takes; more are dealt out again. Fingerprints walked together.
+MOST, TOGETHER = 1 << 21, 1 << 19
+#: Bits of the filter that picks texts whose shingles are wanted: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -56,13 +68,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(most, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp): the fingerprint as a signed long, and a hash that tells repeated ids apart."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -89,22 +101,15 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[open_], b[open_]
 
 
-def trie_forest(keys: np.ndarray, top: int, errors: int = ERRORS, slab: int = SLAB) -> np.ndarray:
-    """For sorted distinct keys: a label for each, equal exactly within components of links.
+def trie_pairs(keys: np.ndarray, top: int, errors: int, label: np.ndarray, slab: int = SLAB) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the sorted distinct ``keys`` that agree in the ``top`` highest bits and differ in ``errors`` bits or fewer.
 
-    Links are pairs that agree in the ``top`` highest bits and differ in ``errors`` bits or fewer.
+    Pairs of one label may be left out. The caller may merge labels between the arrays that it gets.
     """
     n = len(keys)
-    label = np.arange(n)
     if n < 2:
-        return label
-    # Neighbours in a single bit first: it joins most of a dense group, whose node pairs are then skipped.
-    for bit in range(64 - top):
-        other = keys ^ np.uint64(1 << bit)
-        at = np.minimum(np.searchsorted(keys, other), n - 1)
-        found = np.flatnonzero((keys[at] == other) & (other > keys))
-        _merge(label, found, at[found])
-    heads = np.flatnonzero(np.concatenate(([True], (keys[1:] ^ keys[:-1]) >> np.uint64(64 - top) != 0)))
+        return
+    heads = np.flatnonzero(np.concatenate(([True], (keys[1:] ^ keys[:-1]) >> np.uint64(64 - top) != 0))) if top else np.array([0])
     lo, hi = heads, np.append(heads[1:], n)
     many = hi - lo > 1
     stack = [(lo[many], hi[many], lo[many], hi[many])]
@@ -123,7 +128,8 @@ def trie_forest(keys: np.ndarray, top: int, errors: int = ERRORS, slab: int = SL
         one = (changes[alo] == changes[ahi - 1]) & (changes[blo] == changes[bhi - 1]) & (label[alo] == label[blo])
         keep = (np.bitwise_count(differ) <= errors) & ~one
         leaf = keep & (ahi - alo == 1) & (bhi - blo == 1)
-        _merge(label, alo[leaf & (alo != blo)], blo[leaf & (alo != blo)])
+        if (pick := leaf & (alo != blo)).any():
+            yield alo[pick], blo[pick]
         own = keep & (alo == blo) & (ahi == bhi) & ~leaf
         both = keep & ~leaf & ~own
         # A pair of different nodes splits the one with the shorter prefix.
@@ -148,35 +154,128 @@ def trie_forest(keys: np.ndarray, top: int, errors: int = ERRORS, slab: int = SL
             parts = [np.concatenate(x) for x in zip(*new, strict=True)]
             live = (parts[1] - parts[0] > 1) | (parts[3] - parts[2] > 1) | (parts[0] != parts[2])
             stack.append(tuple(x[live] for x in parts))
+
+
+def trie_forest(keys: np.ndarray, top: int, errors: int = ERRORS, bits: int = 64, slab: int = SLAB) -> np.ndarray:
+    """For sorted distinct keys, of which the highest ``bits`` count: a label for each, equal exactly within components of links."""
+    n = len(keys)
+    label = np.arange(n)
+    if n < 2:
+        return label
+    # Neighbours in a single bit first: it joins most of a dense group, whose node pairs are then skipped.
+    for bit in range(64 - bits, 64 - top):
+        other = keys ^ np.uint64(1 << bit)
+        at = np.minimum(np.searchsorted(keys, other), n - 1)
+        found = np.flatnonzero((keys[at] == other) & (other > keys))
+        _merge(label, found, at[found])
+    for i, j in trie_pairs(keys, top, errors, label, slab):
+        _merge(label, i, j)
     return label
 
 
-def _rotated(fp: Column, by: int) -> Column:
-    return fp if by == 0 else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
+def _widths(free: int, parts: int) -> list[int]:
+    """``free`` bits as ``parts`` blocks, the wider ones first."""
+    return [free // parts + (i < free % parts) for i in range(parts)]
+
+
+def _fixed(path: int, bits: int, parts: int) -> int:
+    """How many of the highest bits all keys of a bucket share that has come this path: digits of base ``parts`` + 1, a block each."""
+    fixed = 0
+    for d in _digits(path, parts):
+        fixed += _widths(bits - fixed, parts)[d]
+    return fixed
+
+
+def _digits(path: int, parts: int) -> list[int]:
+    out = []
+    while path:
+        path, d = divmod(path, parts + 1)
+        out.append(d - 1)
+    return out[::-1]
+
+
+def _deal(rows: DataFrame, bits: int, parts: int) -> DataFrame:
+    """Each row (path, fixed, key, ...) once for each block of the bits that are free, that block rotated to the front of them; top is what the bucket shares."""
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i")).withColumn("free", F.lit(bits) - F.col("fixed"))
+    rows = rows.withColumn("offset", F.expr(f"cast(i * (free div {parts}) + least(i, free % {parts}) AS int)"))
+    # Of the key, ``fixed`` bits stay, the next ``free`` ones rotate, the rest is zero. A shift by 64 would be one by 0.
+    rows = rows.withColumn("tail", F.expr("shiftleft(key, fixed)"))
+    turned = F.expr("CASE WHEN offset = 0 THEN tail ELSE shiftleft(tail, offset) | shiftleft(shiftrightunsigned(tail, 64 - offset), 64 - free) END")
+    rows = rows.withColumn("turned", turned)
+    key = F.expr("CASE WHEN fixed = 0 THEN turned ELSE shiftleft(shiftrightunsigned(key, 64 - fixed), 64 - fixed) | shiftrightunsigned(turned, fixed) END")
+    rows = rows.withColumn("key", key).withColumn("path", F.expr(f"path * {parts + 1} + i + 1"))
+    rows = rows.withColumn("fixed", F.expr(f"cast(fixed + free div {parts} + if(i < free % {parts}, 1, 0) AS int)"))
+    return rows.withColumn("top", F.expr("shiftrightunsigned(key, 64 - fixed)")).drop("i", "free", "offset", "tail", "turned")
+
+
+def buckets(rows: DataFrame, bits: int, errors: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (key, by..., more...) dealt out with path and top: keys within the budget share a bucket (by..., path, top) of MOST rows at most.
+
+    Buckets of more rows are dealt out again by the blocks of their remaining bits, until none is left; distinct
+    keys run out of bits before that could go on.
+    """
+    parts, out, keys = errors + 1, None, [*by, "path", "top"]
+    rows = rows.withColumns({"path": F.lit(0).cast("long"), "fixed": F.lit(0)})
+    while True:
+        rows = _deal(rows, bits, parts)
+        # With fewer bits than blocks left, a bucket has no more keys than those bits can say.
+        sizes = rows.where(F.lit(bits) - F.col("fixed") >= parts).groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+        hot = cut(sizes.where(F.col("size") > MOST).drop("size"), "hot-buckets")
+        if hot.isEmpty():
+            return rows if out is None else out.unionByName(rows)
+        # A third of the rows may be under one hot bucket: it is joined by broadcast; there are a row per MOST keys and block at most.
+        cold = rows.join(F.broadcast(hot), keys, "left_anti")
+        out = cold if out is None else out.unionByName(cold)
+        rows = rows.join(F.broadcast(hot), keys, "left_semi").drop("top")
+
+
+def _whole_buckets(batches: Iterable[pa.RecordBatch], names: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that come ordered by their first ``names`` columns, which name a bucket: whole buckets, several as long as they are few rows."""
+    held: list[list[np.ndarray]] = []
+    n = limit = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n < max(limit, TOGETHER):
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        change = np.zeros(n, bool)
+        for c in cols[:names]:
+            change[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(change)
+        last = int(at[-1]) if len(at) else 0
+        if last:
+            yield [c[:last] for c in cols]
+        held, n = [[c[last:] for c in cols]], n - last
+        limit = n + TOGETHER
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _runs(*cols: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows that are equal in all columns, of rows in that order."""
+    change = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    at = [0, *np.flatnonzero(change).tolist(), len(change)]
+    return list(zip(at[:-1], at[1:], strict=True))
 
 
 def links(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` that connect exactly what all links connect."""
-    offsets = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    copies = F.array(*[F.struct(F.lit(i).alias("block"), _rotated(F.col("fp"), o).alias("key")) for i, o in enumerate(offsets)])
-    rows = distinct.select(F.explode(copies).alias("c")).select("c.block", "c.key")
-    last = F.col("block") == len(BLOCKS) - 1
-    rows = rows.withColumn("top", F.when(last, F.shiftrightunsigned("key", 64 - BLOCKS[-1])).otherwise(F.shiftrightunsigned("key", 64 - BLOCKS[0])))
+    rows = buckets(distinct.select(F.col("fp").alias("key"), "fp"), 64, errors)
+    rows = rows.select("path", "top", "key", "fp").repartition("path", "top").sortWithinPartitions("path", "top")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not got:
-            return
-        blocks, keys = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        for i, o in enumerate(offsets):
-            own = np.unique(keys[blocks == i].view(np.uint64))
-            label = trie_forest(own, BLOCKS[i], errors)
-            far = np.flatnonzero(label != np.arange(len(own)))
-            back = (own >> np.uint64(o)) | (own << np.uint64(64 - o)) if o else own
-            yield pa.RecordBatch.from_arrays([pa.array(back[far].view(np.int64)), pa.array(back[label[far]].view(np.int64))], names=["u", "v"])
+        for path, _, key, fp in _whole_buckets(batches, 2):
+            for a, z in _runs(path):
+                order = np.argsort(key[a:z].view(np.uint64))
+                own, back = key[a:z].view(np.uint64)[order], fp[a:z][order]
+                label = trie_forest(own, _fixed(int(path[a]), 64, errors + 1), errors)
+                far = np.flatnonzero(label != np.arange(len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(back[far]), pa.array(back[label[far]])], names=["u", "v"])
 
-    return map_arrow(rows.repartition("block", "top").select("block", "key"), run, "u bigint, v bigint")
+    return map_arrow(rows, run, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, most: int = 64) -> DataFrame:
@@ -229,32 +328,189 @@ def assigned(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFra
     return rows.join(of, "fp")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, errors: int) -> DataFrame:
-    return assigned(cut(fingerprints(docs, id_col, text_col), "fingerprints"), lambda distinct: links(distinct, errors))
+def _linked(docs: DataFrame, id_col: str, text_col: str, errors: int, shingle: int) -> DataFrame:
+    return assigned(cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), lambda distinct: links(distinct, errors))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of ``docs``."""
-    rows = _linked(docs, id_col, text_col, errors)
+    rows = _linked(docs, id_col, text_col, errors, shingle)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id."""
-    return staying(docs, _linked(docs, id_col, text_col, errors), id_col, text_col)
+def shingle_set(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
+    spans = [b" ".join(words)] if len(words) <= shingle else [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
+    return np.unique(np.fromiter((h(s, SEED) for s in spans), np.uint64, len(spans)))
+
+
+def _mixers(n: int) -> np.ndarray:
+    """Odd multipliers, each the hash of its number."""
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), SEED) | 1 for i in range(n)], np.uint64)
+
+
+def table_keys(hashes: np.ndarray, tables: int = TABLES, bits: int = TABLE_BITS) -> np.ndarray:
+    """Short fingerprints of a set of hashes, one for each table, in the highest bits of a 64-bit word."""
+    each = 64 // bits
+    mixers = _mixers(-(-tables // each))
+    sums = np.zeros(len(mixers) * 64, np.int64)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] * mixers[None, :]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        sums += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    most = np.packbits(sums * 2 > len(hashes), bitorder="little").view("<u8")
+    keys = [most >> np.uint64(i * bits) << np.uint64(64 - bits) for i in range(each)]
+    return np.stack(keys, axis=1).reshape(-1)[:tables]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int, bits: int) -> DataFrame:
+    """(doc_id, text_hash, fp, keys): fp names the set of a text's shingles, keys are its fingerprints."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, keys = [], []
+            for t in b.column(2):
+                own = shingle_set(t.as_py(), shingle)
+                names.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                keys.append(table_keys(own, tables, bits))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=["doc_id", "text_hash", "fp", "keys"])
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp bigint, keys array<bigint>")
+
 
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(fp, parts): the shingles of the sets ``wanted`` (text_hash, fp), made from the texts again and stored.
 
-def staying(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that name their component in ``rows``, one of each."""
+    A filter of 131,072 rows at most, joined by broadcast, picks the texts, so that only wanted sets are made and moved.
+    """
+
+    def bit() -> Column:
+        return F.pmod("text_hash", F.lit(FILTER_BITS))
+
+    bits = wanted.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).withColumn("bit", bit()).withColumn("part", F.expr("bit div 64"))
+    rows = rows.join(F.broadcast(bits), "part").where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select("text_hash", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                found = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["text_hash", "parts"])
+
+    # One text of each set is wanted. Equal texts are one row a task before they are moved.
+    made = map_arrow(rows, run, "text_hash bigint, parts array<bigint>").groupBy("text_hash").agg(F.first("parts").alias("parts"))
+    return cut(made.join(wanted, "text_hash").select("fp", "parts"), "sets")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the stored distinct pairs (u, v) of sets that share so much of their union, stored."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = cut(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).groupBy("text_hash").agg(F.min("fp").alias("fp")), "wanted")
+    parts = _sets(docs, wanted, text_col, shingle)
+    u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
+    both = F.size(F.array_intersect("pu", "pv"))
+    found = pairs.join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
+    return cut(found.select("u", "v"), "confirmed")
+
+
+def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
+    """(u, v): pairs of the sets ``fp`` of cells (t, key, root, fp) with different roots whose keys are within the budget."""
+    rows = buckets(cells, bits, errors, ("t",))
+    rows = rows.select("t", "path", "top", "key", "root", "fp").repartition("t", "path", "top").sortWithinPartitions("t", "path", "top")
+
+    def pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((root, key.view(np.uint64)))
+        key, root, fp = key.view(np.uint64)[order], root[order], fp[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        end = np.append(start[1:], len(key))
+        several = root[start] != root[end - 1]
+        # A key of one root stands for it; one of several for none, so that it is not passed over.
+        names = np.unique(root, return_inverse=True)[1]
+        label = np.where(several, -1 - np.arange(len(start)), names[start])
+
+        def ends(i: np.ndarray, j: np.ndarray, own: bool = False) -> Iterator[pa.RecordBatch]:
+            while len(i):
+                size = (end[i] - start[i]) * (end[j] - start[j])
+                k = max(1, int(np.searchsorted(np.cumsum(size), SLAB)))
+                n, width = size[:k], (end[j] - start[j])[:k]
+                of = np.repeat(np.arange(k), n)
+                off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                a, b = start[i][of] + off // width[of], start[j][of] + off % width[of]
+                pick = root[a] < root[b] if own else root[a] != root[b]
+                a, b = a[pick], b[pick]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], names=["u", "v"])
+                i, j = i[k:], j[k:]
+
+        same = np.flatnonzero(several)
+        yield from ends(same, same, True)
+        for i, j in trie_pairs(key[start], top, errors, label):
+            yield from ends(i, j)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, path, _, key, root, fp in _whole_buckets(batches, 3):
+            for a, z in _runs(t, path):
+                yield from pairs(key[a:z], root[a:z], fp[a:z], _fixed(int(path[a]), bits, errors + 1))
+
+    return map_arrow(rows, run, "u bigint, v bigint")
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, bits: int, errors: int) -> DataFrame:
+    """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys).
+
+    First each set is compared with the smallest of those that share a key with it, in the three tables where
+    most do: that joins a large group of near copies without its pairs. What it joins is then passed over by
+    the walk, whose pairs are all confirmed.
+    """
+    sets = rows.groupBy("fp").agg(F.first("keys").alias("keys"))
+    cells = cut(sets.select("fp", F.posexplode("keys").alias("t", "key")), "cells")
+    groups = cells.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Read from a table, the groups have no partitioning of their own to which a hot key's sets would have to come.
+    star = cells.join(cut(groups, "shared-keys"), ["t", "key"]).where("fp <> pivot").select("fp", "k", "pivot").distinct()
+    star = star.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set(F.struct("k", "pivot")), asc=False), 1, 3).alias("best"))
+    star = cut(star.select(F.col("fp").alias("u"), F.explode("best.pivot").alias("v")).distinct(), "star")
+    near = confirmed(star, rows, docs, text_col, shingle, similarity)
+    roots = cut(components(near).withColumnRenamed("u", "fp"), "near-roots")
+    of = cells.join(roots, "fp", "left").groupBy("t", "key", F.coalesce("root", "fp").alias("root")).agg(F.min("fp").alias("fp"))
+    more = _across(cut(of, "rooted-cells"), bits, errors).distinct().join(star, ["u", "v"], "left_anti")
+    return near.unionByName(confirmed(cut(more, "pairs"), rows, docs, text_col, shingle, similarity))
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = STAGE_SHINGLE,
+    similarity: float = SIMILARITY,
+    tables: int = TABLES,
+    bits: int = TABLE_BITS,
+    errors: int = TABLE_ERRORS,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component of near copies the row with the smallest id.
+
+    ``bits`` and ``errors`` say how many pairs by chance have to be confirmed: of n sets n^2 / 2^(bits + 1) in each
+    table for each way to place the errors. Beyond some ten million documents take 48 bits and 4 errors, which
+    find as much.
+    """
+    rows = cut(sketches(docs, id_col, text_col, shingle, tables, bits), "sketches")
+    linked = assigned(rows.select("doc_id", "text_hash", "fp"), lambda _: similar_links(rows, docs, text_col, shingle, similarity, bits, errors))
+    # Of each component one row: its own texts, whose hash tells rows of one id apart.
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    found = cut(rows.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "near-copies")
-    text_hash = F.xxhash64(F.col(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
-    ids = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays", "n")
-    left = docs.join(ids.where("NOT stays").select("_id", "_hash"), same, "left_anti")
-    again = ids.where("stays AND n > 1").select("_id", "_hash")
+    found = cut(linked.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "near-copies")
+    own = docs.select(F.struct("*").alias("r"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))
+    left = own.join(found.where("NOT stays").select("doc_id", "text_hash"), same, "left_anti")
+    again = found.where("stays AND n > 1").select("doc_id", "text_hash")
     if again.isEmpty():
-        return left
+        return left.select("r.*")
     # Rows repeated with id and text: one of them stays.
-    once = left.join(again, same, "left_semi").withColumn("_hash", text_hash).dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return left.join(again, same, "left_anti").unionByName(once)
+    once = left.join(again, same, "left_semi").dropDuplicates(["i", "h"])
+    return left.join(again, same, "left_anti").select("r.*").unionByName(once.select("r.*"))

@@ -93,9 +93,47 @@ def test_against_brute_force(spark, sf):
             least[c] = min(least.get(c, i), i)
     want = sorted(((x[0], f"{f:016x}", least.get(comp[f])) for x, f in zip(rows, fps, strict=True)), key=str)
     assert sorted(((g.doc_id, g.fingerprint, g.component_id) for g in got), key=str) == want
-    kept = S.keep_one(frame(spark, rows))
-    assert kept.columns == frame(spark, rows).columns
-    assert kept.count() == len({comp[f] for f in fps})
+
+
+@pytest.mark.parametrize(("bits", "errors"), [(64, 4), (32, 2)])
+def test_hot_buckets_are_dealt_out_again(spark, monkeypatch, bits, errors):
+    monkeypatch.setattr(S, "MOST", 60)
+    r, keys = random.Random(bits), set()
+    base = r.getrandbits(bits)
+    # Two thirds share one block's value, so that it is dealt out again and again.
+    for i in range(180):
+        k = base if i % 3 else r.getrandbits(bits)
+        for b in r.sample(range(bits // 3), r.randrange(7)):
+            k ^= 1 << b
+        keys.add(k)
+    keys = [k << 64 - bits for k in sorted(keys)]
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "key long")
+    rows = S.buckets(df.withColumn("fp", df["key"]), bits, errors).collect()
+    sizes, together = {}, set()
+    for x in rows:
+        sizes.setdefault((x.path, x.top), []).append(x.fp % (1 << 64))
+    for (path, _), own in sizes.items():
+        assert len(own) <= 60 or bits - S._fixed(path, bits, errors + 1) < errors + 1
+        together |= {(a, b) for a in own for b in own if a < b}
+    near = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (a ^ b).bit_count() <= errors}
+    assert near and near <= together and max(x.path for x in rows) > errors + 1
+
+
+@pytest.mark.parametrize("most", [1 << 21, 10])
+def test_links_of_any_buckets(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST", most)
+    monkeypatch.setattr(S, "TOGETHER", 50)
+    r, keys = random.Random(9), set()
+    centres = [r.getrandbits(64) for _ in range(5)]
+    for _ in range(300):
+        k = r.choice(centres)
+        for b in r.sample(range(64), r.randrange(6)):
+            k ^= 1 << b
+        keys.add(k)
+    keys = sorted(keys)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in keys], "fp long")
+    found = [(x.u % (1 << 64), x.v % (1 << 64)) for x in S.links(df).collect()]
+    assert components_of(keys, found) == brute(keys)
 
 
 def test_a_large_group_of_near_copies_is_walked_quickly():
