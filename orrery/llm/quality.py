@@ -1,7 +1,7 @@
 """A quality classifier: a byte-level convolutional network in numpy.
 
 A text is its UTF-8 bytes in overlapping chunks that cover all of it. Bytes are embedded, learned
-filters of eight bytes run over each chunk at every second byte, each filter's largest response in
+filters of eight bytes run over each chunk at every byte, each filter's largest response in
 the chunk is kept, and a linear layer makes a logit of them; a document's logit is the mean over its
 chunks. All weights are learned by gradient descent on labelled documents; nothing but the text's
 bytes goes into a score.
@@ -30,7 +30,7 @@ from orrery.session import map_arrow
 
 #: Bounds of the labelled sample.
 SAMPLE, PER_ROW = 1500, 4
-CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
+CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 1
 EMBED, FILTERS = 8, 24
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 0
 KEEP = 0.7
@@ -50,13 +50,15 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.kernel, self.bias, self.weight, self.constant]
 
-    def responses(self, chunks: np.ndarray) -> np.ndarray:
-        """Filter responses (chunks, places, F). Bytes are taken in pairs; a filter spans four pairs."""
-        pairs = self.embed[chunks].reshape(len(chunks), CHUNK // STRIDE, STRIDE * EMBED)
-        places, size = (CHUNK - WIDTH) // STRIDE + 1, STRIDE * EMBED
-        out = np.zeros((len(chunks), places, FILTERS), np.float32)
-        for k in range(WIDTH // STRIDE):
-            out += (pairs @ self.kernel[k * size : (k + 1) * size])[:, k : k + places]
+    def responses(self, chunks: np.ndarray, slab: int = 16) -> np.ndarray:
+        """Filter responses (chunks, places, F) at every byte: windows of the embedded bytes against the filters, a few chunks at a time."""
+        places = (CHUNK - WIDTH) // STRIDE + 1
+        embedded = self.embed[chunks].reshape(len(chunks), CHUNK * EMBED)
+        windows = np.lib.stride_tricks.sliding_window_view(embedded, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
+        out = np.empty((len(chunks), places, FILTERS), np.float32)
+        for i in range(0, len(chunks), slab):
+            part = windows[i : i + slab]
+            out[i : i + slab] = (part.reshape(-1, WIDTH * EMBED) @ self.kernel).reshape(len(part), places, FILTERS)
         return out
 
     def logits(self, chunks: np.ndarray) -> np.ndarray:
@@ -161,11 +163,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     picked = [own.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids: broadcast, so that no text is shuffled.
     ids = picked[0].union(picked[1])
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    data = F.coalesce(F.col("_text"), F.lit("")).cast("binary")
     n = F.octet_length(data)
     k = F.least(F.lit(PER_ROW), F.greatest(F.ceil(n / CHUNK), F.lit(1))).cast("int")
     at = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, F.floor(i * F.greatest(n - CHUNK, F.lit(0)) / F.greatest(k - 1, F.lit(1)))).otherwise(0).cast("int"))
-    parts = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_id", "_label", F.posexplode(F.transform(at, lambda a: F.substring(data, a + 1, F.lit(CHUNK)))).alias("k", "part"))
+    parts = own.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "_label", F.posexplode(F.transform(at, lambda a: F.substring(data, a + 1, F.lit(CHUNK)))).alias("k", "part"))
     rows = parts.toArrow()
     # In a fixed order, whatever order the tasks ended in.
     order = sorted(range(rows.num_rows), key=lambda i: (rows["_id"][i].as_py(), rows["k"][i].as_py(), rows["part"][i].as_py()))

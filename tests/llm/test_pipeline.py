@@ -6,11 +6,11 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from orrery.llm import quality, simhash
+from orrery.llm import quality
 from orrery.session import table
 
 from .test_decontam import brute as contaminated
-from .test_simhash import brute as linked
+from .test_near_copies import brute as similar
 
 
 def test_against_brute_force(spark):
@@ -25,12 +25,8 @@ def test_against_brute_force(spark):
         norm = re.sub(r"[\x20\x09-\x0D]+", " ", t)
         left += [(i, t)] if norm not in seen else []
         seen.add(norm)
-    fps = {i: simhash.fingerprint(t) for i, t in left}
-    comp = linked(sorted(set(fps.values())))
-    seen, docs = set(), []
-    for i, t in left:
-        docs += [(i, t)] if comp[fps[i]] not in seen else []
-        seen.add(comp[fps[i]])
+    comp = similar(left)
+    docs = [d for n, d in enumerate(left) if comp[n] == n]
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
     bad = {w[0] for w in contaminated(docs, items) if w[5]}
     docs = [d for d in docs if d[0] not in bad]
@@ -52,3 +48,20 @@ def test_empty_table_passes(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, src, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_hard_rows_and_clashing_columns_pass_every_stage(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, r string, i long, h long, t string, sha string, row long, fp long, score double, kept boolean, _id long"
+    src = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in table(spark, src, "documents").orderBy("doc_id").limit(40).collect()]
+    rows += [(500, None), (501, ""), (502, " \n"), (503, "x" * 30_000), (None, rows[3][1]), (None, "no id here at all"), rows[5], rows[5], (900, rows[6][1])]
+    spark.createDataFrame([(i, t, None, "s", 1, "r", 1, 1, "t", "s", 1, 1, 0.5, True, 1) for i, t in rows], names).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, src, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns, name
+        docs = corpus_pipeline.cut(docs, name)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert 0 < len(got) <= len({" ".join((t or "").split()) for _, t in rows})

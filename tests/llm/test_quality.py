@@ -73,6 +73,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.predicted for r in out if r.quality == 1]) > 0.98
 
 
+def test_a_leading_space_hardly_moves_a_score(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    net, shift = Q.learn(docs, labels)
+    data = [r.text.encode() for r in docs.orderBy("doc_id").limit(300).collect()]
+    a, b = Q.score_texts(net, shift, data), Q.score_texts(net, shift, [b" " + t for t in data])
+    assert np.sum((a >= Q.KEEP) != (b >= Q.KEEP)) <= 1
+    assert np.abs(a - b).mean() < 0.01
+
+
 def test_hard_rows_and_no_labels(spark, sf):
     rows = hard_rows(texts(spark, sf))
     df = frame(spark, rows)
