@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,27 +58,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_byte_bpe, op4_warc, op5_chat_format, op6_token_count, op7_quality, op8_sharding, op9_exact_dedup, op10_decontamination)}
 
 _LOWER = f"'{decontam.UPPER}', '{decontam.LOWER}'"
-_TEMPLATES = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in license_scan.TEMPLATES.items())
+
+
+def _list(words: Iterable[bytes]) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in sorted(words)) + "]::VARCHAR[]"
+
+
+def _template(name: str, text: str) -> str:
+    numbers, versions, family = license_scan.decisive(license_scan.words_of(text))
+    return f"('{name}', '{text.replace(chr(39), chr(39) * 2)}', {_list(numbers)}, {_list(versions)}, {_list(family)})"
+
+
+_TEMPLATES = ", ".join(_template(name, text) for name, texts in license_scan.TEMPLATES.items() for text in texts)
+_FAMILY = _list(w.encode() for w in license_scan.FAMILY)
 
 ORACLES = {
     "op1_license_scan": rf"""
-WITH seg AS (
-  SELECT doc_id, s FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents
-    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM documents
+WITH big AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '{license_scan.PARAGRAPH}')) FROM documents
+), seg AS (
+  SELECT DISTINCT doc_id, s FROM (
+    FROM big UNION ALL SELECT doc_id, unnest(regexp_split_to_array(s, '{license_scan.SENTENCE}')) FROM big
     UNION ALL SELECT doc_id, text FROM documents)
   WHERE s <> ''
 ), num AS (SELECT row_number() OVER () AS sid, doc_id, regexp_extract_all(translate(s, {_LOWER}), '[a-z0-9]+') AS w FROM seg),
-tpl AS (SELECT name, regexp_extract_all(translate(t, {_LOWER}), '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) AS v(name, t)),
+tpl AS (SELECT row_number() OVER () AS tid, name, numbers, versions, family, regexp_extract_all(translate(t, {_LOWER}), '[a-z0-9]+') AS w FROM (VALUES {_TEMPLATES}) AS v(name, t, numbers, versions, family)),
 sb AS (SELECT sid, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT sid, w, unnest(range(1, len(w))) AS i FROM num) GROUP BY ALL),
-tb AS (SELECT name, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT name, w, unnest(range(1, len(w))) AS i FROM tpl) GROUP BY ALL),
-hit AS (SELECT sid, name, sum(least(sb.n, tb.n)) AS common FROM sb JOIN tb USING (g) GROUP BY ALL),
-sc AS (SELECT sid, doc_id, name, 2 * common::DOUBLE / (len(num.w) + len(tpl.w) - 2) AS score FROM hit JOIN num USING (sid) JOIN tpl USING (name)),
-good AS (SELECT * FROM sc WHERE score >= {license_scan.THRESHOLD}),
-best AS (SELECT doc_id, count(DISTINCT sid) AS n_matches, arg_min(name, (-score, name)) AS license_id, round(max(score), 9) AS score FROM good GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM seg GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_segments, coalesce(n_matches, 0)::BIGINT AS n_matches, license_id, score
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN best USING (doc_id)
+tb AS (SELECT tid, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM (SELECT tid, w, unnest(range(1, len(w))) AS i FROM tpl) GROUP BY ALL),
+hit AS (SELECT sid, tid, sum(least(sb.n, tb.n)) AS common FROM sb JOIN tb USING (g) GROUP BY ALL),
+sc AS (SELECT doc_id, name, common, 2 * common::DOUBLE / (len(num.w) + len(tpl.w) - 2) AS score FROM hit JOIN num USING (sid) JOIN tpl USING (tid)
+  WHERE list_has_all(num.w, numbers) AND list_sort(list_distinct(list_filter(num.w, lambda x: list_contains({_FAMILY}, x)))) = family
+  AND (versions = [] OR versions = list_sort(list_distinct(list_transform(regexp_extract_all(' ' || array_to_string(num.w, ' ') || ' ', '{license_scan.VERSION}', 1), lambda x: regexp_replace(x, ' 0$', '')))))),
+good AS (SELECT doc_id, name, max(common) AS common, arg_max(score, (common, score)) AS score FROM sc WHERE score >= {license_scan.THRESHOLD} GROUP BY doc_id, name),
+best AS (SELECT doc_id, arg_min(name, (-common, -score, name)) AS license_id, round(arg_min(score, (-common, -score, name)), 9) AS score, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses FROM good GROUP BY doc_id)
+SELECT d.doc_id, license_id, score, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN best USING (doc_id)
 """,
     "op5_chat_format": r"""
 WITH t AS (
