@@ -3,10 +3,10 @@
 A text is split into pre-tokens by the vocabulary's pattern. Tier one is a minimal perfect hash over
 the vocabulary: a pre-token that is a token itself gets its id from one probe. Tier two merges what
 is left: bytes in a linked list and a heap of the ranks of neighbouring pairs, so that a pre-token
-of n bytes takes O(n log n), whatever its length.
+of n bytes takes O(n log n), whatever its length. The ranks of pairs come from a dictionary of the vocabulary.
 
-Both tiers work on the distinct pre-tokens of a batch; a bounded cache keeps the merged ones between
-batches of a task. The vocabulary travels as bytes read from a path on the driver, once per task.
+Both tiers work on the distinct pre-tokens of a text; a cache of bounded bytes keeps short ones between
+texts. The vocabulary travels as bytes read from a path on the driver, once per task.
 
 Defined results: a null text is encoded as the empty text, which has no ids; repeated rows are
 encoded alike; an empty table gives an empty table; other columns are ignored.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from orrery.session import map_arrow
 
-#: Merged pre-tokens that a task keeps; when full, the cache starts anew. No result depends on it.
-CACHE = 400_000
+#: Characters of pre-tokens that a worker keeps with their ids; when full, the cache starts anew. A longer pre-token
+#: than LONG is looked up each time. No result depends on either.
+CACHE, LONG = 6_000_000, 64
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -127,6 +128,7 @@ class Codec:
         self.whole = PerfectHash(self.tokens)
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def piece(self, text: str) -> bytes:
         """The ids of a pre-token, as little-endian unsigned 32-bit integers."""
@@ -139,13 +141,19 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers."""
         cache, pieces = self.cache, self.split.findall(text)
-        if missing := set(pieces).difference(cache):
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = set(pieces)
-            for p in missing:
-                cache[p] = self.piece(p)
-        return b"".join(map(cache.__getitem__, pieces))
+        missing = set(pieces).difference(cache)
+        if not missing:
+            return b"".join(map(cache.__getitem__, pieces))
+        own = {p: self.piece(p) for p in missing}
+        out = b"".join([own[p] if p in own else cache[p] for p in pieces])
+        short = {p: ids for p, ids in own.items() if len(p) <= LONG}
+        more = sum(map(len, short))
+        if self.held + more > CACHE:
+            cache.clear()
+            self.held = 0
+        cache.update(short)
+        self.held += more
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -60,6 +60,15 @@ def test_merge_alone_gives_the_same_ids(codec):
         assert bpe.merge(t, codec.ranks) == [codec.ranks[t]]
 
 
+def test_cache_is_bounded_by_characters(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE", 200)
+    own = bpe.Codec(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    for i in range(30):
+        text = f"xqz{i}vbn wkj{i} " * 3 + "y" * 5000 + f" end{i}"
+        assert ids(own, text) == library.encode_ordinary(text)
+        assert own.held == sum(map(len, own.cache)) <= 300 and all(len(p) <= bpe.LONG for p in own.cache)
+
+
 def test_table(spark, sf, library):
     rows = hard_rows(texts(spark, sf))
     got = bpe.encode_documents(frame(spark, rows), PATH, public_tokenizers.PATTERN, with_decoded=True).collect()
