@@ -108,6 +108,7 @@ class Transducer:
         self.joins: dict[tuple[str | None, str], bool] = {}
         self.shapes: dict[str, tuple] = {}
         self.size = 0
+        self.begin = self._state(START)
 
     def _state(self, key: tuple) -> dict:
         if (s := self.states.get(key)) is None:
@@ -171,7 +172,7 @@ class Transducer:
 
     def run(self, key: tuple, text: str) -> tuple[tuple, int]:
         """The state after a text, and the change in the number of tokens. States go in and out as what they stand for, so that transitions can be forgotten between."""
-        state, n = self._state(key), 0
+        state, n = self.begin if key is START else self._state(key), 0
         for c in text:
             if (to := state.get(c)) is None:
                 if self.size >= TRANSITIONS:
