@@ -1,9 +1,10 @@
 """Exact nearest neighbours, by brute force.
 
-Two plans give the same rows. ``plan="sql"`` is a join of every query with every base row and a ranking
-whose limit Spark pushes below the shuffle. ``plan="blocks"`` broadcasts a block of queries of
-bounded size, multiplies matrices per Arrow batch of base rows, keeps every candidate that rounding
-could leave among the k nearest, rescores those in DOUBLE in component order, and ranks globally.
+Two plans give the same rows; both pass over the base once for each block of queries of bounded size, which is
+broadcast. ``plan="sql"`` joins a block with the base and ranks, a limit that Spark pushes below the shuffle.
+``plan="blocks"`` multiplies matrices, a tile of queries and base rows at a time, rescores in DOUBLE and in
+component order every candidate that rounding could leave among the k nearest, and keeps the k nearest of each
+query over all that a task has read; k rows a query and task are ranked globally.
 
 Order is (distance, ordinal). NaN and infinite distances are never neighbours. With fewer than k base
 rows there are fewer neighbours; the array form is padded with -1 and infinity.
@@ -22,8 +23,10 @@ from orrery.functions import vec
 from orrery.operators.extract import running_sums
 from orrery.session import map_arrow
 
-#: Floats of a block of queries that is broadcast: 64 MB.
-BLOCK_FLOATS = 8_000_000
+#: Floats of a block of queries that is broadcast (32 MB), and neighbours that a task keeps for it.
+BLOCK_FLOATS, BLOCK_KEPT = 4_000_000, 2_000_000
+#: Rows of a tile on either side, and numbers that are rescored at once: 8 MB each.
+TILE, RESCORED = 1024, 1_000_000
 COSINE_MODES = ("assume_normalized", "proper")
 
 
@@ -47,10 +50,10 @@ def top_k(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return ranked.select(by, "neighbor_id", (F.col("rank") - 1).cast("int").alias("rank"), "distance")
 
 
-def _pairs(q: DataFrame, b: DataFrame, metric: str, on: Column | None = None) -> DataFrame:
-    both = q.crossJoin(b) if on is None else q.join(b, on)
+def _pairs(q: DataFrame, b: DataFrame, metric: str) -> DataFrame:
+    """Every base row beside every query of a block."""
     kernel, published = vec.distance(metric, F.col("q_vec"), F.col("b_vec"))
-    return both.select("query_id", "neighbor_id", kernel.alias("kernel"), published.alias("distance"))
+    return b.crossJoin(F.broadcast(q)).select("query_id", "neighbor_id", kernel.alias("kernel"), published.alias("distance"))
 
 
 def _sides(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -64,27 +67,38 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", cosine_
     """(query_id, neighbor_id, rank, distance): the k nearest base rows of each query."""
     name = resolved(metric, cosine_mode)
     q, b = _sides(base, queries, id_col, vec_col)
-    if plan == "sql":
-        return top_k(_pairs(q, b, name), k)
+    return _knn(q, b, k, name, plan)
+
+
+def _knn(q: DataFrame, b: DataFrame, k: int, name: str, plan: str = "blocks") -> DataFrame:
     out = None
-    for ids, matrix in _blocks(q):
-        part = top_k(_candidates(b, ids, matrix, k, name), k)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else top_k(_pairs(q, b, name), k)
-
-
-def _blocks(q: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries, a block of bounded size at a time."""
-    ids: list[int] = []
-    rows: list[list[float]] = []
-    for r in q.where(F.col("q_vec").isNotNull()).toLocalIterator(prefetchPartitions=True):
-        ids.append(r["query_id"])
-        rows.append(r["q_vec"])
-        if len(rows) * len(rows[0]) >= BLOCK_FLOATS:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if rows:
-        yield np.array(ids), np.array(rows, np.float64)
+    for part in _blocks(q, k):
+        pairs = _pairs(part, b, name) if plan == "sql" else _candidates(b, part, k, name)
+        out = pairs if out is None else out.unionByName(pairs)
+    return top_k(out, k)
+
+
+def _blocks(q: DataFrame, k: int) -> list[DataFrame]:
+    """The queries in blocks of bounded size, dealt out by the hash of their ids."""
+    n, dim = q.agg(F.count("q_vec"), F.max(F.size("q_vec"))).first()
+    blocks = max(1, -(-n * (dim or 1) // BLOCK_FLOATS), -(-n * k // BLOCK_KEPT))
+    own = q.where(F.col("q_vec").isNotNull())
+    return [own] if blocks == 1 else [own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows; floats stay floats, all else becomes doubles."""
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(col), -1).astype(np.float32 if flat.dtype in (np.float32, np.float16) else np.float64)
+
+
+def _collected(q: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, vectors and labels of a block."""
+    got = q.toArrow().combine_chunks()
+    cols = {n: got[n].combine_chunks() for n in got.column_names}
+    ids = cols["query_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+    labels = np.array(cols["label"].to_pylist(), object) if "label" in cols else None
+    return ids, _matrix(cols["q_vec"]) if len(ids) else np.zeros((0, 1)), labels
 
 
 def _exact(name: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,52 +120,127 @@ def _exact(name: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.divide(acc, size, out=np.zeros_like(acc), where=size != 0)
 
 
-def _candidates(base: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, name: str) -> DataFrame:
-    """(query_id, neighbor_id, kernel, distance): of each batch at least its k nearest to each query."""
-    held = base.sparkSession.sparkContext.broadcast((ids, q))
+def _near(name: str, q: np.ndarray, b: np.ndarray, qq: np.ndarray, bb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel distances of a tile as fast as they come, and a bound on how far off each may be."""
+    if name == "L1":
+        near = np.empty((len(q), len(b)))
+        wide = b.astype(np.float64)
+        for i, v in enumerate(q.astype(np.float64)):
+            near[i] = np.abs(wide - v).sum(1)
+        return near, near * 1e-12
+    # Floats are multiplied as floats. A sum of n products is off by n + 2 roundings of the norms' product at most.
+    unit = (q.shape[1] + 4) * (np.finfo(np.result_type(q, b)).eps if q.dtype == b.dtype else np.finfo(np.float64).eps)
+    dots = (q @ b.T).astype(np.float64)
+    scale = np.sqrt(qq[:, None] * bb[None, :])
+    if name == "DOT":
+        return -dots, scale * unit
+    if name == "L2":
+        return qq[:, None] + bb[None, :] - 2 * dots, scale * (2 * unit) + (qq[:, None] + bb[None, :]) * 1e-12
+    return 1 - np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0), np.full_like(dots, unit + 1e-12)
+
+
+def _scored(name: str, q: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact kernel distances of index pairs, some at a time."""
+    step, out = max(1, RESCORED // q.shape[1]), np.empty(len(i))
+    for a in range(0, len(i), step):
+        x = slice(a, a + step)
+        out[x] = _exact(name, q[i[x]].astype(np.float64), b[j[x]].astype(np.float64))
+    return out
+
+
+class Nearest:
+    """The k nearest of each query among the base rows seen so far."""
+
+    def __init__(self, q: np.ndarray, k: int, name: str) -> None:
+        # Where floats could overflow in a product, doubles are taken.
+        top = np.abs(q).max(initial=0)
+        self.q = q if q.dtype == np.float64 or (np.isfinite(top) and top < 1e15) else q.astype(np.float64)
+        self.k, self.name = k, name
+        wide = self.q.astype(np.float64)
+        self.qq = (wide * wide).sum(1)
+        self.kernel = np.full((len(q), k), np.inf)
+        self.id = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> None:
+        """See base rows; ``own`` are the queries that they count for, all of them if None."""
+        if b.dtype != self.q.dtype or not np.abs(b).max(initial=0) < 1e15:
+            b = b.astype(np.float64)
+        own = np.arange(len(self.q)) if own is None else own
+        for x in range(0, len(b), TILE):
+            part, part_ids = b[x : x + TILE], ids[x : x + TILE]
+            wide = part.astype(np.float64)
+            bb = (wide * wide).sum(1)
+            for y in range(0, len(own), TILE):
+                self._tile(own[y : y + TILE], part_ids, part, bb)
+
+    def _tile(self, own: np.ndarray, ids: np.ndarray, b: np.ndarray, bb: np.ndarray) -> None:
+        k, q = self.k, self.q[own]
+        with np.errstate(all="ignore"):
+            near, slack = _near(self.name, q if q.dtype == b.dtype else q.astype(np.float64), b, self.qq[own], bb)
+            # What is not finite in floats may be so in doubles: it is rescored, and left out there.
+            odd = ~np.isfinite(near)
+            low = near - slack
+            low[odd] = -np.inf
+            limit = self.kernel[own, k - 1]
+            if len(ids) > k:
+                high = near + slack
+                high[odd] = np.inf
+                limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(low <= limit[:, None])
+            if not len(i):
+                return
+            kernel = _scored(self.name, self.q[own], b, i, j)
+        ok = np.isfinite(kernel)
+        i, j, kernel = i[ok], j[ok], kernel[ok]
+        if not len(i):
+            return
+        # The k first by (kernel, id) of what each query had and has now.
+        hit = np.unique(i)
+        who = np.concatenate((np.repeat(hit, k), i))
+        kern = np.concatenate((self.kernel[own[hit]].ravel(), kernel))
+        name = np.concatenate((self.id[own[hit]].ravel(), ids[j]))
+        order = np.lexsort((name, kern, who))
+        who, kern, name = who[order], kern[order], name[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        self.kernel[own[hit]] = kern[first].reshape(-1, k)
+        self.id[own[hit]] = name[first].reshape(-1, k)
+
+
+def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str) -> DataFrame:
+    """(query_id, neighbor_id, kernel, distance): of each task its k nearest to each query; with a label column on both sides, within the label."""
+    held = base.sparkSession.sparkContext.broadcast(_collected(queries))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qm = held.value
-        qq = (qm * qm).sum(1)
+        qid, q, labels = held.value
+        if not len(qid):
+            return
+        best = Nearest(q, k, name)
+        by_label: dict = {}
+        for i, x in enumerate(labels if labels is not None else ()):
+            by_label.setdefault(x, []).append(i)
+        by_label = {x: np.array(v) for x, v in by_label.items() if x is not None}
         for batch in batches:
             col = batch.column(1)
-            own = batch.filter(col.is_valid()) if col.null_count else batch
-            if not own.num_rows:
+            rows = batch.filter(col.is_valid()) if col.null_count else batch
+            if not rows.num_rows:
                 continue
-            flat = own.column(1).flatten().to_numpy(zero_copy_only=False)
-            bm = flat.reshape(own.num_rows, -1).astype(np.float64)
-            bid = own.column(0).to_numpy(zero_copy_only=False)
-            bb = (bm * bm).sum(1)
-            if name == "L1":
-                near = np.stack([np.abs(bm - v).sum(1) for v in qm])
-                slack = near * 1e-12
-            else:
-                near = qm @ bm.T
-                scale = np.sqrt(qq[:, None] * bb[None, :])
-                if name == "L2":
-                    near, slack = qq[:, None] + bb[None, :] - 2 * near, (qq[:, None] + bb[None, :]) * 1e-12
-                elif name == "DOT":
-                    near, slack = -near, scale * 1e-12
-                else:
-                    near, slack = 1 - np.divide(near, scale, out=np.zeros_like(near), where=scale != 0), np.full_like(near, 1e-12)
-            near = np.where(np.isfinite(near), near, np.inf)
-            if near.shape[1] > k:
-                # All that rounding could put among the k nearest, ties included.
-                limit = np.partition(near + slack, k - 1, axis=1)[:, k - 1 : k]
-                keep = near - slack <= limit
-            else:
-                keep = np.isfinite(near)
-            i, j = np.nonzero(keep & np.isfinite(near))
-            kernel = _exact(name, qm[i], bm[j])
-            if len(i) > k * len(qid):
-                # Ties beyond the k nearest of this batch go, by the global order.
-                order = np.lexsort((bid[j], kernel, i))
-                i, j, kernel = i[order], j[order], kernel[order]
-                first = np.searchsorted(i, i)
-                top = np.arange(len(i)) - first < k
-                i, j, kernel = i[top], j[top], kernel[top]
+            ids, b = rows.column(0).to_numpy(zero_copy_only=False), _matrix(rows.column(1))
+            if labels is None:
+                best.add(ids, b)
+                continue
+            of: dict = {}
+            for j, x in enumerate(rows.column(2).to_pylist()):
+                if x in by_label:
+                    of.setdefault(x, []).append(j)
+            for x, j in of.items():
+                best.add(ids[j], b[j], by_label[x])
+        i, r = np.nonzero(np.isfinite(best.kernel))
+        for a in range(0, len(i), 100_000):
+            kernel = best.kernel[i[a : a + 100_000], r[a : a + 100_000]]
             published = -kernel if name == "DOT" else 1 - kernel if name == "COSINE" else kernel
-            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(bid[j]), pa.array(kernel), pa.array(published)], names=["query_id", "neighbor_id", "kernel", "distance"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qid[i[a : a + 100_000]]), pa.array(best.id[i[a : a + 100_000], r[a : a + 100_000]]), pa.array(kernel), pa.array(published)], names=["query_id", "neighbor_id", "kernel", "distance"]
+            )
 
     return map_arrow(base, run, "query_id bigint, neighbor_id bigint, kernel double, distance double")
 
@@ -168,14 +257,53 @@ def knn_arrays(neighbors: DataFrame, k: int) -> DataFrame:
 
 
 def knn_ties(base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", cosine_mode: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, tied_neighbors): base rows at exactly the distance of the k-th neighbour, where more than k are no farther."""
+    """(query_id, tied_neighbors): base rows at exactly the distance of the k-th neighbour, where more than k are no farther.
+
+    A second pass counts, in tiles, the base rows at and within that distance; no pair leaves its task.
+    """
+    name = resolved(metric, cosine_mode)
     q, b = _sides(base, queries, id_col, vec_col)
-    pairs = _pairs(q, b, resolved(metric, cosine_mode)).where(~F.isnan("kernel") & (F.col("kernel") < float("inf")))
-    ranked = pairs.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy("kernel"))).where(F.col("r") <= k)
-    last = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("kernel").alias("far"))
-    at = ranked.join(last, "query_id").where((F.col("n") > k) & (F.col("kernel") == F.col("far")))
-    tied = at.groupBy("query_id").agg(F.count(F.lit(1)).alias("tied_neighbors"))
-    return queries.select(F.col(id_col).alias("query_id")).join(tied, "query_id", "left").na.fill(0, ["tied_neighbors"])
+    out = None
+    for part in _blocks(q, k):
+        kth = _candidates(b, part, k, name).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("kernel")), k, 1).alias("far")).where("size(far) = 1")
+        counts = _within(b, part.join(kth.select("query_id", F.col("far")[0].alias("far")), "query_id"), name)
+        out = counts if out is None else out.unionByName(counts)
+    tied = out.groupBy("query_id").agg(F.sum("at").alias("at"), F.sum("nearer").alias("nearer")).where(F.col("at") + F.col("nearer") > k)
+    return queries.select(F.col(id_col).alias("query_id")).join(tied.select("query_id", F.col("at").alias("tied_neighbors")), "query_id", "left").na.fill(0, ["tied_neighbors"])
+
+
+def _within(base: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """(query_id, at, nearer): of each task the base rows at just the distance ``far`` of each query, and nearer."""
+    got = queries.select("query_id", "q_vec", "far").toArrow().combine_chunks()
+    ids = got["query_id"].combine_chunks().to_numpy(zero_copy_only=False)
+    held = base.sparkSession.sparkContext.broadcast((ids, _matrix(got["q_vec"].combine_chunks()) if len(ids) else np.zeros((0, 1)), got["far"].combine_chunks().to_numpy(zero_copy_only=False)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, far = held.value
+        if not len(qid):
+            return
+        wide = q.astype(np.float64)
+        qq, at, nearer = (wide * wide).sum(1), np.zeros(len(qid), np.int64), np.zeros(len(qid), np.int64)
+        for batch in batches:
+            col = batch.column(1)
+            rows = batch.filter(col.is_valid()) if col.null_count else batch
+            if not rows.num_rows:
+                continue
+            b = _matrix(rows.column(1)).astype(np.float64)
+            bb = (b * b).sum(1)
+            for x in range(0, len(b), TILE):
+                for y in range(0, len(qid), TILE):
+                    z = slice(y, y + TILE)
+                    with np.errstate(all="ignore"):
+                        near, slack = _near(name, wide[z], b[x : x + TILE], qq[z], bb[x : x + TILE])
+                        nearer[z] += (near + slack < far[z, None]).sum(1)
+                        i, j = np.nonzero((np.abs(near - far[z, None]) <= slack) | ~np.isfinite(near))
+                        kernel = _scored(name, wide[z], b[x : x + TILE], i, j)
+                    np.add.at(at, i + y, kernel == far[z][i])
+                    np.add.at(nearer, i + y, kernel < far[z][i])
+        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(at), pa.array(nearer)], names=["query_id", "at", "nearer"])
+
+    return map_arrow(base, run, "query_id bigint, at bigint, nearer bigint")
 
 
 def knn_distances(ground: DataFrame, base: DataFrame, queries: DataFrame, metric: str = "L2", cosine_mode: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -218,10 +346,14 @@ def partition_profiles(base: DataFrame, label_col: str = "label", id_col: str =
 
 
 def partitioned_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", cosine_mode: str | None = None, label_col: str = "label", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(label, query_id, neighbor_id, rank, distance): nearest neighbours within the query's own label."""
+    """(label, query_id, neighbor_id, rank, distance): nearest neighbours within the query's own label.
+
+    The base stays where it is read: a label that a third of it has is spread over all tasks.
+    """
+    name = resolved(metric, cosine_mode)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q_vec"), F.col(label_col).alias("label"))
-    b = base.select(F.col(id_col).alias("neighbor_id"), F.col(vec_col).alias("b_vec"), F.col(label_col).alias("b_label"))
-    out = top_k(_pairs(q, b, resolved(metric, cosine_mode), F.col("label") == F.col("b_label")), k)
+    b = base.select(F.col(id_col).alias("neighbor_id"), F.col(vec_col).alias("b_vec"), F.col(label_col).alias("label"))
+    out = _knn(q, b, k, name)
     return q.select("query_id", "label").join(out, "query_id").select("label", "query_id", "neighbor_id", "rank", "distance")
 
 
@@ -231,15 +363,15 @@ def sized_knn(base: DataFrame, queries: DataFrame, sizes: list[int], k: int, met
     Distances are computed once. Each segment between two sizes keeps its k nearest, and a size ranks
     those of its segments: what is ranked again is k rows a segment, not the base.
     """
-    name, steps = resolved(metric, cosine_mode), sorted(sizes)
+    name, steps = resolved(metric, cosine_mode), sorted(set(sizes))
     q, b = _sides(base, queries, id_col, vec_col)
-    pairs = _pairs(q, b, name).withColumn("at", F.col("neighbor_id") - offset)
-    segment = F.size(F.filter(F.array(*map(F.lit, steps)), lambda n: n <= F.col("at")))
-    pairs = pairs.where(F.col("at") < steps[-1]).withColumn("segment", segment)
-    w = Window.partitionBy("query_id", "segment").orderBy("kernel", "neighbor_id")
-    best = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    ladder = F.slice(F.array(*map(F.lit, steps)), F.col("segment") + 1, len(steps))
-    best = best.select("query_id", "neighbor_id", "kernel", "distance", F.explode(ladder).alias("size"))
+    blocks, best = _blocks(q, k), None
+    for i, (low, high) in enumerate(zip([None, *steps], steps, strict=False)):
+        own = b.where(F.col("neighbor_id") < high + offset)
+        own = own if low is None else own.where(F.col("neighbor_id") >= low + offset)
+        for part in blocks:
+            found = _candidates(own, part, k, name).withColumn("size", F.explode(F.array(*map(F.lit, steps[i:]))))
+            best = found if best is None else best.unionByName(found)
     w = Window.partitionBy("size", "query_id").orderBy("kernel", "neighbor_id")
     ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("size", "query_id", "neighbor_id", (F.col("rank") - 1).cast("int").alias("rank"), "distance")
