@@ -25,8 +25,10 @@ from orrery.session import map_arrow
 
 #: Floats of a block of queries that is broadcast (32 MB), and neighbours that a task keeps for it.
 BLOCK_FLOATS, BLOCK_KEPT = 4_000_000, 2_000_000
-#: Rows of a tile on either side, and numbers that are rescored at once: 8 MB each.
-TILE, RESCORED = 1024, 1_000_000
+#: Base rows of a tile, its distances, and numbers that are rescored at once: 8 MB each.
+ROWS, CELLS, RESCORED = 8192, 2_000_000, 1_000_000
+#: Components beyond which products are not trusted: floats are taken as doubles, and doubles are rescored one by one.
+LARGE = {np.dtype(np.float32): 1e15, np.dtype(np.float64): 1e150}
 COSINE_MODES = ("assume_normalized", "proper")
 
 
@@ -128,9 +130,9 @@ def _near(name: str, q: np.ndarray, b: np.ndarray, qq: np.ndarray, bb: np.ndarra
         for i, v in enumerate(q.astype(np.float64)):
             near[i] = np.abs(wide - v).sum(1)
         return near, near * 1e-12
-    # Floats are multiplied as floats. A sum of n products is off by n + 2 roundings of the norms' product at most.
-    unit = (q.shape[1] + 4) * (np.finfo(np.result_type(q, b)).eps if q.dtype == b.dtype else np.finfo(np.float64).eps)
-    dots = (q @ b.T).astype(np.float64)
+    # A sum of n products is off by n + 2 roundings of the norms' product at most.
+    unit = (q.shape[1] + 4) * np.finfo(np.float64).eps
+    dots = q @ b.T
     scale = np.sqrt(qq[:, None] * bb[None, :])
     if name == "DOT":
         return -dots, scale * unit
@@ -152,45 +154,40 @@ class Nearest:
     """The k nearest of each query among the base rows seen so far."""
 
     def __init__(self, q: np.ndarray, k: int, name: str) -> None:
-        # Where floats could overflow in a product, doubles are taken.
-        top = np.abs(q).max(initial=0)
-        self.q = q if q.dtype == np.float64 or (np.isfinite(top) and top < 1e15) else q.astype(np.float64)
-        self.k, self.name = k, name
-        wide = self.q.astype(np.float64)
-        self.qq = (wide * wide).sum(1)
+        self.q, self.k, self.name = _tame(q), k, name
+        self.norm = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
         self.kernel = np.full((len(q), k), np.inf)
         self.id = np.full((len(q), k), np.iinfo(np.int64).max)
 
     def add(self, ids: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> None:
         """See base rows; ``own`` are the queries that they count for, all of them if None."""
-        if b.dtype != self.q.dtype or not np.abs(b).max(initial=0) < 1e15:
-            b = b.astype(np.float64)
         own = np.arange(len(self.q)) if own is None else own
-        for x in range(0, len(b), TILE):
-            part, part_ids = b[x : x + TILE], ids[x : x + TILE]
-            wide = part.astype(np.float64)
-            bb = (wide * wide).sum(1)
-            for y in range(0, len(own), TILE):
-                self._tile(own[y : y + TILE], part_ids, part, bb)
-
-    def _tile(self, own: np.ndarray, ids: np.ndarray, b: np.ndarray, bb: np.ndarray) -> None:
+        for x in range(0, len(b), ROWS):
+            part, names = b[x : x + ROWS], ids[x : x + ROWS]
+            # What is not finite is no neighbour in any metric.
+            fine = np.isfinite(part).all(1)
+            part, names = (part, names) if fine.all() else (part[fine], names[fine])
+            step = max(1, CELLS // max(1, len(part)))
+            for y in range(0, len(own) if len(part) else 0, step):
+                self._tile(own[y : y + step], names, part)
+
+    def _tile(self, own: np.ndarray, ids: np.ndarray, b: np.ndarray) -> None:
         k, q = self.k, self.q[own]
+        limit = self.kernel[own, k - 1]
         with np.errstate(all="ignore"):
-            near, slack = _near(self.name, q if q.dtype == b.dtype else q.astype(np.float64), b, self.qq[own], bb)
-            # What is not finite in floats may be so in doubles: it is rescored, and left out there.
-            odd = ~np.isfinite(near)
-            low = near - slack
-            low[odd] = -np.inf
-            limit = self.kernel[own, k - 1]
-            if len(ids) > k:
-                high = near + slack
-                high[odd] = np.inf
-                limit = np.minimum(limit, np.partition(high, k - 1, axis=1)[:, k - 1])
-            i, j = np.nonzero(low <= limit[:, None])
-            if not len(i):
-                return
-            kernel = _scored(self.name, self.q[own], b, i, j)
-        ok = np.isfinite(kernel)
+            score, error, most = _scores(self.name, q, _tame(b), self.norm[own], limit)
+            odd = None if np.isfinite(error).all() else ~np.isfinite(score)
+            if odd is not None:
+                score[odd] = np.inf
+            keep = score <= (most + 2 * error)[:, None]
+            if len(ids) > k and np.count_nonzero(keep) > 2 * k * len(own):
+                most = np.minimum(most, np.partition(score, k - 1, axis=1)[:, k - 1])
+                keep = score <= (most + 2 * error)[:, None]
+            if odd is not None:
+                keep |= odd
+            i, j = np.nonzero(keep)
+            kernel = _scored(self.name, q, b, i, j)
+        ok = np.isfinite(kernel) & (kernel <= limit[i])
         i, j, kernel = i[ok], j[ok], kernel[ok]
         if not len(i):
             return
@@ -206,6 +203,45 @@ class Nearest:
         self.id[own[hit]] = name[first].reshape(-1, k)
 
 
+def _tame(v: np.ndarray) -> np.ndarray:
+    """As doubles, if floats could overflow in a product."""
+    top = np.abs(v).max(initial=0)
+    return v if v.dtype == np.float64 or top < LARGE[v.dtype] else v.astype(np.float64)
+
+
+def _scores(name: str, q: np.ndarray, b: np.ndarray, norm: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's scores, by which each query's rows are ordered as by the kernel; how far off they may be, and the limit as a score, for each query.
+
+    The error is infinite where products may overflow.
+    """
+    if name == "L1":
+        near = np.empty((len(q), len(b)))
+        wide = b.astype(np.float64)
+        for i, v in enumerate(q.astype(np.float64)):
+            near[i] = np.abs(wide - v).sum(1)
+        return near, near.max(1) * 1e-12, limit
+    if q.dtype != b.dtype:
+        q, b = q.astype(np.float64), b.astype(np.float64)
+    wide = b.astype(np.float64)
+    bb = (wide * wide).sum(1)
+    eps, top = float(np.finfo(q.dtype).eps), np.sqrt(bb.max())
+    # A sum of n products is off by n + 2 roundings of the norms' product at most.
+    unit = (q.shape[1] + 8) * eps
+    odd = max(np.abs(q).max(), np.abs(b).max()) >= LARGE[q.dtype]
+    if name == "COSINE":
+        b = (wide / np.where(bb > 0, np.sqrt(bb), 1)[:, None]).astype(q.dtype)
+        score, error, most = -(q @ b.T), norm * unit + 1e-300, np.where(np.isfinite(limit), (limit - 1) * norm + norm * 1e-12, np.inf)
+    elif name == "DOT":
+        score, error, most = -(q @ b.T), norm * (top * unit), limit
+    else:
+        # Half the squared distance, without the query's own part.
+        score = q @ b.T
+        np.subtract((bb / 2).astype(q.dtype), score, out=score)
+        error, most = norm * (top * unit) + (top * top + norm * top) * (4 * eps), (limit - norm * norm) / 2 + (np.where(np.isfinite(limit), limit, 0) + norm * norm) * 1e-12
+    # Comparisons are made in the scores' own type.
+    return score, np.full(len(q), np.inf) if odd else error + np.abs(np.where(np.isfinite(most), most, 0)) * (4 * eps), most
+
+
 def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str) -> DataFrame:
     """(query_id, neighbor_id, kernel, distance): of each task its k nearest to each query; with a label column on both sides, within the label."""
     held = base.sparkSession.sparkContext.broadcast(_collected(queries))
@@ -290,15 +326,15 @@ def _within(base: DataFrame, queries: DataFrame, name: str) -> DataFrame:
             if not rows.num_rows:
                 continue
             b = _matrix(rows.column(1)).astype(np.float64)
-            bb = (b * b).sum(1)
-            for x in range(0, len(b), TILE):
-                for y in range(0, len(qid), TILE):
-                    z = slice(y, y + TILE)
+            bb, step = (b * b).sum(1), max(1, CELLS // ROWS)
+            for x in range(0, len(b), ROWS):
+                for y in range(0, len(qid), step):
+                    z = slice(y, y + step)
                     with np.errstate(all="ignore"):
-                        near, slack = _near(name, wide[z], b[x : x + TILE], qq[z], bb[x : x + TILE])
+                        near, slack = _near(name, wide[z], b[x : x + ROWS], qq[z], bb[x : x + ROWS])
                         nearer[z] += (near + slack < far[z, None]).sum(1)
                         i, j = np.nonzero((np.abs(near - far[z, None]) <= slack) | ~np.isfinite(near))
-                        kernel = _scored(name, wide[z], b[x : x + TILE], i, j)
+                        kernel = _scored(name, wide[z], b[x : x + ROWS], i, j)
                     np.add.at(at, i + y, kernel == far[z][i])
                     np.add.at(nearer, i + y, kernel < far[z][i])
         yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(at), pa.array(nearer)], names=["query_id", "at", "nearer"])

@@ -1,37 +1,27 @@
-"""Nearest neighbours over ``embeddings``: queries are the ids below 20, the base is the rest.
+"""Nearest neighbours over ``embeddings``: every row whose id is divisible by 20 is a query, all rows are the base.
 
-Queries named _whole take every row whose id is divisible by 20 against all rows.
+A query finds itself first: it is a row of the base.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import knn, verify
 from orrery.session import table
 
-K, N_QUERIES = 10, 20
+K = 10
+#: Rungs of the ladder of sizes below the whole base.
 SIZES = [50, 120, 300]
-Sides = Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "embeddings")
-    return e.where(f"vec_id >= {N_QUERIES}"), e.where(f"vec_id < {N_QUERIES}")
-
-
-def whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A query finds itself first: it is a row of the base."""
     e = table(spark, sf, "embeddings")
     return e, e.where("vec_id % 20 = 0")
 
 
-def passing(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def passing(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, ordinal): base rows that share the query's label."""
     b, q = sides(spark, sf)
     return q.select(F.col("vec_id").alias("query_id"), "label").join(b.select(F.col("vec_id").alias("ordinal"), "label"), "label").drop("label")
@@ -42,82 +32,77 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _metric(metric: str, mode: str | None = None):
-    def run(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
         b, q = sides(spark, sf)
         return rounded(knn.knn(b, q, K, metric, mode))
 
     return run
 
 
-def _distances(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _distances(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
     return rounded(knn.knn_distances(knn.knn(b, q, K), b, q, "L1"))
 
 
-def _ties(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _ties(spark: SparkSession, sf: str) -> DataFrame:
     # Components cut to a few levels, so that there are ties.
-    kept = F.slice("embedding", 1, 4) if sides is not whole else F.col("embedding")
-    b, q = (x.withColumn("embedding", F.transform(kept, lambda v: F.round(v * 2).cast("float"))) for x in sides(spark, sf))
+    b, q = (x.withColumn("embedding", F.transform("embedding", lambda v: F.round(v * 2).cast("float"))) for x in sides(spark, sf))
     return knn.knn_ties(b, q, K)
 
 
-def _pre(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _pre(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(knn.prefiltered_knn(b, q, passing(spark, sf, sides), K))
+    return rounded(knn.prefiltered_knn(b, q, passing(spark, sf), K))
 
 
-def _post(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _post(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return knn.postfiltered_knn(knn.knn(b, q, 50), passing(spark, sf, sides))
+    return knn.postfiltered_knn(knn.knn(b, q, 50), passing(spark, sf))
 
 
-def _partitioned(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _partitioned(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
     return rounded(knn.partitioned_knn(b, q, K))
 
 
-def _sized(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    if sides is whole:
-        n = b.count()
-        return rounded(knn.sized_knn(b, q, sorted({*[x for x in SIZES if x < n], n}), K))
-    return rounded(knn.sized_knn(b, q, SIZES, K, offset=N_QUERIES))
+    n = b.count()
+    return rounded(knn.sized_knn(b, q, sorted({*[x for x in SIZES if x < n], n}), K))
 
 
-def _spoiled(spark: SparkSession, sf: str, sides: Sides = sides) -> tuple[DataFrame, DataFrame]:
-    """The true neighbours, and the same with faults: query 1 swaps two, 2 loses three, 3 loses all but two; of the whole, queries 20, 40 and 60."""
-    step = 20 if sides is whole else 1
+def _spoiled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The true neighbours, and the same with faults: query 20 swaps two, 40 loses three, 60 loses all but two."""
     b, q = sides(spark, sf)
     truth = knn.knn(b, q, K)
-    bad = truth.withColumn("rank", F.when((F.col("query_id") == step) & (F.col("rank") < 2), 1 - F.col("rank")).otherwise(F.col("rank")))
-    gone = ((F.col("query_id") == 2 * step) & (F.col("rank") >= 7)) | ((F.col("query_id") == 3 * step) & (F.col("rank") >= 2))
+    bad = truth.withColumn("rank", F.when((F.col("query_id") == 20) & (F.col("rank") < 2), 1 - F.col("rank")).otherwise(F.col("rank")))
+    gone = ((F.col("query_id") == 40) & (F.col("rank") >= 7)) | ((F.col("query_id") == 60) & (F.col("rank") >= 2))
     return truth, bad.withColumn("neighbor_id", F.when(gone, -1 - F.col("neighbor_id")).otherwise(F.col("neighbor_id")))
 
 
-def _compare(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
-    return verify.knn_compare(*_spoiled(spark, sf, sides))
+def _compare(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.knn_compare(*_spoiled(spark, sf))
 
 
-def _verify(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
-    truth, bad = _spoiled(spark, sf, sides)
+def _verify(spark: SparkSession, sf: str) -> DataFrame:
+    truth, bad = _spoiled(spark, sf)
     return rounded(verify.recall(truth, bad), "recall")
 
 
-def _verify_pre(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _verify_pre(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of the pairs that pass beside those that the tiles find within a label."""
     b, q = sides(spark, sf)
-    rows = passing(spark, sf, sides)
-    again = knn.postfiltered_knn(knn.knn(b, q, b.count(), plan="sql"), rows)
-    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, rows, K), verify.first_ranks(again, K)))
+    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, passing(spark, sf), K), knn.partitioned_knn(b, q, K)))
 
 
-def _verify_post(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _verify_post(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    ground, rows = knn.knn(b, q, 50), passing(spark, sf, sides)
+    ground, rows = knn.knn(b, q, 50), passing(spark, sf)
     direct = knn.knn(b, q, 50, plan="sql").join(rows.withColumnRenamed("ordinal", "neighbor_id"), ["query_id", "neighbor_id"])
     return verify.summary(verify.knn_compare(direct, knn.postfiltered_knn(ground, rows)))
 
 
-def _parity(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _parity(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
     out = None
     for metric, mode in (("L2", None), ("DOT", None), ("L1", None), ("COSINE", "proper")):
@@ -126,24 +111,24 @@ def _parity(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
     return out
 
 
-def _explain(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _explain(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(verify.explain_knn(knn.knn(b, q, K), knn.knn(b, q, K, plan="sql"), 140 if sides is whole else 7), "distance", "recomputed_distance")
+    return rounded(verify.explain_knn(knn.knn(b, q, K), knn.knn(b, q, K, plan="sql"), 140), "distance", "recomputed_distance")
 
 
-def _explain_filtered(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _explain_filtered(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    rows = passing(spark, sf, sides)
+    rows = passing(spark, sf)
     out = verify.explain_filtered_knn(knn.knn(b, q, 50), knn.prefiltered_knn(b, q, rows, 50), rows, b.count(), 50)
     return rounded(out, "selectivity", "recall", "mean_rank_shift")
 
 
-def _explain_partition(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _explain_partition(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return verify.explain_partition(knn.partition_profiles(b), knn.partitioned_knn(b, q, K), 100 if sides is whole else 5)
+    return verify.explain_partition(knn.partition_profiles(b), knn.partitioned_knn(b, q, K), 100)
 
 
-def _profiles(spark: SparkSession, sf: str, sides: Sides = sides) -> DataFrame:
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     return knn.partition_profiles(sides(spark, sf)[0], least=K)
 
 
@@ -168,9 +153,8 @@ QUERIES = {
     "explain_filtered_knn": _explain_filtered,
     "explain_partition": _explain_partition,
 }
-QUERIES |= {f"{k}_whole": partial(f, sides=whole) for k, f in QUERIES.items()}
 
-_BQ = f"b AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE vec_id >= {N_QUERIES}), q AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE vec_id < {N_QUERIES})"
+_BQ = "b AS (SELECT vec_id, label, embedding AS v FROM embeddings), q AS (SELECT * FROM b WHERE vec_id % 20 = 0)"
 _ZIP = "list_sum(list_transform(list_zip(q.v, b.v), lambda p: {}))"
 _D = {
     "L2": _ZIP.format("(p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)"),
@@ -199,8 +183,8 @@ ORACLES = {
     "knn_dot": _top("DOT"),
     "knn_cosine": _top("COSINE"),
     "knn_l1": _top("L1"),
-    "knn_ties": f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(x::FLOAT * 2::FLOAT)::FLOAT) AS v FROM embeddings),
-b AS (SELECT * FROM e WHERE vec_id >= {N_QUERIES}), q AS (SELECT * FROM e WHERE vec_id < {N_QUERIES}),
+    "knn_ties": f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::FLOAT * 2::FLOAT)::FLOAT) AS v FROM embeddings),
+b AS (SELECT * FROM e), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
 d AS (SELECT q.vec_id AS query_id, {_D['L2']} AS distance FROM q, b),
 r AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY distance) AS r FROM d QUALIFY r <= {K}),
 m AS (SELECT query_id, count(*) AS n, max(distance) AS far FROM r GROUP BY 1),
@@ -211,41 +195,22 @@ SELECT query_id, rank::INT AS rank, neighbor_id, round({_D['L1']}, 6) AS distanc
     "prefiltered_knn": f"WITH {_BQ}, {_ranked('L2', K, 'WHERE q.label = b.label')} SELECT query_id, neighbor_id, rank::INT AS rank, round(distance, 6) AS distance FROM g",
     "postfiltered_knn": f"""WITH {_BQ}, {_ranked('L2', 50)}
 SELECT query_id, neighbor_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INT AS rank FROM g JOIN b ON b.vec_id = neighbor_id AND b.label = g.label""",
-    "partition_profiles": f"SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id AS id FROM embeddings WHERE vec_id >= {N_QUERIES} QUALIFY count(*) OVER (PARTITION BY label) >= {K}",
+    "partition_profiles": f"SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id AS id FROM embeddings QUALIFY count(*) OVER (PARTITION BY label) >= {K}",
     "partitioned_knn": f"WITH {_BQ}, {_ranked('L2', K, 'WHERE q.label = b.label')} SELECT label, query_id, neighbor_id, rank::INT AS rank, round(distance, 6) AS distance FROM g",
-    "sized_profile_knn": f"""WITH {_BQ}, s AS (SELECT unnest({SIZES}) AS size),
-d AS (SELECT size, q.vec_id AS query_id, b.vec_id AS neighbor_id, {_D['L2']} AS distance FROM q, b, s WHERE b.vec_id - {N_QUERIES} < size)
+    "sized_profile_knn": f"""WITH {_BQ}, s AS (SELECT DISTINCT least(unnest({SIZES} || [(SELECT count(*) FROM embeddings)::INT]), (SELECT count(*) FROM embeddings))::INT AS size),
+d AS (SELECT size, q.vec_id AS query_id, b.vec_id AS neighbor_id, {_D['L2']} AS distance FROM q, b, s WHERE b.vec_id < size)
 SELECT size, query_id, neighbor_id, (row_number() OVER (PARTITION BY size, query_id ORDER BY distance, neighbor_id) - 1)::INT AS rank, round(distance, 6) AS distance FROM d QUALIFY rank < {K}""",
-    "knn_compare": f"SELECT vec_id AS query_id, CASE vec_id WHEN 1 THEN 'set' WHEN 2 THEN 'boundary' WHEN 3 THEN 'boundary' ELSE 'exact' END AS verdict, (CASE vec_id WHEN 2 THEN 2 WHEN 3 THEN 4 ELSE 0 END)::INT AS differing FROM embeddings WHERE vec_id < {N_QUERIES}",
-    "verify_knn": f"SELECT vec_id AS query_id, (CASE vec_id WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE {K} END)::BIGINT AS found, {K}::BIGINT AS wanted, CASE vec_id WHEN 2 THEN 0.7 WHEN 3 THEN 0.2 ELSE 1.0 END::DOUBLE AS recall FROM embeddings WHERE vec_id < {N_QUERIES}",
-    "verify_prefiltered": f"SELECT 'exact' AS verdict, count(*) AS queries FROM embeddings WHERE vec_id < {N_QUERIES}",
+    "knn_compare": f"SELECT vec_id AS query_id, CASE vec_id WHEN 20 THEN 'set' WHEN 40 THEN 'boundary' WHEN 60 THEN 'boundary' ELSE 'exact' END AS verdict, (CASE vec_id WHEN 40 THEN 2 WHEN 60 THEN 4 ELSE 0 END)::INT AS differing FROM embeddings WHERE vec_id % 20 = 0",
+    "verify_knn": f"SELECT vec_id AS query_id, (CASE vec_id WHEN 40 THEN 7 WHEN 60 THEN 2 ELSE {K} END)::BIGINT AS found, {K}::BIGINT AS wanted, CASE vec_id WHEN 40 THEN 0.7 WHEN 60 THEN 0.2 ELSE 1.0 END::DOUBLE AS recall FROM embeddings WHERE vec_id % 20 = 0",
+    "verify_prefiltered": f"SELECT 'exact' AS verdict, count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0",
     "verify_postfiltered": f"WITH {_BQ}, {_ranked('L2', 50)} SELECT 'exact' AS verdict, count(DISTINCT query_id) AS queries FROM g JOIN b ON b.vec_id = neighbor_id AND b.label = g.label",
-    "engine_parity": f"SELECT unnest(['L2', 'DOT', 'L1', 'COSINE']) AS metric, 'exact' AS verdict, {N_QUERIES}::BIGINT AS queries",
-    "explain_knn": f"WITH {_BQ}, {_ranked('L2', K)} SELECT rank::INT AS rank, neighbor_id, round(distance, 6) AS distance, neighbor_id AS recomputed_id, round(distance, 6) AS recomputed_distance, true AS same FROM g WHERE query_id = 7",
+    "engine_parity": f"SELECT unnest(['L2', 'DOT', 'L1', 'COSINE']) AS metric, 'exact' AS verdict, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS queries",
+    "explain_knn": f"WITH {_BQ}, {_ranked('L2', K)} SELECT rank::INT AS rank, neighbor_id, round(distance, 6) AS distance, neighbor_id AS recomputed_id, round(distance, 6) AS recomputed_distance, true AS same FROM g WHERE query_id = 140",
     "explain_filtered_knn": f"""WITH {_BQ}, {_ranked('L2', 50)}, {_F},
 j AS (SELECT coalesce(g.query_id, f.query_id) AS query_id, g.rank AS gr, f.rank AS fr FROM g FULL JOIN f ON g.query_id = f.query_id AND g.neighbor_id = f.neighbor_id)
 SELECT query_id, round((SELECT count(*) FROM b JOIN q ON b.label = q.label WHERE q.vec_id = query_id) / (SELECT count(*) FROM b), 6) AS selectivity,
 count(*) FILTER (gr IS NOT NULL AND fr IS NOT NULL) AS shared, round(count(*) FILTER (gr IS NOT NULL AND fr IS NOT NULL) / 50, 6) AS recall,
 round(avg(abs(fr - gr)), 6) AS mean_rank_shift, count(*) FILTER (gr IS NULL) AS fresh FROM j GROUP BY query_id""",
     "explain_partition": f"""WITH {_BQ}, {_ranked('L2', K, 'WHERE q.label = b.label')}, p AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id FROM b)
-SELECT rank::INT AS rank, neighbor_id, p.label, ordinal FROM g JOIN p ON p.vec_id = neighbor_id WHERE query_id = 5""",
+SELECT rank::INT AS rank, neighbor_id, p.label, ordinal FROM g JOIN p ON p.vec_id = neighbor_id WHERE query_id = 100""",
 }
-
-
-def _of_whole(name: str, sql: str) -> str:
-    """The SQL of the same query where every 20th row is a query and all rows are the base."""
-    size = "(SELECT count(*) FROM embeddings)"
-    sql = sql.replace(f"WHERE vec_id >= {N_QUERIES}", "").replace(f"WHERE vec_id < {N_QUERIES}", "WHERE vec_id % 20 = 0")
-    if name == "knn_ties":
-        return sql.replace("embedding[1:4]", "embedding")
-    if name == "sized_profile_knn":
-        ladder = f"SELECT DISTINCT least(unnest({SIZES} || [{size}::INT]), {size})::INT AS size"
-        return sql.replace(f"SELECT unnest({SIZES}) AS size", ladder).replace(f"b.vec_id - {N_QUERIES} < size", "b.vec_id < size")
-    if name in ("knn_compare", "verify_knn"):
-        return re.sub(r"WHEN ([123]) THEN", lambda m: f"WHEN {20 * int(m[1])} THEN", sql)
-    if name == "engine_parity":
-        return sql.replace(f"{N_QUERIES}::BIGINT", "(SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0)")
-    return sql.replace("query_id = 7", "query_id = 140").replace("query_id = 5", "query_id = 100")
-
-
-ORACLES |= {f"{k}_whole": _of_whole(k, s) for k, s in ORACLES.items()}

@@ -36,7 +36,7 @@ def _index(spark: SparkSession) -> DataFrame:
 
 
 def _extract_index(spark: SparkSession, sf: str) -> DataFrame:
-    return exploded(extract.extract_by_index(emb(spark, sf), _index(spark), (10, 40)).withColumn("embedding", F.slice("embedding", 1, 3)), "pos", "vec_id")
+    return exploded(extract.extract_by_index(emb(spark, sf), _index(spark), (10, 40)), "pos", "vec_id")
 
 
 def _extract_predicate(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,16 +67,6 @@ def _normalized(vectors: DataFrame) -> DataFrame:
     return exploded(hygiene.normalize_vectors(tripled), "vec_id").withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
-def _overlap_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of which a fifth are in the base of ids 100 and up."""
-    e = emb(spark, sf)
-    return e.where("vec_id BETWEEN 80 AND 104").select("vec_id", "embedding")
-
-
-def _remove_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return hygiene.remove_overlap(_overlap_queries(spark, sf), emb(spark, sf).where("vec_id >= 100")).select("vec_id")
-
-
 def _shared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Every 20th vector, and all others with a copy of every 100th under another id: a fifth of the queries are in the base, whatever the size."""
     e = emb(spark, sf).select("vec_id", "embedding")
@@ -99,8 +89,7 @@ def _ks_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "convert_elements": lambda s, sf: _converted(emb(s, sf).where("vec_id < 50")),
-    "convert_elements_whole": lambda s, sf: _converted(emb(s, sf)),
+    "convert_elements": lambda s, sf: _converted(emb(s, sf)),
     "select_ordinals": lambda s, sf: extract.select_ordinals(emb(s, sf), "3,7,10..19,[20,25),(30,33]").select("vec_id", "label"),
     "slice_vectors": lambda s, sf: exploded(extract.slice_vectors(emb(s, sf), 10, 30, 4, 5), "vec_id"),
     "extract_by_index": _extract_index,
@@ -118,13 +107,10 @@ QUERIES = {
     "measure_normals": lambda s, sf: rounded(hygiene.measure_normals(emb(s, sf)), digits=9),
     "check_normalization": lambda s, sf: hygiene.check_normalization(dirty(s, sf)),
     "fvecs_check": lambda s, sf: hygiene.fvecs_check(dirty(s, sf)),
-    "normalize_vectors": lambda s, sf: _normalized(emb(s, sf).where("vec_id < 50")),
-    "normalize_vectors_whole": lambda s, sf: _normalized(emb(s, sf)),
+    "normalize_vectors": lambda s, sf: _normalized(emb(s, sf)),
     "remove_zeros": lambda s, sf: hygiene.remove_zeros(dirty(s, sf)).select("vec_id"),
-    "overlap": lambda s, sf: rounded(hygiene.overlap(_overlap_queries(s, sf), emb(s, sf).where("vec_id >= 100"))),
-    "remove_overlap": _remove_overlap,
-    "overlap_whole": lambda s, sf: rounded(hygiene.overlap(*_shared(s, sf))),
-    "remove_overlap_whole": lambda s, sf: hygiene.remove_overlap(*_shared(s, sf)).select("vec_id"),
+    "overlap": lambda s, sf: rounded(hygiene.overlap(*_shared(s, sf))),
+    "remove_overlap": lambda s, sf: hygiene.remove_overlap(*_shared(s, sf)).select("vec_id"),
     "shuffle_split": lambda s, sf: hygiene.shuffle_split(emb(s, sf), 50, seed=42),
     "stats_global": lambda s, sf: rounded(stats.stats_global(emb(s, sf))),
     "stats_per_dimension": lambda s, sf: rounded(stats.stats_per_dimension(emb(s, sf))),
@@ -150,12 +136,14 @@ _MOMENTS = """count(*) AS count, round(min(x), 6) AS min, round(max(x), 6) AS ma
 round((avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * avg(x) ** 3) / var_pop(x) ** 1.5, 6) AS skewness, round(kurtosis_pop(x) + 3, 6) AS kurtosis"""
 _FIT = "SELECT dim, 'normal' AS kind, avg(x) AS mean, stddev_pop(x) AS std_dev, min(x) AS lower, max(x) AS upper FROM c"
 _ERF = "(CASE WHEN z < 0 THEN -1 ELSE 1 END) * (1 - (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * exp(-z * z))"
+_SHARED = """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+b AS (SELECT embedding FROM embeddings WHERE vec_id % 20 <> 0 UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 100 = 0)"""
 
 ORACLES = {
-    "convert_elements": "SELECT vec_id, (i - 1)::INT AS dim, trunc(greatest(least(embedding[i]::DOUBLE * 127.0, 127), -128))::TINYINT AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE vec_id < 50)",
+    "convert_elements": "SELECT vec_id, (i - 1)::INT AS dim, trunc(greatest(least(embedding[i]::DOUBLE * 127.0, 127), -128))::TINYINT AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)",
     "select_ordinals": "SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 7, 31, 32, 33) OR vec_id BETWEEN 10 AND 24",
     "slice_vectors": "SELECT vec_id, (i - 1)::INT AS dim, embedding[i + 4] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 6)) AS i FROM embeddings WHERE vec_id BETWEEN 10 AND 30)",
-    "extract_by_index": "WITH p AS (SELECT p - 10 AS pos, p * 37 % 101 AS ordinal FROM range(10, 40) AS r(p)) SELECT pos, vec_id, (i - 1)::INT AS dim, embedding[i] AS x FROM (SELECT pos, vec_id, embedding, unnest(range(1, 4)) AS i FROM p JOIN embeddings ON vec_id = ordinal)",
+    "extract_by_index": "WITH p AS (SELECT p - 10 AS pos, p * 37 % 101 AS ordinal FROM range(10, 40) AS r(p)) SELECT pos, vec_id, (i - 1)::INT AS dim, embedding[i] AS x FROM (SELECT pos, vec_id, embedding, unnest(range(1, 65)) AS i FROM p JOIN embeddings ON vec_id = ordinal)",
     "extract_by_range": "SELECT vec_id, vec_id - 480 AS pos FROM embeddings WHERE vec_id >= 480 AND vec_id < 10000",
     "extract_by_predicate": "SELECT vec_id, label FROM embeddings WHERE label = 3",
     "clean_ordinals": f"""WITH {_DIRTY}, k AS (SELECT vec_id, v, row_number() OVER (PARTITION BY v ORDER BY vec_id) AS copy FROM d)
@@ -174,11 +162,11 @@ SELECT sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (z), 0)::BIGINT AS zeros,
 SELECT count(*) AS count, round(avg(e), 9) AS mean, round(min(e), 9) AS min, round(max(e), 9) AS max, round(stddev_pop(e), 9) AS stddev, round(median(e), 9) AS median, max(dim)::INT AS dim, avg(e) < 10 * pow(2, -23) * sqrt(max(dim)) AS is_normalized FROM e""",
     "check_normalization": f"WITH {_DIRTY} SELECT count(*) AS total, count(*) FILTER ({_NORM.format('v')} = 0) AS zeros, bool_and(abs({_NORM.format('v')} - 1) < 1e-3) AS normalized FROM d",
     "fvecs_check": f"WITH {_DIRTY}, e AS (SELECT abs({_NORM.format('v')} - 1) AS e FROM d) SELECT CASE WHEN e < 1e-12 THEN -99 ELSE floor(log10(e)) END::INT AS magnitude, count(*) AS n, count(*) FILTER (e < 1e-5) AS within FROM e GROUP BY 1",
-    "normalize_vectors": f"""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT) AS v FROM embeddings WHERE vec_id < 50), n AS (SELECT *, {_NORM.format('v')} AS n FROM t)
+    "normalize_vectors": f"""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT) AS v FROM embeddings), n AS (SELECT *, {_NORM.format('v')} AS n FROM t)
 SELECT vec_id, (i - 1)::INT AS dim, round((v[i]::DOUBLE / n)::FLOAT::DOUBLE, 5) + 0.0 AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM n)""",
     "remove_zeros": f"WITH {_DIRTY} SELECT vec_id FROM d WHERE {_NORM.format('v')} >= 1e-6",
-    "overlap": "SELECT 25::BIGINT AS queries, count(*) AS shared, round(count(*) / 25, 6) AS fraction FROM embeddings WHERE vec_id BETWEEN 80 AND 104 AND embedding IN (SELECT embedding FROM embeddings WHERE vec_id >= 100)",
-    "remove_overlap": "SELECT vec_id FROM embeddings WHERE vec_id BETWEEN 80 AND 99",
+    "overlap": f"{_SHARED} SELECT count(*) AS queries, count(*) FILTER (s) AS shared, round(count(*) FILTER (s) / count(*), 6) AS fraction FROM (SELECT embedding IN (SELECT embedding FROM b) AS s FROM q)",
+    "remove_overlap": f"{_SHARED} SELECT vec_id FROM q WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.embedding = q.embedding)",
     "stats_global": f"WITH {_C} SELECT {_MOMENTS} FROM c",
     "stats_per_dimension": f"WITH {_C} SELECT dim::INT AS dim, {_MOMENTS} FROM c GROUP BY dim",
     "stats_dimension_detail": f"""WITH {_C}, x AS (SELECT x FROM c WHERE dim = 5), q AS (SELECT {', '.join(f'quantile_cont(x, {p / 100}) AS p{p}' for p in stats.PERCENTS)} FROM x)
@@ -208,12 +196,3 @@ FROM embeddings l, h, embeddings r WHERE l.vec_id % 10 = 0 AND r.vec_id = l.vec_
 SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std_dev, round((max(d) - min(d)) / min(d), 6) AS contrast, round(stddev_pop(d) / avg(d), 6) AS cv FROM p""",
     "covariance": f"WITH {_C} SELECT a.dim::INT AS i, b.dim::INT AS j, round(covar_pop(a.x, b.x), 9) AS cov FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL",
 }
-
-# The same over the whole table.
-ORACLES |= {f"{k}_whole": ORACLES[k].replace(" WHERE vec_id < 50", "") for k in ("convert_elements", "normalize_vectors")}
-_SHARED = """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
-b AS (SELECT embedding FROM embeddings WHERE vec_id % 20 <> 0 UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 100 = 0)"""
-ORACLES |= {
-    "overlap_whole": f"{_SHARED} SELECT count(*) AS queries, count(*) FILTER (s) AS shared, round(count(*) FILTER (s) / count(*), 6) AS fraction FROM (SELECT embedding IN (SELECT embedding FROM b) AS s FROM q)",
-    "remove_overlap_whole": f"{_SHARED} SELECT vec_id FROM q WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.embedding = q.embedding)",
-}

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -130,3 +131,37 @@ def test_shift_histogram(spark):
     g = spark.createDataFrame([(0, r, r) for r in range(10)], "query_id long, rank int, neighbor_id long")
     f = g.where("neighbor_id >= 4").withColumn("rank", F.col("rank") - 4)
     assert {r.bin: r.n for r in verify.shift_histogram(g, f).collect()} == {4: 6}
+
+
+@pytest.mark.parametrize(("metric", "dtype"), [("L2", np.float32), ("DOT", np.float32), ("COSINE", np.float64), ("L1", np.float32)])
+def test_tiles_give_the_exact_neighbours(metric, dtype, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 37)
+    monkeypatch.setattr(knn, "CELLS", 370)
+    monkeypatch.setattr(knn, "RESCORED", 100)
+    r = np.random.default_rng(5)
+    b, q = r.normal(size=(400, 9)).astype(dtype), r.normal(size=(50, 9)).astype(dtype)
+    b[100:140] = b[60:100]  # ties
+    best = knn.Nearest(q, 7, metric)
+    for x in range(0, 400, 90):
+        best.add(np.arange(x, min(400, x + 90)), b[x : x + 90])
+    i, j = np.divmod(np.arange(50 * 400), 400)
+    full = knn._exact(metric, q[i].astype(float), b[j].astype(float)).reshape(50, 400)
+    want = np.lexsort((np.broadcast_to(np.arange(400), full.shape), full), axis=1)[:, :7]
+    assert (best.id == want).all() and (best.kernel == np.take_along_axis(full, want, 1)).all()
+
+
+def test_memory_of_a_worker_is_bounded_by_tiles():
+    r = np.random.default_rng(6)
+    q, b = r.normal(size=(3000, 384)).astype(np.float32), r.normal(size=(6000, 384)).astype(np.float32)
+    tracemalloc.start()
+    best = knn.Nearest(q, 100, "L2")
+    best.add(np.arange(len(b)), b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and np.isfinite(best.kernel).all()
+
+
+def test_floats_out_of_range_are_taken_as_doubles(spark):
+    base = frame(spark, [[1e30, 0], [1e30, 1e25], [3, 4]])
+    got = knn.knn(base, frame(spark, [[1e30, 0]]), 3)
+    assert triples(got) == triples(knn.knn(base, frame(spark, [[1e30, 0]]), 3, plan="sql"))
