@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vec
 from orrery.operators.extract import running_sums
-from orrery.session import cut
+from orrery.session import cut, map_arrow
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
@@ -36,11 +38,10 @@ def stats_per_dimension(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     return components(df, vec_col).groupBy("dim").agg(*moments())
 
 
-def percentiles(x: DataFrame, ps: list[float]) -> DataFrame:
-    """One row, p0 and on: exact percentiles (0 to 100) of a column ``x`` by linear interpolation.
+def _ranked(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, k, upto) of the distinct values of a column ``x``: how often each comes, and how many values there are up to it; and their number, (total).
 
-    Values are counted, put in order by ranges, and looked up by place: only the two values around
-    each percentile leave the tasks. The built-in function would gather every distinct value in one.
+    Values are counted and put in order by ranges: no task holds more than a range of them.
     """
     counts = x.where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("k"))
     ranked = cut(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranked")
@@ -49,7 +50,16 @@ def percentiles(x: DataFrame, ps: list[float]) -> DataFrame:
     offsets = sizes.select("part", before.alias("before"))  # a row per task
     run = F.sum("k").over(Window.partitionBy("part").orderBy("x"))
     at = ranked.join(F.broadcast(offsets), "part").select("x", "k", (F.col("before") + run).alias("upto"))
-    n = sizes.agg(F.sum("n").alias("total"))
+    return at, sizes.agg(F.sum("n").alias("total"))
+
+
+def percentiles(x: DataFrame, ps: list[float]) -> DataFrame:
+    """One row, p0 and on: exact percentiles (0 to 100) of a column ``x`` by linear interpolation.
+
+    Only the two values around each percentile leave the tasks. The built-in function would gather every
+    distinct value in one.
+    """
+    at, n = _ranked(x)
     at = at.crossJoin(F.broadcast(n))
 
     def place(p: float, up: bool) -> Column:
@@ -62,6 +72,13 @@ def percentiles(x: DataFrame, ps: list[float]) -> DataFrame:
     return ends.select(*[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * s).alias(f"p{i}") for i, s in enumerate(share)])
 
 
+def quantiles(x: DataFrame, ps: list[float]) -> DataFrame:
+    """One row, q0 and on: of a column ``x`` of any type in an order, the first value that at least the share p (0 to 1) of all does not exceed."""
+    at, n = _ranked(x)
+    need = [F.greatest(F.ceil(F.lit(p) * F.col("total")), F.lit(1)) for p in ps]
+    return at.crossJoin(F.broadcast(n)).agg(*[F.min(F.when(F.col("upto") >= w, F.col("x"))).alias(f"q{i}") for i, w in enumerate(need)])
+
+
 def stats_dimension_detail(df: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
     """Percentiles by linear interpolation, quartile range, fences at 1.5 ranges, and the number of values beyond them."""
     x = df.select(F.get(vec.doubles(vec_col), F.lit(dim)).alias("x"))
@@ -182,12 +199,37 @@ def model_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.dim", "b.dim").alias("dim"), F.col("a.kind").eqNullSafe(F.col("b.kind")).alias("same_kind"), drift("mean").alias("mean_drift"), drift("std_dev").alias("std_drift"))
 
 
-def ks_model(df: DataFrame, model: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """(dim, d): per dimension the distance of the data's distribution from a fitted normal or uniform one."""
+def beta_cdfs(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """beta_cdf() of arrays, equal parameters and values once."""
+    keys, back = np.unique(np.stack([a, b, x], axis=1), axis=0, return_inverse=True)
+    return np.array([beta_cdf(*k) for k in keys.tolist()])[back.reshape(-1)] if len(keys) else np.zeros(0)
+
+
+def ks_model(df: DataFrame, model: DataFrame, vec_col: str = "embedding", low: float | None = None, high: float | None = None) -> DataFrame:
+    """(dim, d): per dimension the distance of the data's distribution from a fitted normal, uniform or beta one.
+
+    Beta models need the bounds ``low`` and ``high`` that they were fitted with.
+    """
     # A model has a row per dimension: a few thousand at most.
-    x = components(df, vec_col).join(F.broadcast(model.select("dim", "kind", "mean", "std_dev", "lower", "upper")), "dim")
-    cdf = F.when(F.col("kind") == "uniform", uniform_cdf(F.col("x"), F.col("lower"), F.col("upper"))).otherwise(normal_cdf(F.col("x"), F.col("mean"), F.col("std_dev")))
-    at = x.groupBy("dim", "x", cdf.alias("f")).agg(F.count(F.lit(1)).alias("k"))
+    fitted = F.broadcast(model.select("dim", "kind", "mean", "std_dev", "lower", "upper", "alpha", "beta"))
+    at = components(df, vec_col).groupBy("dim", "x").agg(F.count(F.lit(1)).alias("k")).join(fitted, "dim")
+    beta = F.lit(None).cast("double")
+    if not model.where("kind = 'beta'").isEmpty():
+        if low is None or high is None:
+            raise ValueError("a beta model needs the bounds that it was fitted with")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                col = {n: t.column(n).to_numpy(zero_copy_only=False) for n in ("x", "alpha", "beta")}
+                own = np.array([k == "beta" for k in t.column("kind").to_pylist()], bool)
+                f = np.full(t.num_rows, np.nan)
+                f[own] = beta_cdfs(col["alpha"][own].astype(float), col["beta"][own].astype(float), (col["x"][own] - low) / (high - low))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(f)], names=[*t.schema.names, "f"])
+
+        at = map_arrow(at, run, ", ".join(f"{n} {t}" for n, t in [*at.dtypes, ("f", "double")]))
+        beta = F.col("f")
+    cdf = F.when(F.col("kind") == "uniform", uniform_cdf(F.col("x"), F.col("lower"), F.col("upper"))).when(F.col("kind") == "beta", beta).otherwise(normal_cdf(F.col("x"), F.col("mean"), F.col("std_dev")))
+    at = at.select("dim", "x", "k", cdf.alias("f"))
     n = at.groupBy("dim").agg(F.sum("k").alias("n"))
     at = running_sums(at, ["dim"], ["x"], c=F.col("k")).join(F.broadcast(n), "dim")
     up, down = F.abs(F.col("c") / F.col("n") - F.col("f")), F.abs((F.col("c") - F.col("k")) / F.col("n") - F.col("f"))
@@ -213,20 +255,35 @@ def contrast(pairs: DataFrame) -> DataFrame:
 
 
 def covariance(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """(i, j, cov): population covariance of component pairs, i no larger than j; sums leave each task as one row a pair."""
-    v = df.select(vec.doubles(vec_col).alias("v"))
-    pairs = F.flatten(F.transform("v", lambda x, i: F.transform("v", lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y")))))
-    rows = v.select(F.explode(F.filter(pairs, lambda p: p["i"] <= p["j"])).alias("p")).select("p.*")
-    return rows.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("cov"))
+    """(i, j, cov): population covariance of component pairs, i no larger than j.
+
+    Each task multiplies its centred vectors to one matrix, a row of which is a row of its output.
+    """
+    means = {r["dim"]: r["m"] for r in components(df, vec_col).groupBy("dim").agg(F.avg("x").alias("m")).collect()}  # a row per dimension
+    centre = np.array([means[i] for i in range(len(means))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, gram = 0, np.zeros((len(centre), len(centre)))
+        for b in batches:
+            col = b.column(0).drop_null()
+            if len(col):
+                m = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) - centre
+                n, gram = n + len(m), gram + m.T @ m
+        for i in range(len(centre) if n else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([gram[i, i:]], pa.list_(pa.float64()))], names=["i", "n", "sums"])
+
+    rows = map_arrow(df.select(vec.doubles(vec_col).alias("v")), run, "i int, n bigint, sums array<double>")
+    cells = rows.select("i", "n", F.posexplode("sums").alias("j", "x"))
+    return cells.groupBy("i", (F.col("i") + F.col("j")).alias("j")).agg((F.sum("x") / F.sum("n")).alias("cov"))
 
 
 def pca_eigen(df: DataFrame, vec_col: str = "embedding") -> tuple[list[float], list[list[float]]]:
     """Eigenvalues in falling order and their vectors; the driver holds a dim-by-dim matrix alone."""
-    rows = covariance(df, vec_col).collect()
-    n = 1 + max((r["j"] for r in rows), default=-1)
+    rows = covariance(df, vec_col).toArrow()
+    i, j, cov = (rows[c].to_numpy() for c in ("i", "j", "cov"))
+    n = 1 + int(j.max(initial=-1))
     c = np.zeros((n, n))
-    for r in rows:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["cov"]
+    c[i, j] = c[j, i] = cov
     values, vectors = np.linalg.eigh(c)
     return np.maximum(values[::-1], 0).tolist(), vectors.T[::-1].tolist()
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from orrery.functions import vec
 from orrery.functions.predicate import Node, Pred
+from orrery.operators.stats import quantiles
 
 
 def uniform(*keys: Column) -> Column:
@@ -100,8 +101,7 @@ def simple_predicates(spark: SparkSession, n: int, low: int, high: int, seed: in
 
 def numeric_predicates(df: DataFrame, field: str, selectivity: float) -> list[Pred]:
     """Predicates on both ends that about this share of records meets, from exact quantiles: <= and >= for whole numbers, < and > otherwise."""
-    ends = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {field})").cast(df.schema[field].dataType) for p in (selectivity, 1 - selectivity)]
-    low, high = df.agg(*ends).first()
+    low, high = quantiles(df.select(F.col(field).alias("x")), [selectivity, 1 - selectivity]).first()
     whole = isinstance(df.schema[field].dataType, T.IntegralType)
     return [Pred(field, "le" if whole else "lt", (low,)), Pred(field, "ge" if whole else "gt", (high,))]
 

@@ -136,6 +136,41 @@ def test_beta_cdf():
     assert stats.beta_cdf(1, 1, 0.3) == pytest.approx(0.3) and stats.beta_cdf(2, 2, 0.5) == pytest.approx(0.5) and stats.beta_cdf(2, 5, 0.2) == pytest.approx(0.34464, abs=1e-5)
 
 
+def test_a_beta_model_is_tested_with_its_own_distribution(spark):
+    # Half-arcsine data: the distribution of Beta(1/2, 1/2) is 2/pi asin(sqrt x).
+    n = 400
+    xs = [math.sin(math.pi / 2 * (i + 0.5) / n) ** 2 for i in range(n)]
+    df = spark.createDataFrame([([x, 2 * x - 1],) for x in xs], "embedding array<double>")
+    one = df.select(F.slice("embedding", 1, 1).alias("embedding"))
+    model = stats.fit_model(one, low=0.0, high=1.0)
+    a, b = (getattr(model.first(), k) for k in ("alpha", "beta"))
+    want = max(max(abs((i + 1) / n - stats.beta_cdf(a, b, x)), abs(i / n - stats.beta_cdf(a, b, x))) for i, x in enumerate(xs))
+    got = stats.ks_model(one, model, low=0.0, high=1.0).first().d
+    assert got == pytest.approx(want, abs=1e-9) and got < 0.02
+    with pytest.raises(ValueError, match="bounds"):
+        stats.ks_model(one, model)
+    both = stats.fit_model(df, low=-1.0, high=1.0)
+    assert stats.ks_model(df, both, low=-1.0, high=1.0).count() == 2
+
+
+def test_quantiles_are_values_of_the_table(spark):
+    for rows, ps, want in (([1, 2, 2, 3, 10], [0, 0.2, 0.21, 0.6, 1], [1, 1, 2, 2, 10]), ([5], [0.5], [5]), (["b", "a", "c"], [0.34], ["b"])):
+        df = spark.createDataFrame([(x,) for x in rows], ["x"])
+        assert list(stats.quantiles(df, ps).first()) == want
+    assert stats.quantiles(spark.createDataFrame([], "x long"), [0.5]).first()[0] is None
+
+
+def test_covariance_of_data_far_from_zero(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    m = 1e6 + r.normal(size=(200, 3))
+    df = spark.createDataFrame([([float(x) for x in v],) for v in m], "embedding array<double>").repartition(5)
+    want = np.cov(m.T, bias=True)
+    for row in stats.covariance(df).collect():
+        assert row.cov == pytest.approx(want[row.i, row.j], abs=1e-6)
+
+
 def test_pca_against_numpy(spark):
     x = np.random.default_rng(5).normal(size=(200, 4)) * [5, 3, 1, 0.1]
     df = vectors(spark, x, "double")
