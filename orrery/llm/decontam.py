@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.prune import may_match
 from orrery.session import cut
 
 WINDOW = 10
@@ -32,8 +33,6 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of other characters than these; a capital is one before it is lower-cased.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits of the filter that keeps postings of rows without an alignment from being moved: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
 
 
 def lowered(word: Column) -> Column:
@@ -134,20 +133,6 @@ def near(index: DataFrame, pairs: DataFrame, slop: int = SLOP) -> DataFrame:
     return both.select("row", "t0", "t1", "p", (F.col("q") - F.col("p")).alias("d"))
 
 
-def _may_hold(posts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``posts`` without most rows that are not among ``rows``: a bit filter of FILTER_BITS, joined by broadcast.
-
-    It has a row per 64 bits, 131,072 at most, so what is broadcast is bounded whatever the input.
-    """
-
-    def bit() -> Column:
-        return F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
-
-    bits = rows.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = posts.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part")
-    return out.where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select(*posts.columns)
-
-
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
     """Exact matches (row, start, size, wid, item ids by ``wid``) and proximity matches, both stored.
 
@@ -167,7 +152,7 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int
     wanted = aligned.join(_bounded(pairs.select("wid", "rest")), "wid").select("wid", "row", "start", "size", F.explode("rest").alias("c"))
     wanted = wanted.select("wid", "row", "start", "size", (F.col("start") + F.col("c.k")).alias("pos"), F.col("c.term").alias("term"))
     held = postings(index, pairs.select(F.explode("rest.term").alias("term")).distinct())
-    met = wanted.join(_may_hold(held, aligned), ["row", "pos", "term"]).groupBy("wid", "row", "start", "size").agg(F.count(F.lit(1)).alias("n"))
+    met = wanted.join(may_match(held, aligned, "row"), ["row", "pos", "term"]).groupBy("wid", "row", "start", "size").agg(F.count(F.lit(1)).alias("n"))
     whole = met.where("n = size - 2").drop("n").unionByName(aligned.where("size = 2")).unionByName(alone)
     owned = _bounded(lists.where("t1 IS NOT NULL").join(owners, "wid").select("t0", "t1", "item_id").distinct())
     close = found.select("row", "t0", "t1").distinct().join(owned, ["t0", "t1"]).select("row", "item_id")

@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.prune import may_match
 from orrery.session import cut
 
 #: White space as the contract names it, except a lone space: what has to be replaced.
@@ -28,8 +29,6 @@ RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 MASKS, WANTED = (0x01, 0x1B, 0x35, 0x2F, 0x51, 0x6D, 0x47, 0x7B), (1, 0, 1, 1, 0, 1, 0, 0)
 #: Bytes of a chunk before its window, at least, and in all, at most.
 LEAST, MOST = 248, 4096
-#: Bits of the filter that keeps chunks of unique hashes from being moved: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
 
 
 def _pattern() -> str:
@@ -49,17 +48,6 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(F.decode(F.encode(norm, "UTF-8"), "ISO-8859-1"), F.lit(_pattern()), F.lit(0))
 
 
-def _repeated(pieces: DataFrame, hashes: DataFrame) -> DataFrame:
-    """``pieces`` without most whose hash is not among ``hashes``: a bit filter of 131,072 rows at most, joined by broadcast."""
-
-    def bit() -> Column:
-        return F.pmod(F.xxhash64("h", F.lit(1)), F.lit(FILTER_BITS))
-
-    bits = hashes.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = pieces.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part")
-    return out.where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select(*pieces.columns)
-
-
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(row_id, doc_id, recipe, text_sha256) per row, as a table in the shared folder.
 
@@ -76,7 +64,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     hashes = table.select(F.explode("recipe").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     hashes = cut(hashes, "repeated-hashes")
     pieces = table.select("row_id", F.posexplode(F.arrays_zip(F.col("recipe").alias("h"), F.col("contents").alias("content"))).alias("at", "c")).select("row_id", "at", "c.h", "c.content")
-    dictionary = _repeated(pieces.select("h", "content"), hashes).distinct()
+    dictionary = may_match(pieces.select("h", "content"), hashes, "h").distinct()
     clashes = cut(dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "clashes")
     if clashes.isEmpty():
         return out

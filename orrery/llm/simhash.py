@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.prune import may_match
 from orrery.session import cut, drop_path, map_arrow, scratch_path
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
@@ -45,8 +46,6 @@ TABLES, TABLE_BITS, TABLE_ERRORS = 26, 32, 2
 SLAB = 1 << 18
 #: Fingerprints under one block value that a task takes; more are dealt out again. Fingerprints walked together.
 MOST, TOGETHER = 1 << 21, 1 << 19
-#: Bits of the filter that picks texts whose shingles are wanted: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -229,27 +228,46 @@ def buckets(rows: DataFrame, bits: int, errors: int, by: tuple[str, ...] = ()) -
         rows = rows.join(F.broadcast(hot), keys, "left_semi").drop("top")
 
 
-def _whole_buckets(batches: Iterable[pa.RecordBatch], names: int) -> Iterator[list[np.ndarray]]:
-    """The columns of rows that come ordered by their first ``names`` columns, which name a bucket: whole buckets, several as long as they are few rows."""
+#: A table's number and a path in one word.
+SLOT = 1 << 40
+
+
+def _dealt(rows: DataFrame, *more: str, by: Column | None = None) -> DataFrame:
+    """Rows (slot, key, more...) of buckets, each bucket whole in one task and in one piece."""
+    slot = F.col("path") if by is None else by * SLOT + F.col("path")
+    rows = rows.select(slot.alias("slot"), "key", *more, "fixed").repartition("slot", F.expr("shiftrightunsigned(key, 64 - fixed)"))
+    return rows.select("slot", "key", *more).sortWithinPartitions("slot", "key")
+
+
+def _tops(slot: np.ndarray, key: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """What the keys of a bucket share."""
+    out = np.empty(len(key), np.uint64)
+    for a, z in _runs(slot):
+        out[a:z] = key[a:z].view(np.uint64) >> np.uint64(64 - _fixed(int(slot[a]) % SLOT, bits, parts))
+    return out
+
+
+def _whole_buckets(batches: Iterable[pa.RecordBatch], bits: int, parts: int) -> Iterator[list[np.ndarray]]:
+    """Columns (slot, key, more...) of whole buckets of one slot, several as long as they are few rows."""
     held: list[list[np.ndarray]] = []
-    n = limit = 0
+    n, limit = 0, TOGETHER
+
+    def pieces(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        yield from ([c[a:z] for c in cols] for a, z in _runs(cols[0]))
+
     for b in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
         n += b.num_rows
-        if n < max(limit, TOGETHER):
+        if n < limit:
             continue
         cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        change = np.zeros(n, bool)
-        for c in cols[:names]:
-            change[1:] |= c[1:] != c[:-1]
-        at = np.flatnonzero(change)
-        last = int(at[-1]) if len(at) else 0
+        last = _runs(cols[0], _tops(cols[0], cols[1], bits, parts))[-1][0]
         if last:
-            yield [c[:last] for c in cols]
+            yield from pieces([c[:last] for c in cols])
         held, n = [[c[last:] for c in cols]], n - last
         limit = n + TOGETHER
     if n:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield from pieces([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def _runs(*cols: np.ndarray) -> list[tuple[int, int]]:
@@ -263,17 +281,16 @@ def _runs(*cols: np.ndarray) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
     """(u, v): links between distinct fingerprints ``fp`` that connect exactly what all links connect."""
-    rows = buckets(distinct.select(F.col("fp").alias("key"), "fp"), 64, errors)
-    rows = rows.select("path", "top", "key", "fp").repartition("path", "top").sortWithinPartitions("path", "top")
+    parts = errors + 1
+    rows = _dealt(buckets(distinct.select(F.col("fp").alias("key"), "fp"), 64, errors), "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, _, key, fp in _whole_buckets(batches, 2):
-            for a, z in _runs(path):
-                order = np.argsort(key[a:z].view(np.uint64))
-                own, back = key[a:z].view(np.uint64)[order], fp[a:z][order]
-                label = trie_forest(own, _fixed(int(path[a]), 64, errors + 1), errors)
-                far = np.flatnonzero(label != np.arange(len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(back[far]), pa.array(back[label[far]])], names=["u", "v"])
+        for slot, key, fp in _whole_buckets(batches, 64, parts):
+            order = np.argsort(key.view(np.uint64))
+            own, back = key.view(np.uint64)[order], fp[order]
+            label = trie_forest(own, _fixed(int(slot[0]), 64, parts), errors)
+            far = np.flatnonzero(label != np.arange(len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(back[far]), pa.array(back[label[far]])], names=["u", "v"])
 
     return map_arrow(rows, run, "u bigint, v bigint")
 
@@ -388,15 +405,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables:
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(fp, parts): the shingles of the sets ``wanted`` (text_hash, fp), made from the texts again and stored.
 
-    A filter of 131,072 rows at most, joined by broadcast, picks the texts, so that only wanted sets are made and moved.
+    Only texts that may be wanted are read by Python, and only wanted sets are moved.
     """
-
-    def bit() -> Column:
-        return F.pmod("text_hash", F.lit(FILTER_BITS))
-
-    bits = wanted.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    rows = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).withColumn("bit", bit()).withColumn("part", F.expr("bit div 64"))
-    rows = rows.join(F.broadcast(bits), "part").where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1")).select("text_hash", "text")
+    rows = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = may_match(rows, wanted, "text_hash")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,21 +423,37 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> Da
     return cut(made.join(wanted, "text_hash").select("fp", "parts"), "sets")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the stored distinct pairs (u, v) of sets that share so much of their union, stored."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    wanted = cut(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).groupBy("text_hash").agg(F.min("fp").alias("fp")), "wanted")
+def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, tables: int, bits: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) of sets that share so much of their union, stored.
+
+    All fingerprints of a pair together tell chance from likeness before any text is read again: pairs whose
+    bits differ as much as those of the similarity do at five standard deviations cannot be over it.
+    """
+    u, v = (sets.select(F.col("fp").alias(x), F.col("text_hash").alias(f"h{x}"), F.col("keys").alias(f"k{x}")) for x in "uv")
+    apart = F.aggregate(F.zip_with("ku", "kv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    pairs = cut(pairs.join(u, "u").join(v, "v").where(apart <= F.lit(_most_bits(similarity, tables, bits)) * F.size("ku")).select("u", "v", "hu", "hv"), "likely-pairs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("fp"), F.col("hu").alias("h")), F.struct(F.col("v").alias("fp"), F.col("hv").alias("h")))).alias("x"))
+    wanted = cut(ends.select("x.fp", F.col("x.h").alias("text_hash")).distinct(), "wanted")
     parts = _sets(docs, wanted, text_col, shingle)
     u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
     both = F.size(F.array_intersect("pu", "pv"))
-    found = pairs.join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
+    found = pairs.select("u", "v").join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
     return cut(found.select("u", "v"), "confirmed")
 
 
+def _most_bits(similarity: float, tables: int, bits: int) -> float:
+    """How many bits of a table sets of that similarity differ in, with room for chance.
+
+    Their cosine is 2 s / (1 + s), or more where one is larger; the angle over pi is a bit's chance.
+    """
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    n = tables * bits
+    return bits * min(1.0, share + 5 * np.sqrt(share * (1 - share) / n) + 0.03)
+
+
 def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
     """(u, v): pairs of the sets ``fp`` of cells (t, key, root, fp) with different roots whose keys are within the budget."""
-    rows = buckets(cells, bits, errors, ("t",))
-    rows = rows.select("t", "path", "top", "key", "root", "fp").repartition("t", "path", "top").sortWithinPartitions("t", "path", "top")
+    rows = _dealt(buckets(cells, bits, errors, ("t",)), "root", "fp", by=F.col("t"))
 
     def pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((root, key.view(np.uint64)))
@@ -456,32 +484,36 @@ def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
             yield from ends(i, j)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, path, _, key, root, fp in _whole_buckets(batches, 3):
-            for a, z in _runs(t, path):
-                yield from pairs(key[a:z], root[a:z], fp[a:z], _fixed(int(path[a]), bits, errors + 1))
+        for slot, key, root, fp in _whole_buckets(batches, bits, errors + 1):
+            yield from pairs(key, root, fp, _fixed(int(slot[0]) % SLOT, bits, errors + 1))
 
     return map_arrow(rows, run, "u bigint, v bigint")
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, bits: int, errors: int) -> DataFrame:
+def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, tables: int, bits: int, errors: int) -> DataFrame:
     """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys).
 
     First each set is compared with the smallest of those that share a key with it, in the three tables where
     most do: that joins a large group of near copies without its pairs. What it joins is then passed over by
     the walk, whose pairs are all confirmed.
     """
-    sets = rows.groupBy("fp").agg(F.first("keys").alias("keys"))
-    cells = cut(sets.select("fp", F.posexplode("keys").alias("t", "key")), "cells")
+    sets = cut(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "keys")).alias("x")).select("fp", "x.text_hash", "x.keys"), "sketched-sets")
+    cells = sets.select("fp", F.posexplode("keys").alias("t", "key"))
     groups = cells.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
     # Read from a table, the groups have no partitioning of their own to which a hot key's sets would have to come.
-    star = cells.join(cut(groups, "shared-keys"), ["t", "key"]).where("fp <> pivot").select("fp", "k", "pivot").distinct()
+    groups = cut(groups, "shared-keys")
+    star = may_match(cells, groups, "t", "key").join(groups, ["t", "key"]).where("fp <> pivot").select("fp", "k", "pivot").distinct()
     star = star.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set(F.struct("k", "pivot")), asc=False), 1, 3).alias("best"))
     star = cut(star.select(F.col("fp").alias("u"), F.explode("best.pivot").alias("v")).distinct(), "star")
-    near = confirmed(star, rows, docs, text_col, shingle, similarity)
-    roots = cut(components(near).withColumnRenamed("u", "fp"), "near-roots")
-    of = cells.join(roots, "fp", "left").groupBy("t", "key", F.coalesce("root", "fp").alias("root")).agg(F.min("fp").alias("fp"))
-    more = _across(cut(of, "rooted-cells"), bits, errors).distinct().join(star, ["u", "v"], "left_anti")
-    return near.unionByName(confirmed(cut(more, "pairs"), rows, docs, text_col, shingle, similarity))
+    near = confirmed(star, sets, docs, text_col, shingle, similarity, tables, bits)
+    roots = components(near).withColumnRenamed("u", "fp")
+    rooted = cut(sets.join(roots, "fp", "left").select("fp", "root", "keys"), "rooted-sets")
+    # A smallest set stands for all of its component under a key, itself; the others go through a minimum of their own.
+    heads = rooted.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.posexplode("keys").alias("t", "key")).select("t", "key", "root", "fp")
+    others = rooted.where("root IS NOT NULL").select("fp", "root", F.posexplode("keys").alias("t", "key")).groupBy("t", "key", "root").agg(F.min("fp").alias("fp"))
+    of = heads.unionByName(others)
+    more = _across(of, bits, errors).distinct().join(star, ["u", "v"], "left_anti")
+    return near.unionByName(confirmed(cut(more, "pairs"), sets, docs, text_col, shingle, similarity, tables, bits))
 
 
 def keep_one(
@@ -501,7 +533,7 @@ def keep_one(
     find as much.
     """
     rows = cut(sketches(docs, id_col, text_col, shingle, tables, bits), "sketches")
-    linked = assigned(rows.select("doc_id", "text_hash", "fp"), lambda _: similar_links(rows, docs, text_col, shingle, similarity, bits, errors))
+    linked = assigned(rows.select("doc_id", "text_hash", "fp"), lambda _: similar_links(rows, docs, text_col, shingle, similarity, tables, bits, errors))
     # Of each component one row: its own texts, whose hash tells rows of one id apart.
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     found = cut(linked.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "near-copies")

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.prune import marked
 from orrery.session import cut, map_arrow, scratch_path, store
 
 CHUNK, SEGMENT = 1 << 20, 16 << 20
@@ -45,8 +46,6 @@ LEVEL, TASKS = 1, 10_000
 VERSION, END = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
-#: Bits of the filter that picks payloads which may be shared: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
 
 
 def base32(hex_digest: Column) -> Column:
@@ -80,14 +79,8 @@ def chunk_rows(pages: DataFrame, decided: DataFrame, id_col: str, text_col: str,
     broadcast, picks those that may be shared; only these are moved, to the decision on their record type.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-
-    def bit() -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.octet_length(data).cast("long").alias("n"), base32(F.sha1(data)).alias("digest"), data.alias("data"))
-    bits = decided.select(bit().alias("bit")).groupBy(F.expr("bit div 64").alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    rows = rows.withColumn("bit", bit()).withColumn("part", F.expr("bit div 64")).join(F.broadcast(bits), "part", "left")
-    shared = F.coalesce(F.expr("getbit(bits, cast(bit % 64 as int)) = 1"), F.lit(False))
+    rows, shared = marked(rows, decided, "digest", name="shared"), F.col("shared")
     named = _record(F.col("id"), F.col("digest"))
     # Copies that nothing refers to are told apart by a number.
     copy = F.concat(F.regexp_replace(named, ">$", ":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
