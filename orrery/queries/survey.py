@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import stats, survey
+from orrery.operators import stats, survey, survey_run
 from orrery.queries.vectors import rounded
 from orrery.session import spread, table
 
@@ -72,7 +72,23 @@ def _top_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return survey.heavy_hitter_sketch(table(spark, sf, "orders"), "o_orderpriority", 5)
 
 
+#: Fields of a whole survey, the measures that SQL repeats, and pairs of fields.
+WHOLE = [*FIELDS, "o_orderdate"]
+ONLY = {"Presence", "TypeStability", "ExactExtrema", "ExactFrequencyTable", "Copresence", "NumericCorrelation", "CategoricalAssociation", "FunctionalDependency"}
+PAIRS = [(a, b) for i, a in enumerate(WHOLE) for b in WHOLE[i + 1 :]]
+
+
+def _plan(spark: SparkSession, sf: str) -> DataFrame:
+    return survey_run.plan(orders(spark, sf), "o_orderkey", WHOLE)
+
+
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(survey_run.run(orders(spark, sf), "o_orderkey", WHOLE, only=ONLY), "value", digits=5)
+
+
 QUERIES = {
+    "survey_plan": _plan,
+    "survey_run": _run,
     "survey_presence": lambda s, sf: survey.presence(orders(s, sf), FIELDS),
     "semantic_probes": _probes,
     "semantic_types": _types,
@@ -148,7 +164,71 @@ def _sk(c: str) -> str:
     return c
 
 
+_LOW, _NUM_FIELDS = ("o_orderstatus", "o_orderpriority"), ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _row(subject: str, other: str | None, measure: str, item: str, value: str, source: str) -> str:
+    named = "NULL::VARCHAR" if other is None else f"'{other}'"
+    return f"SELECT '{subject}' AS subject, {named} AS other, '{measure}' AS measure, {item} AS item, round(({value})::DOUBLE, 5) AS value, NULL::VARCHAR AS text FROM {source}"
+
+
+def _whole_run() -> str:
+    out = [_row(f, None, "Presence", f"'{i}'", v, "o") for f in WHOLE for i, v in (("records", "count(*)"), ("present", f"count({f})"), ("nulls", f"count(*) - count({f})"))]
+    out += [_row(f, None, "TypeStability", f"'{i}'", "1", "(SELECT 1)") for f in WHOLE for i in ("types", "stable")]
+    out += [_row(f, None, "ExactExtrema", f"'{i}'", f"{i}({f})", "o") for f in _NUM_FIELDS for i in ("min", "max")]
+    for f in _LOW:
+        n = f"(SELECT {f} AS v, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM o WHERE {f} IS NOT NULL GROUP BY 1)"
+        out += [_row(f, None, "ExactFrequencyTable", f"v || '.{i}'", i, n) for i in ("n", "p")]
+    for a, b in PAIRS:
+        c = f"(SELECT count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS both_, count(*) FILTER ({a} IS NOT NULL AND {b} IS NULL) AS a_only, count(*) FILTER ({a} IS NULL AND {b} IS NOT NULL) AS b_only, count(*) FILTER ({a} IS NULL AND {b} IS NULL) AS neither FROM o)"
+        items = {"both": "both_", "a_only": "a_only", "b_only": "b_only", "neither": "neither", "jaccard": "both_ / (both_ + a_only + b_only)", "a_given_b": "both_ / (both_ + b_only)", "b_given_a": "both_ / (both_ + a_only)"}
+        out += [_row(a, b, "Copresence", f"'{i}'", v, c) for i, v in items.items()]
+        if a in _NUM_FIELDS and b in _NUM_FIELDS:
+            both = f"(SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM o WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+            out += [_row(a, b, "NumericCorrelation", f"'{i}'", v, both) for i, v in (("n", "count(*)"), ("r", "corr(x, y)"), ("slope", "regr_slope(y, x)"), ("intercept", "regr_intercept(y, x)"))]
+    for a in _LOW:
+        for b in WHOLE:
+            if a != b:
+                g = f"(SELECT sum(k) AS k, max(k) AS best, count(*) AS v FROM (SELECT {a}, {b}, count(*) AS k FROM o WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL) GROUP BY {a})"
+                out += [_row(a, b, "FunctionalDependency", f"'{i}'", v, g) for i, v in (("n", "sum(k)"), ("support", "sum(best) / sum(k)"), ("determinants", "count(*)"), ("deterministic", "count(*) FILTER (v = 1)"))]
+    a, b = _LOW
+    cells = f"""(WITH c AS (SELECT {a} AS a, {b} AS b, count(*) AS k FROM o WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+r AS (SELECT a, sum(k) AS ra FROM c GROUP BY a), s AS (SELECT b, sum(k) AS cb FROM c GROUP BY b), n AS (SELECT sum(k) AS n FROM c)
+SELECT coalesce(k, 0) AS k, ra * cb / n AS e, n, least((SELECT count(*) FROM r), (SELECT count(*) FROM s)) - 1 AS d FROM r CROSS JOIN s CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = s.b)"""
+    items = {"n": "max(n)", "chi2": "sum((k - e) ** 2 / e)", "cramers_v": "sqrt(sum((k - e) ** 2 / e) / (max(n) * max(d)))", "mutual_information": "sum(CASE WHEN k > 0 THEN k / n * log2(k / e) ELSE 0 END)"}
+    out += [_row(a, b, "CategoricalAssociation", f"'{i}'", v, cells) for i, v in items.items()]
+    return f"WITH {_O} " + "\nUNION ALL ".join(out)
+
+
+def _whole_plan() -> str:
+    """Measures by type, which is fixed, and by regime, which is counted."""
+    kinds = {f: ("Number" if f in _NUM_FIELDS else "Temporal" if f == "o_orderdate" else "FreeText") for f in WHOLE}
+    fixed = []
+    for f, k in kinds.items():
+        own = [*survey_run.ALWAYS]
+        if k == "Number":
+            own += [*survey_run.NUMERIC, *(["DiscreteIndicator"] if f == "o_totalprice" else ["BitWidth", "EpochPlausibility"])]
+        own += ["TemporalRange"] if k == "Temporal" else [*survey_run.SHAPE, "TrigramHeavyHitters"] if k == "FreeText" else []
+        fixed += [f"('{f}', '{m}', '{k}')" for m in own]
+    counts = " UNION ALL ".join(f"SELECT '{f}' AS f, count(DISTINCT {f}) AS d FROM o" for f in WHOLE)
+    low, number = "regime IN ('Constant', 'Binary', 'LowCard')", "f IN ('o_orderkey', 'o_custkey', 'o_totalprice')"
+    order = "CASE f " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(WHOLE)) + " END"
+    return f"""WITH {_O}, r AS (SELECT f, {order} AS i, CASE WHEN d <= 1 THEN 'Constant' WHEN d = 2 THEN 'Binary' WHEN d <= 64 THEN 'LowCard' WHEN d <= 4096 THEN 'MidCard' ELSE 'HighCardOrUnique' END AS regime FROM ({counts})),
+k AS (SELECT f, i, regime, {low} AS low, {number} AS num FROM r),
+m AS (SELECT f, m, family, regime FROM (VALUES {', '.join(fixed)}) AS v(f, m, family) JOIN r USING (f)),
+fam AS (SELECT DISTINCT f, family FROM m),
+g AS (SELECT f, unnest(CASE WHEN {low} THEN ['ExactFrequencyTable'] WHEN regime = 'MidCard' THEN ['HyperLogLog', 'HeavyHitters'] ELSE ['HyperLogLog'] END) AS m, family, regime FROM r JOIN fam USING (f)),
+p AS (SELECT a.f AS a, b.f AS b, a.low AS la, b.low AS lb, a.num AS na, b.num AS nb FROM k a JOIN k b ON a.i < b.i),
+q AS (SELECT a, b, 'Copresence' AS m FROM p UNION ALL SELECT a, b, 'NumericCorrelation' FROM p WHERE na AND nb UNION ALL SELECT a, b, 'CategoricalAssociation' FROM p WHERE la AND lb
+UNION ALL SELECT a, b, 'LowCardNumeric' FROM p WHERE la AND nb UNION ALL SELECT b, a, 'LowCardNumeric' FROM p WHERE na AND lb AND NOT (la AND nb)
+UNION ALL SELECT a, b, 'FunctionalDependency' FROM p WHERE la UNION ALL SELECT b, a, 'FunctionalDependency' FROM p WHERE lb UNION ALL SELECT f, '{survey_run.INDEX}', 'Trend' FROM k WHERE num)
+SELECT f AS subject, NULL::VARCHAR AS other, m AS measure, NULL::VARCHAR AS semantic, family, regime FROM (FROM m UNION ALL FROM g)
+UNION ALL SELECT a, b, m, NULL, NULL, NULL FROM q"""
+
+
 ORACLES = {
+    "survey_plan": _whole_plan(),
+    "survey_run": _whole_run(),
     "survey_presence": f"WITH {_O} " + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS records, count({f}) AS present, count(*) - count({f}) AS nulls, '{k}' AS encoding FROM o" for f, k in _KINDS.items()),
     "semantic_probes": f"WITH {_P}, r AS ({_RATES}) SELECT field, probe, round(rate, 6)::DOUBLE AS rate FROM r",
     "semantic_types": f"WITH {_P}, r AS ({_RATES}) SELECT field, probe, round(rate, 6)::DOUBLE AS rate FROM r WHERE rate >= 0.95 QUALIFY row_number() OVER (PARTITION BY field ORDER BY rate DESC, position DESC) = 1",
