@@ -109,7 +109,8 @@ def stage(df: DataFrame, text: str) -> DataFrame:
         return df.select(_object(v, fields).alias("v"))
     parts = _split(text, ",")
     if len(parts) > 1:
-        return df.select(_object(v, [(p.rsplit(".", 1)[1], p) for p in parts]).alias("v"))
+        # A missing key is left out of the object; a JSON null stays.
+        return df.select(F.try_parse_json(F.to_json(F.struct(*[at(v, p).alias(p.rsplit(".", 1)[1]) for p in parts]))).alias("v"))
     return df.select(at(v, text).alias("v")).where("v IS NOT NULL")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.predicate import display
-from orrery.operators import catalog, jq, merkle, synth
+from orrery.operators import catalog, jq, merkle, records, synth
 from orrery.queries.vectors import rounded
 from orrery.session import table
 
@@ -71,7 +71,19 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return synth.generate_vectors(spark, 1000, 16, seed=7, normalize=True, zeros=3, duplicates=5)
 
 
+def _records(program: str):
+    return lambda spark, sf: records.query_records(events(spark, sf), "doc", program)
+
+
 QUERIES = {
+    "records_arithmetic": _records(".event_id + (.a.b // 0) * 2"),
+    "records_logic": _records('select(.a.b == 1 and .kind != "click" or .a == null) | .event_id'),
+    "records_map": _records("(.a.l // []) | map(. + 1) | add // 0"),
+    "records_object": lambda s, sf: _records("{id: .event_id, k: (.a.b | tostring), n: (.kind | length)}")(s, sf).select(*[F.get_json_object("v", f"$.{c}").alias(c) for c in ("id", "k", "n")]),
+    "records_length": _records("[(.a.l // [] | length), (.kind | length), (keys | length)]"),
+    "records_reduce": _records("reduce (.a.l // [])[] as $x (0; . + $x * $x)"),
+    "records_interpolation": _records('"\\(.kind)-\\(.event_id % 4)"'),
+    "records_update": _records(".a.b |= (. // -1) | .a.b"),
     "jq_path": _jq(".a.b"),
     "jq_multi": _field(".kind, .a.b", kind="$.kind", b="$.b"),
     "jq_select": _field('select(.kind == "click") | select(.a.b >= 3)', event_id="$.event_id", b="$.a.b"),
@@ -102,6 +114,14 @@ _LEAF = f"{_BYTES}, lf AS (SELECT doc_id AS key, c AS chunk, least(1024, length(
 _ALTERED = "CASE WHEN length(text) > 1500 THEN substr(text, 1, 1500) || substr(text, 1500, 1) || substr(text, 1501) ELSE text END"
 
 ORACLES = {
+    "records_arithmetic": f"WITH {_E} SELECT (event_id + coalesce(b, 0) * 2)::VARCHAR AS v FROM e",
+    "records_logic": f"WITH {_E} SELECT event_id::VARCHAR AS v FROM e WHERE coalesce(b = 1, false) AND kind <> 'click' OR NOT has",
+    "records_map": f"WITH {_E} SELECT (CASE WHEN has THEN 2 + l + 1 ELSE 0 END)::VARCHAR AS v FROM e",
+    "records_object": f"WITH {_E} SELECT event_id::VARCHAR AS id, coalesce(b::VARCHAR, 'null') AS k, length(kind)::VARCHAR AS n FROM e",
+    "records_length": f"WITH {_E} SELECT '[' || (CASE WHEN has THEN 2 ELSE 0 END) || ',' || length(kind) || ',' || (CASE WHEN has THEN 3 ELSE 2 END) || ']' AS v FROM e",
+    "records_reduce": f"WITH {_E} SELECT (CASE WHEN has THEN 1 + l * l ELSE 0 END)::VARCHAR AS v FROM e",
+    "records_interpolation": f"""WITH {_E} SELECT '"' || kind || '-' || event_id % 4 || '"' AS v FROM e""",
+    "records_update": f"WITH {_E} SELECT coalesce(b, -1)::VARCHAR AS v FROM e",
     "jq_path": f"WITH {_E} SELECT b::VARCHAR AS v FROM e WHERE has",
     "jq_multi": f"WITH {_E} SELECT kind, b::VARCHAR AS b FROM e",
     "jq_select": f"WITH {_E} SELECT event_id::VARCHAR AS event_id, b::VARCHAR AS b FROM e WHERE kind = 'click' AND b >= 3",
