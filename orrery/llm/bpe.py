@@ -32,7 +32,9 @@ from orrery.session import map_arrow
 
 #: Characters of pre-tokens that a worker keeps with their ids; when full, the cache starts anew. A longer pre-token
 #: than LONG is looked up each time. No result depends on either.
-CACHE, LONG = 6_000_000, 64
+CACHE, LONG = 2_000_000, 64
+#: Rows that are encoded together.
+ROWS = 1000
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -175,7 +177,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
-        for b in batches:
+        # Some rows at a time, so that no more than their ids are held.
+        for b in (x.slice(a, ROWS) for x in batches for a in range(0, x.num_rows, ROWS)):
             n, ids_sha, out_sha, ids, decoded = [], [], [], [], []
             for t in b.column(1):
                 got = own.encode(t.as_py() or "")
@@ -184,13 +187,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 ids_sha.append(hashlib.sha256(got).hexdigest())
                 out_sha.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
-                    ids.append(np.frombuffer(got, "<i4"))
+                    ids.append(got)
                 if with_decoded:
                     decoded.append(back)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), flat))
                 names.append("ids")
             if with_decoded:
                 cols.append(pa.array(decoded, pa.binary()))

@@ -114,7 +114,7 @@ def cut_chunks(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(whole, CHUNK)[::STEP]
 
 
-def score_texts(net: Network, shift: float, texts: list[bytes], slab: int = 1024) -> np.ndarray:
+def score_texts(net: Network, shift: float, texts: list[bytes], slab: int = 128) -> np.ndarray:
     """A probability for each text; ``slab`` chunks at a time are in memory, whatever the texts' lengths."""
     out = np.empty(len(texts))
     held: list[np.ndarray] = []

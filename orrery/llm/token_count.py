@@ -35,7 +35,7 @@ from orrery.session import map_arrow
 
 SPACE = "▁"
 #: Characters in a chunk; compiled transitions, and characters of cached words, that a worker keeps before it starts either anew.
-CHUNK, TRANSITIONS, CACHED = 1 << 15, 600_000, 6_000_000
+CHUNK, TRANSITIONS, CACHED = 1 << 15, 600_000, 2_000_000
 #: A word of more characters than this is counted anew each time.
 LONG = 64
 LIMIT = 4096

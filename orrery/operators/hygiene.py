@@ -1,7 +1,7 @@
 """Clean-up of vector sets: duplicates, zeros, norms, overlap, shuffles.
 
 Equality is bitwise where vectors are grouped: -0.0 differs from 0.0, and NaNs equal each other.
-Grouping is by a 64-bit hash and the vector itself; counts are aggregated before the shuffle.
+Grouping is by a digest of the vector; counts are aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ NEAR_ZERO = 1e-6
 
 
 def keyed(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """With ``_key``: a string that is equal just for bitwise equal vectors."""
-    return df.withColumn("_key", vec.bits(F.col(vec_col)))
+    """With ``_key``: the SHA-256 of a vector's bits, 32 bytes that move in its place."""
+    return df.withColumn("_key", F.unhex(F.sha2(vec.bits(F.col(vec_col)), 256)))
 
 
 def sort_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

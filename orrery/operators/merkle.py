@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import cut
+
 CHUNK = 1 << 20
 
 
@@ -20,14 +22,15 @@ def merkle_chunks(content: DataFrame, key: str, data: str, chunk: int = CHUNK) -
 
 def merkle_levels(leaves: DataFrame, most: int = 40) -> DataFrame:
     """(key, level, node, hash): all nodes, level 0 the leaves. Each level is half the one below; a node without a sibling goes up as it is."""
-    level = leaves.select("key", F.lit(0).alias("level"), F.col("chunk").alias("node"), "hash")
-    out, n = level, (leaves.agg(F.max("chunk")).first()[0] or 0) + 1
+    # Each level is folded from the table of the one below: content is read once, for the leaves.
+    level = cut(leaves.select("key", F.lit(0).alias("level"), F.col("chunk").alias("node"), "hash"), "merkle")
+    out, n = level, (level.agg(F.max("node")).first()[0] or 0) + 1
     for i in range(1, most):
         if n <= 1:
             break
         pairs = level.groupBy("key", F.floor(F.col("node") / 2).cast("int").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("c"))
         joined = F.concat(F.unhex(F.col("c")[0]["hash"]), F.unhex(F.get("c", F.lit(1))["hash"]))
-        level = pairs.select("key", F.lit(i).alias("level"), "node", F.when(F.size("c") == 2, F.sha2(joined, 256)).otherwise(F.col("c")[0]["hash"]).alias("hash"))
+        level = cut(pairs.select("key", F.lit(i).alias("level"), "node", F.when(F.size("c") == 2, F.sha2(joined, 256)).otherwise(F.col("c")[0]["hash"]).alias("hash")), "merkle")
         out, n = out.unionByName(level), -(-n // 2)
     return out
 

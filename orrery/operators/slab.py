@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.extract import dense_positions
-from orrery.session import ship
+from orrery.session import map_arrow
 from orrery.sources import formats
 
 
@@ -60,29 +63,28 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, problem): pages that cannot be read, or whose ordinals run into the next page. One task per page."""
+    """(file, offset, problem): pages that cannot be read, or whose ordinals run into the next page of their file."""
     table = pages(spark, path)
-    ship(spark)
-
-    def run(batches):
-        import pandas as pd
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for file, first, offset, size in zip(b["file"], b["first"], b["offset"], b["size"], strict=True):
+            after, problem = [], []
+            for file, first, offset, size in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 try:
                     with formats._open(file) as f:
                         f.seek(offset)
-                        n = len(formats.slab_records(f.read(size)))
-                    out.append((file, offset, first, first + n, ""))
+                        after.append(first + len(formats.slab_records(f.read(size))))
+                    problem.append("")
                 except ValueError as e:
-                    out.append((file, offset, first, first, str(e)))
-            yield pd.DataFrame(out, columns=["file", "offset", "first", "after", "problem"])
-
-    found = table.repartition(max(1, min(table.count(), 1000))).mapInPandas(run, "file string, offset bigint, first bigint, after bigint, problem string")
-    pairs = found.alias("a").join(found.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("b.first") < F.col("a.after")) & (F.col("b.first") > F.col("a.first")))
-    over = pairs.select("a.file", "a.offset", F.lit("ordinals run into another page").alias("problem"))
-    return found.where("problem <> ''").select("file", "offset", "problem").unionByName(over.distinct())
+                    after.append(first)
+                    problem.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(after, pa.int64()), pa.array(problem, pa.string())], names=["file", "offset", "first", "after", "problem"])
+
+    found = map_arrow(table.repartition(max(1, min(table.count(), 1000))), run, "file string, offset bigint, first bigint, after bigint, problem string")
+    # The next larger first ordinal of the file: a page reaches no further.
+    following = F.min("first").over(Window.partitionBy("file").orderBy("first").rangeBetween(1, Window.unboundedFollowing))
+    said = F.when(F.col("problem") != "", F.col("problem")).when(F.col("following") < F.col("after"), "ordinals run into another page")
+    return found.withColumn("following", following).select("file", "offset", said.alias("problem")).where("problem IS NOT NULL")
 
 
 def rewrite(spark: SparkSession, path: str, to: str, page_size: int = formats.PAGE) -> None:
