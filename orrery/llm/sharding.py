@@ -20,13 +20,21 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.prune import marked
+from orrery.session import cut
+
 SHARDS = 24
 ROWS_PER_BLOCK = 20_000
 MIN_BLOCKS, MAX_BLOCKS = 16, 4096
+#: Rows that repeat an id and text, from which on they are told apart.
+HOT = 1000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` balls are good, drawn without putting back; by inversion from the mode outwards."""
+    """How many of ``draws`` balls are good, drawn without putting back; by inversion from the mode outwards.
+
+    Probabilities are doubles: what their rounding leaves of the whole, some 1e-9 at most, falls to the mode.
+    """
     total = good + bad
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
@@ -109,8 +117,15 @@ def uniform_shards(rows: DataFrame, by: list[str], shards: int = SHARDS, seed: i
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of ``docs``; the law is ``rows``."""
-    data = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data.cast("binary")).alias("text_crc32"))
-    out = uniform_shards(rows, ["doc_id", "text_crc32", "size"], shards, seed)
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of ``docs``; the law is ``rows``.
+
+    Texts are read once, for their sizes. Rows that many others repeat in id and text are told apart by a
+    number, so that their hashes spread; which of equal rows goes where is all that it decides.
+    """
+    data, by = F.coalesce(F.col(text_col), F.lit("")), ["doc_id", "text_crc32", "size"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
+    rows = cut(rows, "sizes").withColumn("key", F.xxhash64(*by))
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
+    rows = marked(rows, hot, "key", name="hot").withColumn("copy", F.when(F.col("hot"), F.col("uid")).otherwise(F.lit(0)))
+    out = uniform_shards(rows.select(*by, "copy"), [*by, "copy"], shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

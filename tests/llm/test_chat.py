@@ -94,3 +94,12 @@ def test_records_of_mixed_layouts(spark):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     qa = [("user", "q"), ("assistant", "a")]
     assert got == {0: qa, 1: qa, 2: [("user", "do\n\nx"), ("assistant", "a")], 3: [("user", "q")], 4: [("unknown", '{"strange": 1}')], 9: [("unknown", "no json")]}
+
+
+def test_empty_table_and_very_long_texts(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert chat.chat_digests(chat.format_chats(chat.canonical(spark.createDataFrame([], schema)))).count() == 0
+    turns = [("user", "<|turn|> & [x] " * 100_000), ("assistant", "é&<[" * 200_000)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], schema)
+    got = chat.chat_digests(chat.format_chats(chat.canonical(df))).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == digests(turns)

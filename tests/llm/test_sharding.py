@@ -57,3 +57,19 @@ def test_places_are_uniform(spark):
 
 def test_empty_table(spark):
     assert S.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_a_third_of_the_table_repeats_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 50)
+    rows = [(7, "the same row")] * 600 + [(i, f"text {i}") for i in range(1000, 2200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = S.uniform_shards
+    monkeypatch.setattr(S, "uniform_shards", lambda r, by, *a: (seen.append((r, by)), plain(r, by, *a))[1])
+    got = S.shard_documents(df).collect()
+    assert Counter(r.doc_id for r in got)[7] == 600
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s])) for s in sizes)
+    placed, by = seen[0]
+    assert placed.select(*by).distinct().count() == 1800
