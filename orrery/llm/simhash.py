@@ -16,8 +16,8 @@ alternating large-star and small-star steps on tables.
 ``keep_one`` links texts that share 0.8 or more of their five-word shingles. Such texts differ in about a
 seventh of their bits, so the walk runs over TABLES short fingerprints of independent hashes, and each pair that
 it finds is confirmed on the whole sets of shingles: no text below the similarity is linked. A pair at just
-0.8 is found with a probability of 0.96, one at 0.85 of 0.998. First the spanning forests are confirmed; then
-all found pairs of different components.
+0.8 is found with a probability of 0.96, one at 0.85 of 0.998. First each text's best neighbours are confirmed;
+then all found pairs of different components.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows and equal texts share a fingerprint and so a
@@ -247,6 +247,13 @@ def _tops(slot: np.ndarray, key: np.ndarray, bits: int, parts: int) -> np.ndarra
     return out
 
 
+def _numbers(col: pa.Array) -> np.ndarray:
+    """A column of numbers, or of lists of one length as rows."""
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    return col.to_numpy(zero_copy_only=False)
+
+
 def _whole_buckets(batches: Iterable[pa.RecordBatch], bits: int, parts: int) -> Iterator[list[np.ndarray]]:
     """Columns (slot, key, more...) of whole buckets of one slot, several as long as they are few rows."""
     held: list[list[np.ndarray]] = []
@@ -256,7 +263,7 @@ def _whole_buckets(batches: Iterable[pa.RecordBatch], bits: int, parts: int) ->
         yield from ([c[a:z] for c in cols] for a, z in _runs(cols[0]))
 
     for b in batches:
-        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        held.append([_numbers(c) for c in b.columns])
         n += b.num_rows
         if n < limit:
             continue
@@ -426,8 +433,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> Da
 def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, tables: int, bits: int) -> DataFrame:
     """Those of the distinct pairs (u, v) of sets that share so much of their union, stored.
 
-    All fingerprints of a pair together tell chance from likeness before any text is read again: pairs whose
-    bits differ as much as those of the similarity do at five standard deviations cannot be over it.
+    All fingerprints of a pair together tell chance from likeness before any text is read again.
     """
     u, v = (sets.select(F.col("fp").alias(x), F.col("text_hash").alias(f"h{x}"), F.col("keys").alias(f"k{x}")) for x in "uv")
     apart = F.aggregate(F.zip_with("ku", "kv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
@@ -442,22 +448,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 
 
 def _most_bits(similarity: float, tables: int, bits: int) -> float:
-    """How many bits of a table sets of that similarity differ in, with room for chance.
+    """How many bits of a table sets of that similarity differ in, with room for chance: of 2,800 pairs at just the similarity one is beyond it.
 
     Their cosine is 2 s / (1 + s), or more where one is larger; the angle over pi is a bit's chance.
     """
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     n = tables * bits
-    return bits * min(1.0, share + 5 * np.sqrt(share * (1 - share) / n) + 0.03)
+    return bits * min(1.0, share + 3.4 * np.sqrt(share * (1 - share) / n) + 2 / n)
 
 
-def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
-    """(u, v): pairs of the sets ``fp`` of cells (t, key, root, fp) with different roots whose keys are within the budget."""
-    rows = _dealt(buckets(cells, bits, errors, ("t",)), "root", "fp", by=F.col("t"))
+def _best(cells: DataFrame, bits: int, errors: int) -> DataFrame:
+    """(u, v, t, degree): for each set ``fp`` of cells (t, key, score, fp) the one of the highest score among those within the budget, in each bucket, and how many those are."""
+    rows = _dealt(buckets(cells, bits, errors, ("t",)), "score", "fp", by=F.col("t"))
 
-    def pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, key, score, fp in _whole_buckets(batches, bits, errors + 1):
+            order = np.argsort(key.view(np.uint64), kind="stable")
+            key, score, fp = key.view(np.uint64)[order], score[order], fp[order]
+            by_rank = np.lexsort((fp, score))
+            rank = np.empty(len(fp), np.int64)
+            rank[by_rank] = np.arange(len(fp))
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            of = np.repeat(np.arange(len(start)), size)
+            # Of each key the first two sets: the first is the best of all others under the key, the second of it.
+            first = np.maximum.reduceat(rank, start)
+            lead = rank == first[of]
+            second = np.maximum.reduceat(np.where(lead, -1, rank), start)
+            best, degree = np.full(len(start), -1), size - 1
+            for i, j in trie_pairs(key[start], _fixed(int(slot[0]) % SLOT, bits, errors + 1), errors, np.arange(len(start))):
+                np.maximum.at(best, i, first[j])
+                np.maximum.at(best, j, first[i])
+                np.add.at(degree, i, size[j])
+                np.add.at(degree, j, size[i])
+            found = np.maximum(best[of], np.where(lead, second[of], first[of]))
+            x = np.flatnonzero(found >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fp[x]), pa.array(fp[by_rank[found[x]]]), pa.array(np.full(len(x), slot[0] // SLOT, np.int32)), pa.array(degree[of][x])], names=["u", "v", "t", "degree"]
+            )
+
+    return map_arrow(rows, run, "u bigint, v bigint, t int, degree bigint")
+
+
+def _across(cells: DataFrame, bits: int, errors: int, most: float) -> DataFrame:
+    """(u, v): pairs of the sets ``fp`` of cells (t, key, root, fp, keys) with different roots whose keys are within the budget, and all whose keys differ in ``most`` bits or fewer."""
+    rows = _dealt(buckets(cells, bits, errors, ("t",)), "root", "fp", "keys", by=F.col("t"))
+
+    def pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, keys: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((root, key.view(np.uint64)))
-        key, root, fp = key.view(np.uint64)[order], root[order], fp[order]
+        key, root, fp, keys = key.view(np.uint64)[order], root[order], fp[order], keys[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         end = np.append(start[1:], len(key))
         several = root[start] != root[end - 1]
@@ -468,14 +507,16 @@ def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
         def ends(i: np.ndarray, j: np.ndarray, own: bool = False) -> Iterator[pa.RecordBatch]:
             while len(i):
                 size = (end[i] - start[i]) * (end[j] - start[j])
-                k = max(1, int(np.searchsorted(np.cumsum(size), SLAB)))
+                k = max(1, int(np.searchsorted(np.cumsum(size), SLAB // 8)))
                 n, width = size[:k], (end[j] - start[j])[:k]
-                of = np.repeat(np.arange(k), n)
+                of = np.repeat(np.arange(len(n)), n)
                 off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 a, b = start[i][of] + off // width[of], start[j][of] + off % width[of]
                 pick = root[a] < root[b] if own else root[a] != root[b]
                 a, b = a[pick], b[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], names=["u", "v"])
+                near = np.bitwise_count((keys[a] ^ keys[b]).view(np.uint64)).sum(1, dtype=np.int64) <= most
+                a, b = fp[a[near]], fp[b[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
                 i, j = i[k:], j[k:]
 
         same = np.flatnonzero(several)
@@ -484,8 +525,8 @@ def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
             yield from ends(i, j)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slot, key, root, fp in _whole_buckets(batches, bits, errors + 1):
-            yield from pairs(key, root, fp, _fixed(int(slot[0]) % SLOT, bits, errors + 1))
+        for slot, key, root, fp, keys in _whole_buckets(batches, bits, errors + 1):
+            yield from pairs(key, root, fp, keys, _fixed(int(slot[0]) % SLOT, bits, errors + 1))
 
     return map_arrow(rows, run, "u bigint, v bigint")
 
@@ -493,26 +534,25 @@ def _across(cells: DataFrame, bits: int, errors: int) -> DataFrame:
 def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, tables: int, bits: int, errors: int) -> DataFrame:
     """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys).
 
-    First each set is compared with the smallest of those that share a key with it, in the three tables where
-    most do: that joins a large group of near copies without its pairs. What it joins is then passed over by
-    the walk, whose pairs are all confirmed.
+    A set's score is how many others share one of its keys: in a large group of near copies the one that all
+    others are copies of has the highest. First each set is compared with its best neighbour in each bucket of
+    the walk, which joins such a group without its pairs. All pairs that this leaves out are between sets of
+    two neighbours or more: those whose components still differ are found by a second walk.
     """
     sets = cut(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "keys")).alias("x")).select("fp", "x.text_hash", "x.keys"), "sketched-sets")
     cells = sets.select("fp", F.posexplode("keys").alias("t", "key"))
-    groups = cells.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
     # Read from a table, the groups have no partitioning of their own to which a hot key's sets would have to come.
-    groups = cut(groups, "shared-keys")
-    star = may_match(cells, groups, "t", "key").join(groups, ["t", "key"]).where("fp <> pivot").select("fp", "k", "pivot").distinct()
-    star = star.groupBy("fp").agg(F.slice(F.sort_array(F.collect_set(F.struct("k", "pivot")), asc=False), 1, 3).alias("best"))
-    star = cut(star.select(F.col("fp").alias("u"), F.explode("best.pivot").alias("v")).distinct(), "star")
+    groups = cut(cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared-keys")
+    scores = cut(may_match(cells, groups, "t", "key").join(groups, ["t", "key"]).groupBy("fp").agg(F.sum("k").alias("score")), "scores")
+    scored = sets.join(scores, "fp", "left").select("fp", F.coalesce("score", F.lit(0)).alias("score"), F.posexplode("keys").alias("t", "key"))
+    best = cut(_best(scored, bits, errors), "best-neighbours")
+    star = cut(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     near = confirmed(star, sets, docs, text_col, shingle, similarity, tables, bits)
     roots = components(near).withColumnRenamed("u", "fp")
-    rooted = cut(sets.join(roots, "fp", "left").select("fp", "root", "keys"), "rooted-sets")
-    # A smallest set stands for all of its component under a key, itself; the others go through a minimum of their own.
-    heads = rooted.where("root IS NULL").select("fp", F.col("fp").alias("root"), F.posexplode("keys").alias("t", "key")).select("t", "key", "root", "fp")
-    others = rooted.where("root IS NOT NULL").select("fp", "root", F.posexplode("keys").alias("t", "key")).groupBy("t", "key", "root").agg(F.min("fp").alias("fp"))
-    of = heads.unionByName(others)
-    more = _across(of, bits, errors).distinct().join(star, ["u", "v"], "left_anti")
+    open_ = best.where("degree > 1").select(F.col("u").alias("fp"), "t").distinct()
+    rooted = sets.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "keys")
+    of = cut(open_.join(rooted, "fp").select("t", F.col("keys")[F.col("t")].alias("key"), "root", "fp", "keys"), "open-cells")
+    more = _across(of, bits, errors, _most_bits(similarity, tables, bits) * tables).distinct().join(star, ["u", "v"], "left_anti")
     return near.unionByName(confirmed(cut(more, "pairs"), sets, docs, text_col, shingle, similarity, tables, bits))
 
 

@@ -58,17 +58,56 @@ def test_pairs_at_the_threshold_are_found_as_often_as_promised():
     assert found >= 0.92 * 300
 
 
-def test_no_pair_of_the_walk_is_missing(spark):
+def bits_apart(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+def random_cells(spark, extra):
     r, rows = random.Random(1), []
     for t in range(2):
         for i in range(150):
             k = r.choice([0x12345678, 0x12345679, 0x9ABCDEF0])
             for b in r.sample(range(32), r.randrange(4)):
                 k ^= 1 << b
-            rows.append((t, (k << 32) - (1 << 64) if k >> 31 else k << 32, r.randrange(30), i + 1000 * t))
-    got = {(x.u, x.v) for x in S._across(spark.createDataFrame(rows, "t int, key long, root long, fp long"), 32, 2).collect()}
-    want = {(max(a[3], b[3]), min(a[3], b[3])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 2}
-    assert got == want
+            k = (k << 32) - (1 << 64) if k >> 31 else k << 32
+            rows.append((t, k, r.randrange(30), i + 1000 * t, [k, k]))
+    return rows, spark.createDataFrame(rows, f"t int, key long, {extra} long, fp long, keys array<long>")
+
+
+def test_no_pair_of_the_walk_is_missing(spark):
+    rows, df = random_cells(spark, "root")
+    for most in (4, 2):
+        got = {(x.u, x.v) for x in S._across(df, 32, 2, most).collect()}
+        want = {(max(a[3], b[3]), min(a[3], b[3])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and 2 * bits_apart(a[1], b[1]) <= most}
+        assert got == want
+
+
+def test_best_neighbours(spark):
+    rows, df = random_cells(spark, "score")
+    got = {}
+    for x in S._best(df.drop("keys"), 32, 2).collect():
+        got.setdefault(x.u, []).append((x.v, x.degree))
+    for t, key, _, fp, _ in rows:
+        near = [b for b in rows if b[0] == t and b[3] != fp and bits_apart(key, b[1]) <= 2]
+        assert bool(near) == (fp in got)
+        if near:
+            best = max(near, key=lambda b: (b[2], b[3]))[3]
+            assert best in {v for v, _ in got[fp]} and {v for v, _ in got[fp]} <= {b[3] for b in near}
+            # A pair that no bucket has emitted is between sets of two neighbours or more.
+            assert len({v for v, _ in got[fp]}) == len(near) or max(d for _, d in got[fp]) > 1
+
+
+def test_copies_of_one_text_that_are_not_alike_themselves(spark):
+    # Each shares 0.8 or more with the text, and some two thirds with each other.
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words), "en", "s", 1, "k", "f", "w", 1, 2)]
+    for i in range(1, 120):
+        w = list(words)
+        for p in r.sample(range(20, 280), 5):
+            w[p] = f"x{i}.{p}"
+        rows.append((i, " ".join(w), "en", "s", 1, "k", "f", "w", 1, 2))
+    assert [x.doc_id for x in S.keep_one(frame(spark, rows)).collect()] == [0]
 
 
 def test_a_large_group_of_near_copies_keeps_one(spark):
