@@ -435,26 +435,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 
     All fingerprints of a pair together tell chance from likeness before any text is read again.
     """
-    u, v = (sets.select(F.col("fp").alias(x), F.col("text_hash").alias(f"h{x}"), F.col("keys").alias(f"k{x}")) for x in "uv")
+    u, v = (sets.select(F.col("fp").alias(x), F.col("keys").alias(f"k{x}")) for x in "uv")
     apart = F.aggregate(F.zip_with("ku", "kv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
-    pairs = cut(pairs.join(u, "u").join(v, "v").where(apart <= F.lit(_most_bits(similarity, tables, bits)) * F.size("ku")).select("u", "v", "hu", "hv"), "likely-pairs")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("fp"), F.col("hu").alias("h")), F.struct(F.col("v").alias("fp"), F.col("hv").alias("h")))).alias("x"))
-    wanted = cut(ends.select("x.fp", F.col("x.h").alias("text_hash")).distinct(), "wanted")
+    likely = pairs.join(u, "u").join(v, "v").where(apart <= F.lit(_most_bits(similarity, tables, bits)) * F.size("ku")).select("u", "v")
+    return _alike(cut(likely, "likely-pairs"), sets, docs, text_col, shingle, similarity)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose whole sets are as similar, stored."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = cut(sets.join(ends, "fp", "left_semi").select("fp", "text_hash"), "wanted")
     parts = _sets(docs, wanted, text_col, shingle)
     u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
     both = F.size(F.array_intersect("pu", "pv"))
-    found = pairs.select("u", "v").join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
+    found = pairs.join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
     return cut(found.select("u", "v"), "confirmed")
 
 
 def _most_bits(similarity: float, tables: int, bits: int) -> float:
-    """How many bits of a table sets of that similarity differ in, with room for chance: of 2,800 pairs at just the similarity one is beyond it.
+    """How many bits of a table sets of that similarity differ in, with room for chance: of 200 pairs at just the similarity one is beyond it.
 
     Their cosine is 2 s / (1 + s), or more where one is larger; the angle over pi is a bit's chance.
     """
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     n = tables * bits
-    return bits * min(1.0, share + 3.4 * np.sqrt(share * (1 - share) / n) + 2 / n)
+    return bits * min(1.0, share + 2.6 * np.sqrt(share * (1 - share) / n) + 2 / n)
 
 
 def _best(cells: DataFrame, bits: int, errors: int) -> DataFrame:
@@ -535,9 +540,9 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int,
     """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys).
 
     A set's score is how many others share one of its keys: in a large group of near copies the one that all
-    others are copies of has the highest. First each set is compared with its best neighbour in each bucket of
-    the walk, which joins such a group without its pairs. All pairs that this leaves out are between sets of
-    two neighbours or more: those whose components still differ are found by a second walk.
+    others are copies of has the highest. First each set is compared with the three best of its neighbours in the
+    buckets of the walk, which joins such a group without its pairs. All pairs that this leaves out whose
+    components still differ are found by a second walk over the sets that have any.
     """
     sets = cut(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "keys")).alias("x")).select("fp", "x.text_hash", "x.keys"), "sketched-sets")
     cells = sets.select("fp", F.posexplode("keys").alias("t", "key"))
@@ -545,15 +550,18 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int,
     groups = cut(cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared-keys")
     scores = cut(may_match(cells, groups, "t", "key").join(groups, ["t", "key"]).groupBy("fp").agg(F.sum("k").alias("score")), "scores")
     scored = sets.join(scores, "fp", "left").select("fp", F.coalesce("score", F.lit(0)).alias("score"), F.posexplode("keys").alias("t", "key"))
-    best = cut(_best(scored, bits, errors), "best-neighbours")
-    star = cut(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    best = cut(_best(scored, bits, errors).join(scores.select(F.col("fp").alias("v"), "score"), "v", "left").na.fill(0, ["score"]), "best-neighbours")
+    first = best.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("score", "v")), asc=False), 1, 3).alias("first"))
+    star = cut(first.select("u", F.explode("first.v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     near = confirmed(star, sets, docs, text_col, shingle, similarity, tables, bits)
     roots = components(near).withColumnRenamed("u", "fp")
-    open_ = best.where("degree > 1").select(F.col("u").alias("fp"), "t").distinct()
-    rooted = sets.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "keys")
+    # A pair that was not tried is between sets of two neighbours or more, or is one that a set has beyond its first.
+    later = best.join(star.select(F.col("u").alias("a"), F.col("v").alias("b")), (F.greatest("u", "v") == F.col("a")) & (F.least("u", "v") == F.col("b")), "left_anti")
+    open_ = best.where("degree > 1").select(F.col("u").alias("fp"), "t").union(later.select("u", "t")).union(later.select("v", "t")).distinct()
+    rooted = sets.join(roots, "fp", "left").select("fp", "text_hash", F.coalesce("root", "fp").alias("root"), "keys")
     of = cut(open_.join(rooted, "fp").select("t", F.col("keys")[F.col("t")].alias("key"), "root", "fp", "keys"), "open-cells")
     more = _across(of, bits, errors, _most_bits(similarity, tables, bits) * tables).distinct().join(star, ["u", "v"], "left_anti")
-    return near.unionByName(confirmed(cut(more, "pairs"), sets, docs, text_col, shingle, similarity, tables, bits))
+    return near.unionByName(_alike(cut(more, "pairs"), sets, docs, text_col, shingle, similarity))
 
 
 def keep_one(

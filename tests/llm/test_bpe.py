@@ -66,7 +66,7 @@ def test_cache_is_bounded_by_characters(monkeypatch, library):
     for i in range(30):
         text = f"xqz{i}vbn wkj{i} " * 3 + "y" * 5000 + f" end{i}"
         assert ids(own, text) == library.encode_ordinary(text)
-        assert own.held == sum(map(len, own.cache)) <= 300 and all(len(p) <= bpe.LONG for p in own.cache)
+        assert own.held == sum(map(len, own.cache)) <= 400 and all(len(p) <= bpe.LONG for p in own.cache)
 
 
 def test_table(spark, sf, library):
