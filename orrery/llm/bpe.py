@@ -32,7 +32,7 @@ from orrery.session import map_arrow
 
 #: Characters of pre-tokens that a worker keeps with their ids; when full, the cache starts anew. A longer pre-token
 #: than LONG is looked up each time. No result depends on either.
-CACHE, LONG = 2_000_000, 64
+CACHE, LONG = 4_000_000, 64
 #: Rows that are encoded together.
 ROWS = 1000
 
@@ -147,15 +147,15 @@ class Codec:
         if not missing:
             return b"".join(map(cache.__getitem__, pieces))
         own = {p: self.piece(p) for p in missing}
-        out = b"".join([own[p] if p in own else cache[p] for p in pieces])
         short = {p: ids for p, ids in own.items() if len(p) <= LONG}
-        more = sum(map(len, short))
-        if self.held + more > CACHE:
-            cache.clear()
-            self.held = 0
+        self.held += sum(map(len, short))
+        if self.held > CACHE:
+            self.cache = cache = {p: cache[p] for p in set(pieces) if p in cache}
+            self.held = sum(map(len, cache)) + sum(map(len, short))
         cache.update(short)
-        self.held += more
-        return out
+        if len(short) == len(own):
+            return b"".join(map(cache.__getitem__, pieces))
+        return b"".join([own[p] if p in own else cache[p] for p in pieces])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -35,7 +35,7 @@ from orrery.session import map_arrow
 
 SPACE = "▁"
 #: Characters in a chunk; compiled transitions, and characters of cached words, that a worker keeps before it starts either anew.
-CHUNK, TRANSITIONS, CACHED = 1 << 15, 600_000, 2_000_000
+CHUNK, TRANSITIONS, CACHED = 1 << 15, 600_000, 3_000_000
 #: A word of more characters than this is counted anew each time.
 LONG = 64
 LIMIT = 4096
@@ -206,15 +206,15 @@ class Transducer:
         finally:
             if on:
                 gc.enable()
-        total = sum(own[w] if w in own else cache[w] for w in words)
         short = {w: n for w, n in own.items() if len(w) <= LONG}
-        more = sum(map(len, short))
-        if self.held + more > CACHED:
-            cache.clear()
-            self.held = 0
+        self.held += sum(map(len, short))
+        if self.held > CACHED:
+            self.cache = cache = {w: cache[w] for w in set(words) if w in cache}
+            self.held = sum(map(len, cache)) + sum(map(len, short))
         cache.update(short)
-        self.held += more
-        return total
+        if len(short) == len(own):
+            return sum(map(cache.__getitem__, words))
+        return sum(own[w] if w in own else cache[w] for w in words)
 
 
 class StateMap:
