@@ -443,7 +443,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 
 def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v) whose whole sets are as similar, stored."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    ends = pairs.select(F.col("u").alias("fp")).distinct().union(pairs.select("v").distinct()).distinct()
     wanted = cut(sets.join(ends, "fp", "left_semi").select("fp", "text_hash"), "wanted")
     parts = _sets(docs, wanted, text_col, shingle)
     u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
