@@ -17,7 +17,9 @@ alternating large-star and small-star steps on tables.
 seventh of their bits, so the walk runs over TABLES short fingerprints of independent hashes, and each pair that
 it finds is confirmed on the whole sets of shingles: no text below the similarity is linked. A pair at just
 0.8 is found with a probability of 0.96, one at 0.85 of 0.998. First each text's best neighbours are confirmed;
-then all found pairs of different components.
+then all found pairs of different components. Those may be as many as the square of a group whose texts are just
+below the similarity, so they never become rows: the walk says which sets are compared in which tile, a task
+confirms a tile's pairs on the whole sets and returns a spanning forest of its links.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; repeated rows and equal texts share a fingerprint and so a
@@ -46,6 +48,8 @@ TABLES, TABLE_BITS, TABLE_ERRORS = 26, 32, 2
 SLAB = 1 << 18
 #: Fingerprints under one block value that a task takes; more are dealt out again. Fingerprints walked together.
 MOST, TOGETHER = 1 << 21, 1 << 19
+#: Shingles of a block of sets, of which a tile compares two, and the sets in it at most: bounds a task's memory, not its result.
+BLOCK, BLOCK_SETS = 1 << 20, 1 << 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -391,22 +395,23 @@ def table_keys(hashes: np.ndarray, tables: int = TABLES, bits: int = TABLE_BITS)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, tables: int, bits: int) -> DataFrame:
-    """(doc_id, text_hash, fp, keys): fp names the set of a text's shingles, keys are its fingerprints."""
+    """(doc_id, text_hash, fp, keys, size): fp names the set of a text's shingles, keys are its fingerprints, size says how many they are."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, keys = [], []
+            names, keys, sizes = [], [], []
             for t in b.column(2):
                 own = shingle_set(t.as_py(), shingle)
                 names.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 keys.append(table_keys(own, tables, bits))
+                sizes.append(len(own))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=["doc_id", "text_hash", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "fp", "keys", "size"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp bigint, keys array<bigint>")
+    return map_arrow(slim, run, f"doc_id {kind}, text_hash bigint, fp bigint, keys array<bigint>, size bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -444,8 +449,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 def _alike(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v) whose whole sets are as similar, stored."""
     ends = pairs.select(F.col("u").alias("fp")).distinct().union(pairs.select("v").distinct()).distinct()
-    wanted = cut(sets.join(ends, "fp", "left_semi").select("fp", "text_hash"), "wanted")
-    parts = _sets(docs, wanted, text_col, shingle)
+    parts = _sets(docs, cut(sets.join(ends, "fp", "left_semi").select("fp", "text_hash"), "wanted"), text_col, shingle)
     u, v = (parts.select(F.col("fp").alias(x), F.col("parts").alias(f"p{x}")) for x in "uv")
     both = F.size(F.array_intersect("pu", "pv"))
     found = pairs.join(u, "u").join(v, "v").where(both * (1 + similarity) >= (F.size("pu") + F.size("pv")) * similarity - 1e-9)
@@ -495,56 +499,180 @@ def _best(cells: DataFrame, bits: int, errors: int) -> DataFrame:
     return map_arrow(rows, run, "u bigint, v bigint, t int, degree bigint")
 
 
+def _in_order(key: np.ndarray, root: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """The columns by key and root, as ``_near`` takes them."""
+    order = np.lexsort((root, key.view(np.uint64)))
+    return [key.view(np.uint64)[order], root[order], *(c[order] for c in more)]
+
+
+def _near(key: np.ndarray, root: np.ndarray, keys: np.ndarray, top: int, errors: int, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of different roots of a bucket's rows whose keys are within the budget, and all whose keys differ in ``most`` bits or fewer."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    end = np.append(start[1:], len(key))
+    several = root[start] != root[end - 1]
+    # A key of one root stands for it; one of several for none, so that it is not passed over.
+    names = np.unique(root, return_inverse=True)[1]
+    label = np.where(several, -1 - np.arange(len(start)), names[start])
+
+    def ends(i: np.ndarray, j: np.ndarray, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while len(i):
+            size = (end[i] - start[i]) * (end[j] - start[j])
+            k = max(1, int(np.searchsorted(np.cumsum(size), SLAB // 8)))
+            n, width = size[:k], (end[j] - start[j])[:k]
+            of = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = start[i][of] + off // width[of], start[j][of] + off % width[of]
+            pick = root[a] < root[b] if own else root[a] != root[b]
+            a, b = a[pick], b[pick]
+            near = np.bitwise_count((keys[a] ^ keys[b]).view(np.uint64)).sum(1, dtype=np.int64) <= most
+            yield a[near], b[near]
+            i, j = i[k:], j[k:]
+
+    same = np.flatnonzero(several)
+    yield from ends(same, same, True)
+    for i, j in trie_pairs(key[start], top, errors, label):
+        yield from ends(i, j)
+
+
+def _first(apart: np.ndarray, errors: int, table: int) -> np.ndarray:
+    """Which pairs, whose keys are so many bits apart in each table, are within the budget in this table and in none before it."""
+    return (apart[:, table] <= errors) & ~(apart[:, :table] <= errors).any(1)
+
+
 def _across(cells: DataFrame, bits: int, errors: int, most: float) -> DataFrame:
-    """(u, v): pairs of the sets ``fp`` of cells (t, key, root, fp, keys) with different roots whose keys are within the budget, and all whose keys differ in ``most`` bits or fewer."""
+    """(u, v): the pairs of sets that ``_tiles`` deals out, a row each and table, for tables of few."""
     rows = _dealt(buckets(cells, bits, errors, ("t",)), "root", "fp", "keys", by=F.col("t"))
 
-    def pairs(key: np.ndarray, root: np.ndarray, fp: np.ndarray, keys: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((root, key.view(np.uint64)))
-        key, root, fp, keys = key.view(np.uint64)[order], root[order], fp[order], keys[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.append(start[1:], len(key))
-        several = root[start] != root[end - 1]
-        # A key of one root stands for it; one of several for none, so that it is not passed over.
-        names = np.unique(root, return_inverse=True)[1]
-        label = np.where(several, -1 - np.arange(len(start)), names[start])
-
-        def ends(i: np.ndarray, j: np.ndarray, own: bool = False) -> Iterator[pa.RecordBatch]:
-            while len(i):
-                size = (end[i] - start[i]) * (end[j] - start[j])
-                k = max(1, int(np.searchsorted(np.cumsum(size), SLAB // 8)))
-                n, width = size[:k], (end[j] - start[j])[:k]
-                of = np.repeat(np.arange(len(n)), n)
-                off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                a, b = start[i][of] + off // width[of], start[j][of] + off % width[of]
-                pick = root[a] < root[b] if own else root[a] != root[b]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, *cols in _whole_buckets(batches, bits, errors + 1):
+            key, root, keys, fp = _in_order(cols[0], cols[1], cols[3], cols[2])
+            for a, b in _near(key, root, keys, _fixed(int(slot[0]) % SLOT, bits, errors + 1), errors, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[a], fp[b])), pa.array(np.minimum(fp[a], fp[b]))], names=["u", "v"])
+
+    return map_arrow(rows, run, "u bigint, v bigint")
+
+
+def _tiles(cells: DataFrame, bits: int, errors: int, most: float, block: int = BLOCK, held_most: int = SLAB) -> DataFrame:
+    """(slot, a, b, side, fp): the sets that a tile (slot, a, b) compares, for all pairs of the sets ``fp`` of cells (t, key, root, fp, keys, size)
+    with different roots whose keys are within the budget, and all whose keys differ in ``most`` bits or fewer.
+
+    A bucket's sets are cut into blocks, named by their first set; a tile holds those of two blocks (side 1 and 2), or
+    of one (side 3), that are in a pair. So a bucket gives a row for each set and block at most, not one for each pair.
+    A pair counts in the first table that has it within the budget; cells must hold it there. A row may be there more than once.
+    """
+    rows = _dealt(buckets(cells, bits, errors, ("t",)), "root", "fp", "keys", "size", by=F.col("t"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slot, *cols in _whole_buckets(batches, bits, errors + 1):
+            key, root, keys, fp, size = _in_order(cols[0], cols[1], cols[3], cols[2], cols[4])
+            n = len(fp)
+            full = np.cumsum(np.maximum(size, block // BLOCK_SETS)) // block
+            head = np.flatnonzero(np.concatenate(([True], full[1:] != full[:-1])))
+            of = np.repeat(np.arange(len(head)), np.diff(np.append(head, n)))
+            held = np.zeros(0, np.int64)
+
+            def batch(held: np.ndarray) -> pa.RecordBatch:
+                tile, x = np.divmod(held, n)
+                low, high = np.divmod(tile, len(head))
+                side = np.where(low == high, 3, np.where(of[x] == low, 1, 2)).astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), slot[0])), pa.array(fp[head[low]]), pa.array(fp[head[high]]), pa.array(side), pa.array(fp[x])], names=["slot", "a", "b", "side", "fp"])
+
+            for a, b in _near(key, root, keys, _fixed(int(slot[0]) % SLOT, bits, errors + 1), errors, most):
+                pick = _first(np.bitwise_count((keys[a] ^ keys[b]).view(np.uint64)), errors, int(slot[0]) // SLOT)
                 a, b = a[pick], b[pick]
-                near = np.bitwise_count((keys[a] ^ keys[b]).view(np.uint64)).sum(1, dtype=np.int64) <= most
-                a, b = fp[a[near]], fp[b[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
-                i, j = i[k:], j[k:]
+                tile = np.minimum(of[a], of[b]) * len(head) + np.maximum(of[a], of[b])
+                held = np.unique(np.concatenate((held, tile * n + a, tile * n + b)))
+                if len(held) > held_most:
+                    yield batch(held)
+                    held = held[:0]
+            if len(held):
+                yield batch(held)
+
+    return map_arrow(rows, run, "slot bigint, a bigint, b bigint, side int, fp bigint")
 
-        same = np.flatnonzero(several)
-        yield from ends(same, same, True)
-        for i, j in trie_pairs(key[start], top, errors, label):
-            yield from ends(i, j)
+
+def tile_forest(
+    table: int, side: np.ndarray, root: np.ndarray, keys: np.ndarray, parts: list[np.ndarray], errors: int, most: float, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links between a tile's sets that connect, with their roots, what all its pairs of the similarity connect.
+
+    Pairs are of sides 1 and 2, or any two of side 3: those that count in this table, and whose keys differ in ``most`` bits or fewer.
+    """
+    size = np.array([len(p) for p in parts])
+    start = np.cumsum(size) - size
+    # A shingle's number among the tile's own, so that the sets with one set's shingles are marked places.
+    word, place = np.unique(np.concatenate(parts), return_inverse=True)
+    marked = np.zeros(len(word), bool)
+    first, name = np.unique(root, return_index=True, return_inverse=True)[1:]
+    label = first[name]
+    own, others = side[0] == 3, np.flatnonzero(side != 1)
+    left, right = [], []
+    for i in np.flatnonzero(side != 2):
+        j = others[others > i] if own else others
+        j = j[(np.bitwise_count((keys[j, table] ^ keys[i, table]).view(np.uint64)) <= errors) & (label[j] != label[i])]
+        apart = np.bitwise_count((keys[j] ^ keys[i]).view(np.uint64))
+        j = j[(apart.sum(1, dtype=np.int64) <= most) & _first(apart, errors, table)]
+        if not len(j):
+            continue
+        marked[place[start[i] : start[i] + size[i]]] = True
+        ends = np.cumsum(size[j])
+        at = np.arange(ends[-1]) + np.repeat(start[j] - (ends - size[j]), size[j])
+        both = np.add.reduceat(marked[place[at]], ends - size[j], dtype=np.int64)
+        marked[place[start[i] : start[i] + size[i]]] = False
+        j = j[both * (1 + similarity) >= (size[i] + size[j]) * similarity - 1e-9]
+        j = j[np.unique(label[j], return_index=True)[1]]
+        left.append(np.full(len(j), i))
+        right.append(j)
+        _merge(label, left[-1], j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _tile_links(tiles: DataFrame, sets: DataFrame, errors: int, most: float, similarity: float) -> DataFrame:
+    """(u, v): the links of each tile's forest, for sets (fp, root, keys, parts)."""
+    rows = tiles.join(sets, "fp").select("slot", "a", "b", "side", "fp", "root", "keys", "parts")
+    rows = rows.repartition("slot", "a", "b").sortWithinPartitions("slot", "a", "b", "fp")
+
+    def forest(slot: int, held: list[list]) -> pa.RecordBatch:
+        side, fp, root, keys = (np.concatenate([h[c] for h in held]) for c in range(4))
+        once = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+        sets = [p for h in held for p in h[4]]
+        i, j = tile_forest(slot // SLOT, side[once], root[once], keys[once], [sets[x] for x in once], errors, most, similarity)
+        u, v = fp[once][i], fp[once][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slot, key, root, fp, keys in _whole_buckets(batches, bits, errors + 1):
-            yield from pairs(key, root, fp, keys, _fixed(int(slot[0]) % SLOT, bits, errors + 1))
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = [_numbers(b.column(c)) for c in range(3)]
+            lists = b.column(7)
+            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(zero_copy_only=False)
+            cols = [_numbers(b.column(c)) for c in range(3, 7)]
+            for x, z in _runs(*names):
+                tile = tuple(int(c[x]) for c in names)
+                if held and tile != now:
+                    yield forest(now[0], held)
+                    held = []
+                now = tile
+                # Copies, so that a tile does not hold the batches that it comes from.
+                held.append([*(c[x:z].copy() for c in cols), [flat[at[y] : at[y + 1]].copy() for y in range(x, z)]])
+        if held:
+            yield forest(now[0], held)
 
     return map_arrow(rows, run, "u bigint, v bigint")
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, tables: int, bits: int, errors: int) -> DataFrame:
-    """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys).
+    """(u, v): confirmed links between the sets of ``rows`` (fp, text_hash, keys, size) that connect what all of them connect.
 
     A set's score is how many others share one of its keys: in a large group of near copies the one that all
     others are copies of has the highest. First each set is compared with the three best of its neighbours in the
     buckets of the walk, which joins such a group without its pairs. All pairs that this leaves out whose
-    components still differ are found by a second walk over the sets that have any.
+    components still differ are found by a second walk over the sets that have any, and confirmed tile by tile.
     """
-    sets = cut(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "keys")).alias("x")).select("fp", "x.text_hash", "x.keys"), "sketched-sets")
+    sets = cut(rows.groupBy("fp").agg(F.min(F.struct("text_hash", "keys", "size")).alias("x")).select("fp", "x.text_hash", "x.keys", "x.size"), "sketched-sets")
     cells = sets.select("fp", F.posexplode("keys").alias("t", "key"))
     # Read from a table, the groups have no partitioning of their own to which a hot key's sets would have to come.
     groups = cut(cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared-keys")
@@ -557,11 +685,15 @@ def similar_links(rows: DataFrame, docs: DataFrame, text_col: str, shingle: int,
     roots = components(near).withColumnRenamed("u", "fp")
     # A pair that was not tried is between sets of two neighbours or more, or is one that a set has beyond its first.
     later = best.join(star.select(F.col("u").alias("a"), F.col("v").alias("b")), (F.greatest("u", "v") == F.col("a")) & (F.least("u", "v") == F.col("b")), "left_anti")
+    # So a pair that was not tried is open in each table that has it within the budget, and may be left to the first of them.
     open_ = best.where("degree > 1").select(F.col("u").alias("fp"), "t").union(later.select("u", "t")).union(later.select("v", "t")).distinct()
-    rooted = sets.join(roots, "fp", "left").select("fp", "text_hash", F.coalesce("root", "fp").alias("root"), "keys")
-    of = cut(open_.join(rooted, "fp").select("t", F.col("keys")[F.col("t")].alias("key"), "root", "fp", "keys"), "open-cells")
-    more = _across(of, bits, errors, _most_bits(similarity, tables, bits) * tables).distinct().join(star, ["u", "v"], "left_anti")
-    return near.unionByName(_alike(cut(more, "pairs"), sets, docs, text_col, shingle, similarity))
+    rooted = sets.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "keys", "size")
+    of = cut(open_.join(rooted, "fp").select("t", F.col("keys")[F.col("t")].alias("key"), "root", "fp", "keys", "size"), "open-cells")
+    most = _most_bits(similarity, tables, bits) * tables
+    tiles = cut(_tiles(of, bits, errors, most), "tiles")
+    wanted = cut(sets.join(tiles.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash"), "wanted")
+    whole = rooted.select("fp", "root", "keys").join(_sets(docs, wanted, text_col, shingle), "fp")
+    return near.unionByName(cut(_tile_links(tiles, whole, errors, most, similarity), "tile-links"))
 
 
 def keep_one(

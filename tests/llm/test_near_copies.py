@@ -82,6 +82,71 @@ def test_no_pair_of_the_walk_is_missing(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("block, held", [(S.BLOCK, S.SLAB), (20, 1), (1, 50)])
+def test_each_pair_of_the_walk_meets_in_a_tile(spark, block, held):
+    rows, _ = random_cells(spark, "root")
+    sets = [(a[2], a[3], [a[1], b[1]]) for a, b in zip(rows[:150], rows[150:], strict=True)]
+    df = spark.createDataFrame([(t, keys[t], root, fp, keys, 2) for root, fp, keys in sets for t in range(2)], "t int, key long, root long, fp long, keys array<long>, size long")
+    tiles = {}
+    for x in S._tiles(df, 32, 2, 30, block, held).collect():
+        tiles.setdefault((x.slot, x.a, x.b), set()).add((x.fp, x.side))
+    met = set()
+    for rows in tiles.values():
+        # A set has one side in a tile; a tile within one block has no sides.
+        assert len({fp for fp, _ in rows}) == len(rows) and ({s for _, s in rows} in ({3}, {1, 2}))
+        met |= {(max(u, v), min(u, v)) for u, s in rows for v, t in rows if u != v and s & t in (0, 3)}
+    pairs = {(x.u, x.v) for x in S._across(df, 32, 2, 30).collect()}
+    assert pairs and pairs <= met
+
+
+@pytest.mark.parametrize("sides", [(3,), (1, 2)])
+def test_a_tile_links_what_all_its_pairs_link(sides):
+    r = random.Random(9)
+    for _ in range(40):
+        n = r.randrange(2, 25)
+        side = np.array([r.choice(sides) for _ in range(n - len(sides))] + list(sides))[-n:]
+        root = np.array([r.randrange(n) for _ in range(n)])
+        keys = np.array([[r.randrange(4), r.randrange(4)] for _ in range(n)], np.int64)
+        parts = [np.array(sorted(r.sample(range(8), r.randrange(1, 8))), np.uint64) for _ in range(n)]
+        links = [(i, j) for i in range(n) for j in range(i) if side[i] & side[j] in (0, 3)]
+        # The second table has the pairs that the first has not.
+        links = [(i, j) for i, j in links if (x := [bits_apart(int(a), int(b)) for a, b in zip(keys[i], keys[j], strict=True)])[1] <= 1 < x[0] and sum(x) <= 2]
+        links = [(i, j) for i, j in links if len({*parts[i]} & {*parts[j]}) >= 0.6 * len({*parts[i]} | {*parts[j]})]
+        same = [(i, j) for i in range(n) for j in range(i) if root[i] == root[j]]
+        u, v = S.tile_forest(1, side, root, keys, parts, 1, 2, 0.6)
+        got = list(zip(u.tolist(), v.tolist(), strict=True))
+        assert len(got) < n and {(max(x), min(x)) for x in got} <= {(max(x), min(x)) for x in links}
+        assert components_of(range(n), same + got) == components_of(range(n), same + links)
+
+
+def test_pairs_just_below_the_similarity_never_become_rows(spark, monkeypatch):
+    # Any two of the group share some 0.75, so that most of its 44,850 pairs are found, and refused; four have a copy that is nearer.
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(1500)]
+    rows = []
+    for i in range(300):
+        w = list(words)
+        for p in r.sample(range(1, 299), 22):
+            w[5 * p] = f"x{i}.{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, rows[i][1] + f" and more {i}") for i in range(4)]
+    rows = [(i, t, "en", "s", 1, "k", "f", "w", 1, 2) for i, t in rows]
+    a, b, c = (slow_set(rows[i][1]) for i in (0, 1, 300))
+    assert 0.7 < len(a & b) / len(a | b) < 0.79 < len(a & c) / len(a | c)
+    moved, plain = {}, S.cut
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        moved[tag] = moved.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(S, "cut", counted)
+    kept = sorted(x.doc_id for x in S.keep_one(frame(spark, rows)).collect())
+    assert kept == list(range(300))
+    # A row for each set and bucket at most.
+    assert max(moved.values()) <= S.TABLES * (S.TABLE_ERRORS + 1) * len(rows)
+
+
 def test_best_neighbours(spark):
     rows, df = random_cells(spark, "score")
     got = {}
