@@ -1,5 +1,6 @@
 """The rest of the library without the training-data operations."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -28,6 +29,15 @@ def test_the_rest_works_without_them(tmp_path, gone):
     assert int(n) > 50 and pipeline == "False" and first == str(left) and sql == "True"
 
 
+def test_a_pipeline_elsewhere_on_the_path_is_not_taken(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    (copy / "corpus_pipeline.py").unlink()
+    said = subprocess.run([sys.executable, "-c", ASK], cwd=copy, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split()[1] == "False"
+
+
 def test_nothing_else_imports_the_subpackage():
     for f in ROOT.rglob("*.py"):
         name = f.relative_to(ROOT).as_posix()
