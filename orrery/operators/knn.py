@@ -1,7 +1,9 @@
 """Exact nearest neighbours, by brute force.
 
-Two plans give the same rows; both pass over the base once for each block of queries of bounded size, which is
-broadcast. ``plan="sql"`` joins a block with the base and ranks, a limit that Spark pushes below the shuffle.
+Three plans give the same rows; all pass over the base once for each block of queries of bounded size, which is
+broadcast. ``plan="sql"`` joins a block with the base and ranks, a limit that Spark pushes below the shuffle; it is
+for small tables, as Spark interprets its sums and sorts all pairs. ``plan="direct"`` sums every distance in DOUBLE and
+in component order, as SQL does, and trusts no bound: it is what ``blocks`` is verified by on large ones.
 ``plan="blocks"`` multiplies matrices, a tile of queries and base rows at a time, rescores in DOUBLE and in
 component order every candidate that rounding could leave among the k nearest, and keeps the k nearest of each
 query over all that a task has read; k rows a query and task are ranked globally.
@@ -27,6 +29,8 @@ from orrery.session import map_arrow
 BLOCK_FLOATS, BLOCK_KEPT = 4_000_000, 2_000_000
 #: Base rows of a tile, its distances, and numbers that are rescored at once: 8 MB each.
 ROWS, CELLS, RESCORED = 8192, 2_000_000, 1_000_000
+#: Distances that are summed at once, so that they stay in a core's cache.
+CACHED = 32_768
 #: Components beyond which products are not trusted: floats are taken as doubles, and doubles are rescored one by one.
 LARGE = {np.dtype(np.float32): 1e15, np.dtype(np.float64): 1e150}
 COSINE_MODES = ("assume_normalized", "proper")
@@ -75,7 +79,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", cosine_
 def _knn(q: DataFrame, b: DataFrame, k: int, name: str, plan: str = "blocks") -> DataFrame:
     out = None
     for part in _blocks(q, k):
-        pairs = _pairs(part, b, name) if plan == "sql" else _candidates(b, part, k, name)
+        pairs = _pairs(part, b, name) if plan == "sql" else _candidates(b, part, k, name, ENGINES[plan])
         out = pairs if out is None else out.unionByName(pairs)
     return top_k(out, k)
 
@@ -203,6 +207,86 @@ class Nearest:
         self.id[own[hit]] = name[first].reshape(-1, k)
 
 
+class Direct:
+    """The k nearest of each query, by every distance as SQL sums it. Shares nothing with Nearest that could hide an error of either."""
+
+    def __init__(self, q: np.ndarray, k: int, name: str) -> None:
+        self.q, self.k, self.name = q.astype(np.float64), k, name
+        self.kernel = np.full((len(q), k), np.inf)
+        self.id = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = _size(self.q.T) if name == "COSINE" else None
+
+    def add(self, ids: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> None:
+        """See base rows; ``own`` are the queries that they count for, all of them if None."""
+        own = np.arange(len(self.q)) if own is None else own
+        rows = -(-len(b) // -(-len(b) // ROWS))
+        step = max(1, CACHED // rows)
+        for x in range(0, len(b), rows):
+            names, wide = ids[x : x + rows], np.ascontiguousarray(b[x : x + rows].T, np.float64)
+            for y in range(0, len(own), step):
+                who = own[y : y + step]
+                with np.errstate(all="ignore"):
+                    self._kept(who, names, self._kernels(who, wide))
+            self.settle()
+
+    def _kernels(self, who: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A tile's kernel distances, one component after the other; ``b`` has a component in each row."""
+        q, acc, d = self.q[who], np.zeros((len(who), b.shape[1])), np.empty((len(who), b.shape[1]))
+        for c in range(len(b)):
+            (np.subtract if self.name in ("L2", "L1") else np.multiply)(q[:, c, None], b[c], out=d)
+            if self.name == "L2":
+                np.multiply(d, d, out=d)
+            elif self.name == "L1":
+                np.abs(d, out=d)
+            np.add(acc, d, out=acc)
+        if self.name == "DOT":
+            return np.negative(acc, out=acc)
+        if self.name == "COSINE":
+            size = self.size[who][:, None] * _size(b)
+            return 1 - np.divide(acc, size, out=np.zeros_like(acc), where=size != 0)
+        return acc
+
+    def _kept(self, who: np.ndarray, ids: np.ndarray, kernel: np.ndarray) -> None:
+        keep = np.isfinite(kernel) & (kernel <= self.kernel[who, self.k - 1][:, None])
+        if len(ids) > self.k and np.count_nonzero(keep) > 2 * self.k * len(who):
+            keep &= kernel <= np.partition(np.where(keep, kernel, np.inf), self.k - 1, axis=1)[:, self.k - 1, None]
+        i, j = np.nonzero(keep)
+        self.offer(who[i], ids[j], kernel[i, j])
+
+    def offer(self, who: np.ndarray, ids: np.ndarray, kernel: np.ndarray) -> None:
+        """Take pairs with their finite distances; some are held before they are ranked."""
+        if len(who):
+            self.pending.append((who, ids, kernel))
+        if sum(len(w) for w, _, _ in self.pending) > RESCORED:
+            self.settle()
+
+    def settle(self) -> None:
+        """The k first by (kernel, id) of what each query had and was offered."""
+        if not self.pending:
+            return
+        who, ids, kernel = (np.concatenate(c) for c in zip(*self.pending, strict=True))
+        hit = np.unique(who)
+        who, ids, kernel = np.concatenate((np.repeat(hit, self.k), who)), np.concatenate((self.id[hit].ravel(), ids)), np.concatenate((self.kernel[hit].ravel(), kernel))
+        order = np.lexsort((ids, kernel, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.kernel[who[order], place], self.id[who[order], place] = kernel[order], ids[order]
+        self.pending = []
+
+
+def _size(v: np.ndarray) -> np.ndarray:
+    """Norms of vectors that have a component in each row, summed in component order."""
+    acc = np.zeros(v.shape[1])
+    for c in v:
+        acc += c * c
+    return np.sqrt(acc)
+
+
+#: What finds a task's neighbours, by the plan.
+ENGINES = {"blocks": Nearest, "direct": Direct}
+
+
 def _tame(v: np.ndarray) -> np.ndarray:
     """As doubles, if floats could overflow in a product."""
     top = np.abs(v).max(initial=0)
@@ -216,9 +300,13 @@ def _scores(name: str, q: np.ndarray, b: np.ndarray, norm: np.ndarray, limit: np
     """
     if name == "L1":
         near = np.empty((len(q), len(b)))
-        wide = b.astype(np.float64)
-        for i, v in enumerate(q.astype(np.float64)):
-            near[i] = np.abs(wide - v).sum(1)
+        wide, at = b.astype(np.float64), q.astype(np.float64)
+        rows = max(1, CACHED // q.shape[1])
+        for x in range(0, len(b), rows):
+            part = wide[x : x + rows]
+            apart = np.empty_like(part)
+            for i, v in enumerate(at):
+                np.abs(np.subtract(part, v, out=apart), out=apart).sum(1, out=near[i, x : x + rows])
         return near, near.max(1) * 1e-12, limit
     if q.dtype != b.dtype:
         q, b = q.astype(np.float64), b.astype(np.float64)
@@ -242,7 +330,7 @@ def _scores(name: str, q: np.ndarray, b: np.ndarray, norm: np.ndarray, limit: np
     return score, np.full(len(q), np.inf) if odd else error + np.abs(np.where(np.isfinite(most), most, 0)) * (4 * eps), most
 
 
-def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str) -> DataFrame:
+def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str, engine: type = Nearest) -> DataFrame:
     """(query_id, neighbor_id, kernel, distance): of each task its k nearest to each query; with a label column on both sides, within the label."""
     held = base.sparkSession.sparkContext.broadcast(_collected(queries))
 
@@ -250,7 +338,7 @@ def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str) -> DataF
         qid, q, labels = held.value
         if not len(qid):
             return
-        best = Nearest(q, k, name)
+        best = engine(q, k, name)
         by_label: dict = {}
         for i, x in enumerate(labels if labels is not None else ()):
             by_label.setdefault(x, []).append(i)

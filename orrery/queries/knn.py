@@ -106,7 +106,7 @@ def _parity(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
     out = None
     for metric, mode in (("L2", None), ("DOT", None), ("L1", None), ("COSINE", "proper")):
-        part = verify.summary(verify.knn_compare(knn.knn(b, q, K, metric, mode, "sql"), knn.knn(b, q, K, metric, mode, "blocks"))).withColumn("metric", F.lit(metric))
+        part = verify.summary(verify.knn_compare(knn.knn(b, q, K, metric, mode, "direct"), knn.knn(b, q, K, metric, mode, "blocks"))).withColumn("metric", F.lit(metric))
         out = part if out is None else out.unionByName(part)
     return out
 

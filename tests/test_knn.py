@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import knn, verify
+from orrery.queries import knn as queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -165,3 +166,33 @@ def test_floats_out_of_range_are_taken_as_doubles(spark):
     base = frame(spark, [[1e30, 0], [1e30, 1e25], [3, 4]])
     got = knn.knn(base, frame(spark, [[1e30, 0]]), 3)
     assert triples(got) == triples(knn.knn(base, frame(spark, [[1e30, 0]]), 3, plan="sql"))
+
+
+@pytest.mark.parametrize(("metric", "mode"), METRICS)
+@pytest.mark.parametrize("case", ["random", "ties", "far_from_zero", "zeros", "dimension_one", "odd"])
+def test_direct_plan_agrees_bit_for_bit(spark, monkeypatch, metric, mode, case):
+    monkeypatch.setattr(knn, "ROWS", 37)
+    monkeypatch.setattr(knn, "CACHED", 100)
+    monkeypatch.setattr(knn, "RESCORED", 150)
+    r = np.random.default_rng(8)
+    b = {"random": r.normal(size=(300, 8)), "ties": r.integers(0, 2, (300, 5)), "far_from_zero": 1e6 + r.normal(size=(200, 6)), "zeros": np.zeros((40, 3)), "dimension_one": r.integers(-3, 4, (80, 1)), "odd": [[math.nan, 0], [0, math.nan], *r.normal(size=(30, 2))]}[case]
+    base, queries = frame(spark, b).repartition(3), frame(spark, b[5:12], 1000)
+    x, y = (knn.knn(base, queries, 6, metric, mode, p).orderBy("query_id", "rank").collect() for p in ("sql", "direct"))
+    assert x == y and len(x) == 42
+
+
+def test_the_direct_engine_differs_where_the_tiles_are_wrong(spark, monkeypatch):
+    b = np.random.default_rng(9).normal(size=(200, 8))
+    right = knn._exact
+    monkeypatch.setattr(knn, "_exact", lambda name, q, v: right(name, q, v) * (1 + (v[:, 0] > 0)))
+    tiles, direct = knn.Nearest(b[:5], 4, "L2"), knn.Direct(b[:5], 4, "L2")
+    for e in (tiles, direct):
+        e.add(np.arange(200), b)
+    full = ((b[:5, None] - b[None]) ** 2).sum(2)
+    assert (tiles.kernel != direct.kernel).any() and np.allclose(direct.kernel, np.sort(full, 1)[:, :4])
+    assert (direct.id == np.argsort(full, 1)[:, :4]).all()
+
+
+def test_engine_parity_joins_no_pairs(spark, sf):
+    plan = queries.QUERIES["engine_parity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner\n" not in plan and plan.count("MapInArrow") == 8
