@@ -15,9 +15,11 @@ rows there are fewer neighbours; the array form is padded with -1 and infinity.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,10 @@ def top_k(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def _pairs(q: DataFrame, b: DataFrame, metric: str) -> DataFrame:
-    """Every base row beside every query of a block."""
+    """Every base row beside every query of a block; with a label column on both sides, within the label."""
     kernel, published = vec.distance(metric, F.col("q_vec"), F.col("b_vec"))
-    return b.crossJoin(F.broadcast(q)).select("query_id", "neighbor_id", kernel.alias("kernel"), published.alias("distance"))
+    beside = b.join(F.broadcast(q), "label") if "label" in q.columns else b.crossJoin(F.broadcast(q))
+    return beside.select("query_id", "neighbor_id", kernel.alias("kernel"), published.alias("distance"))
 
 
 def _sides(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +92,12 @@ def _blocks(q: DataFrame, k: int) -> list[DataFrame]:
     n, dim = q.agg(F.count("q_vec"), F.max(F.size("q_vec"))).first()
     blocks = max(1, -(-n * (dim or 1) // BLOCK_FLOATS), -(-n * k // BLOCK_KEPT))
     own = q.where(F.col("q_vec").isNotNull())
-    return [own] if blocks == 1 else [own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    return [own] if blocks == 1 else [own.where(_block("query_id", blocks) == i) for i in range(blocks)]
+
+
+def _block(col: str, blocks: int) -> Column:
+    """The block of a query's id."""
+    return F.pmod(F.xxhash64(F.col(col).cast("bigint")), F.lit(blocks))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -358,15 +366,24 @@ def _candidates(base: DataFrame, queries: DataFrame, k: int, name: str, engine:
                     of.setdefault(x, []).append(j)
             for x, j in of.items():
                 best.add(ids[j], b[j], by_label[x])
-        i, r = np.nonzero(np.isfinite(best.kernel))
-        for a in range(0, len(i), 100_000):
-            kernel = best.kernel[i[a : a + 100_000], r[a : a + 100_000]]
-            published = -kernel if name == "DOT" else 1 - kernel if name == "COSINE" else kernel
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qid[i[a : a + 100_000]]), pa.array(best.id[i[a : a + 100_000], r[a : a + 100_000]]), pa.array(kernel), pa.array(published)], names=["query_id", "neighbor_id", "kernel", "distance"]
-            )
+        yield from _found(best, qid, name)
+
+    return map_arrow(base, run, KEPT)
+
+
+#: What a task hands on.
+KEPT = "query_id bigint, neighbor_id bigint, kernel double, distance double"
 
-    return map_arrow(base, run, "query_id bigint, neighbor_id bigint, kernel double, distance double")
+
+def _found(best: Nearest | Direct, qid: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """A task's neighbours as rows."""
+    i, r = np.nonzero(np.isfinite(best.kernel))
+    for a in range(0, len(i), 100_000):
+        kernel = best.kernel[i[a : a + 100_000], r[a : a + 100_000]]
+        published = -kernel if name == "DOT" else 1 - kernel if name == "COSINE" else kernel
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qid[i[a : a + 100_000]]), pa.array(best.id[i[a : a + 100_000], r[a : a + 100_000]]), pa.array(kernel), pa.array(published)], names=["query_id", "neighbor_id", "kernel", "distance"]
+        )
 
 
 def knn_arrays(neighbors: DataFrame, k: int) -> DataFrame:
@@ -441,24 +458,69 @@ def knn_distances(ground: DataFrame, base: DataFrame, queries: DataFrame, metric
     return rows.select("query_id", "rank", "neighbor_id", d.alias("distance"))
 
 
-def prefiltered_knn(base: DataFrame, queries: DataFrame, passing: DataFrame, k: int, metric: str = "L2", cosine_mode: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def prefiltered_knn(
+    base: DataFrame, queries: DataFrame, passing: DataFrame, k: int, metric: str = "L2", cosine_mode: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding", preds: DataFrame | None = None, plan: str = "blocks"
+) -> DataFrame:
     """The k nearest among each query's passing rows; ``passing`` is (query_id, ordinal), ordinals without a base row are skipped.
 
-    Vectors are joined to the pairs that pass, so the cost is that of the pairs, not of all of them.
+    Where queries share filters, ``passing`` is (pred_id, ordinal) and ``preds`` has one (query_id, pred_id) for each query. Pairs are
+    then made in tiles alone, by the plan. Pairs that are given as such are moved as two ids and meet the queries, which are broadcast,
+    in the base row's task; either way a task keeps k rows a query.
     """
+    name = resolved(metric, cosine_mode)
     q, b = _sides(base, queries, id_col, vec_col)
-    rows = passing.select("query_id", F.col("ordinal").alias("neighbor_id")).distinct().join(b, "neighbor_id").join(q, "query_id")
-    kernel, published = vec.distance(resolved(metric, cosine_mode), F.col("q_vec"), F.col("b_vec"))
-    return top_k(rows.select("query_id", "neighbor_id", kernel.alias("kernel"), published.alias("distance")), k)
+    by = F.col("query_id").cast("bigint") if preds is None else F.col("pred_id")
+    rows = passing.select(by.alias("label"), F.col("ordinal").alias("neighbor_id")).distinct().join(b, "neighbor_id").select("neighbor_id", "b_vec", "label")
+    if preds is not None:
+        return _knn(q.join(preds.select("query_id", F.col("pred_id").alias("label")), "query_id"), rows, k, name, plan)
+    blocks = _blocks(q, k)
+    parts = [_paired(rows if len(blocks) == 1 else rows.where(_block("label", len(blocks)) == i), part, k, name) for i, part in enumerate(blocks)]
+    return top_k(reduce(DataFrame.unionByName, parts), k)
+
+
+def _paired(rows: DataFrame, queries: DataFrame, k: int, name: str) -> DataFrame:
+    """(query_id, neighbor_id, kernel, distance): of each task the k nearest to each query, among the pairs of a base row and a query's id."""
+    held = rows.sparkSession.sparkContext.broadcast(_collected(queries))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, _ = held.value
+        if not len(qid):
+            return
+        best, order = Direct(q, k, name), np.argsort(qid)
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch.column(1).is_valid(), pc.is_in(batch.column(2), pa.array(qid))))
+            if not batch.num_rows:
+                continue
+            ids, b = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            who = order[np.searchsorted(qid, batch.column(2).to_numpy(zero_copy_only=False), sorter=order)]
+            with np.errstate(all="ignore"):
+                kernel = _scored(name, best.q, b, who, np.arange(len(b)))
+            ok = np.isfinite(kernel) & (kernel <= best.kernel[who, k - 1])
+            best.offer(who[ok], ids[ok], kernel[ok])
+        best.settle()
+        yield from _found(best, qid, name)
 
+    return map_arrow(rows, run, KEPT)
 
-def postfiltered_knn(ground: DataFrame, passing: DataFrame) -> DataFrame:
-    """(query_id, neighbor_id, rank): those of the known neighbours that pass, ranked anew in the same order."""
-    kept = ground.join(passing.select("query_id", F.col("ordinal").alias("neighbor_id")), ["query_id", "neighbor_id"], "left_semi")
+
+def postfiltered_knn(ground: DataFrame, passing: DataFrame, preds: DataFrame | None = None) -> DataFrame:
+    """(query_id, neighbor_id, rank): those of the known neighbours that pass, ranked anew in the same order.
+
+    ``passing`` and ``preds`` are as in prefiltered_knn().
+    """
+    kept = passed(ground, passing, preds)
     w = Window.partitionBy("query_id").orderBy("rank")
     return kept.select("query_id", "neighbor_id", (F.row_number().over(w) - 1).cast("int").alias("rank"))
 
 
+def passed(ground: DataFrame, passing: DataFrame, preds: DataFrame | None = None) -> DataFrame:
+    """The rows of ``ground`` whose neighbour passes its query's filter."""
+    by = "query_id" if preds is None else "pred_id"
+    rows = passing.select(by, F.col("ordinal").alias("neighbor_id"))
+    own = ground if preds is None else ground.join(preds.select("query_id", "pred_id"), "query_id")
+    return own.join(rows, [by, "neighbor_id"], "left_semi").select(*ground.columns)
+
+
 def partition_profiles(base: DataFrame, label_col: str = "label", id_col: str = "vec_id", least: int = 1, most: int = 50) -> DataFrame:
     """(label, ordinal, id): each label's own ordinals from 0; labels with fewer than ``least`` rows are left out, more than ``most`` labels are an error."""
     sizes = base.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

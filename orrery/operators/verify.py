@@ -45,10 +45,11 @@ def explain_knn(ground: DataFrame, recomputed: DataFrame, query_id: int) -> Data
     return g.join(r, "rank", "full").withColumn("same", F.col("neighbor_id").eqNullSafe(F.col("recomputed_id")))
 
 
-def explain_filtered_knn(ground: DataFrame, filtered: DataFrame, passing: DataFrame, n_base: int, k: int) -> DataFrame:
+def explain_filtered_knn(ground: DataFrame, filtered: DataFrame, passing: DataFrame, n_base: int, k: int, preds: DataFrame | None = None) -> DataFrame:
     """(query_id, selectivity, shared, recall, mean_rank_shift, fresh) of filtered neighbours against unfiltered ones.
 
-    The shift is that of shared neighbours; fresh ones are in the filtered result alone.
+    The shift is that of shared neighbours; fresh ones are in the filtered result alone. ``passing`` is (query_id, ordinal),
+    or (pred_id, ordinal) where ``preds`` has each query's (query_id, pred_id).
     """
     g = ground.select("query_id", "neighbor_id", F.col("rank").alias("g_rank"))
     f = filtered.select("query_id", "neighbor_id", F.col("rank").alias("f_rank"))
@@ -59,7 +60,9 @@ def explain_filtered_knn(ground: DataFrame, filtered: DataFrame, passing: DataFr
         F.avg(F.when(shared, F.abs(F.col("f_rank") - F.col("g_rank")))).alias("mean_rank_shift"),
         F.count_if(F.col("g_rank").isNull()).alias("fresh"),
     )
-    sel = passing.groupBy("query_id").agg((F.count(F.lit(1)) / n_base).alias("selectivity"))
+    by = "query_id" if preds is None else "pred_id"
+    sel = passing.groupBy(by).agg((F.count(F.lit(1)) / n_base).alias("selectivity"))
+    sel = sel if preds is None else preds.select("query_id", "pred_id").join(sel, "pred_id")
     out = per.join(sel, "query_id", "left")
     return out.select("query_id", F.coalesce("selectivity", F.lit(0.0)).alias("selectivity"), "shared", (F.col("shared") / k).alias("recall"), "mean_rank_shift", "fresh")
 

@@ -21,7 +21,13 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return e, e.where("vec_id % 20 = 0")
 
 
-def passing(spark: SparkSession, sf: str) -> DataFrame:
+def passing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(pred_id, ordinal), the base rows that have each label, and (query_id, pred_id), the label that a query asks for: two tables of rows, not of pairs."""
+    b, q = sides(spark, sf)
+    return b.select(F.col("label").alias("pred_id"), F.col("vec_id").alias("ordinal")), q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("pred_id"))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, ordinal): base rows that share the query's label."""
     b, q = sides(spark, sf)
     return q.select(F.col("vec_id").alias("query_id"), "label").join(b.select(F.col("vec_id").alias("ordinal"), "label"), "label").drop("label")
@@ -52,12 +58,12 @@ def _ties(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pre(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(knn.prefiltered_knn(b, q, passing(spark, sf), K))
+    return rounded(knn.prefiltered_knn(b, q, pairs(spark, sf), K))
 
 
 def _post(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return knn.postfiltered_knn(knn.knn(b, q, 50), passing(spark, sf))
+    return knn.postfiltered_knn(knn.knn(b, q, 50), *passing(spark, sf))
 
 
 def _partitioned(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,14 +98,15 @@ def _verify(spark: SparkSession, sf: str) -> DataFrame:
 def _verify_pre(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of the pairs that pass beside those that the tiles find within a label."""
     b, q = sides(spark, sf)
-    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, passing(spark, sf), K), knn.partitioned_knn(b, q, K)))
+    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, pairs(spark, sf), K), knn.partitioned_knn(b, q, K)))
 
 
 def _verify_post(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by the tiles and filtered by tables, beside those that the direct sums find and whose labels are equal."""
     b, q = sides(spark, sf)
-    ground, rows = knn.knn(b, q, 50), passing(spark, sf)
-    direct = knn.knn(b, q, 50, plan="sql").join(rows.withColumnRenamed("ordinal", "neighbor_id"), ["query_id", "neighbor_id"])
-    return verify.summary(verify.knn_compare(direct, knn.postfiltered_knn(ground, rows)))
+    direct = knn.knn(b, q, 50, plan="direct").join(q.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    direct = direct.join(b.select(F.col("vec_id").alias("neighbor_id"), "label"), ["neighbor_id", "label"])
+    return verify.summary(verify.knn_compare(direct, knn.postfiltered_knn(knn.knn(b, q, 50), *passing(spark, sf))))
 
 
 def _parity(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +125,7 @@ def _explain(spark: SparkSession, sf: str) -> DataFrame:
 
 def _explain_filtered(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    rows = passing(spark, sf)
+    rows = pairs(spark, sf)
     out = verify.explain_filtered_knn(knn.knn(b, q, 50), knn.prefiltered_knn(b, q, rows, 50), rows, b.count(), 50)
     return rounded(out, "selectivity", "recall", "mean_rank_shift")
 

@@ -196,3 +196,62 @@ def test_the_direct_engine_differs_where_the_tiles_are_wrong(spark, monkeypatch)
 def test_engine_parity_joins_no_pairs(spark, sf):
     plan = queries.QUERIES["engine_parity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner\n" not in plan and plan.count("MapInArrow") == 8
+
+
+@pytest.mark.parametrize(("metric", "mode"), METRICS)
+@pytest.mark.parametrize("plan", ["blocks", "direct", "sql"])
+def test_shared_filters_give_the_same_as_pairs(spark, metric, mode, plan):
+    r = np.random.default_rng(10)
+    v = r.normal(size=(90, 5))
+    v[30:40] = v[20:30]  # ties
+    v[3] = math.nan
+    b, q = frame(spark, v).repartition(3), frame(spark, v[5:17] + 0.5, 1000)
+    rows = spark.createDataFrame([(p, o) for p in range(4) for o in (*range(p, 90, p + 2), *range(p, 90, p + 2), 999)], "pred_id int, ordinal long")
+    preds = spark.createDataFrame([(1000 + i, None if i == 5 else i % 6) for i in range(12)], "query_id long, pred_id int")
+    pairs = rows.join(preds, "pred_id").select("query_id", "ordinal")
+    # A similarity below a half is a last bit off where it is published as 1 less its distance.
+    got, alike = ([(*x[:3], round(x[3], 12)) for x in df.orderBy("query_id", "rank").collect()] for df in (knn.prefiltered_knn(b, q, rows, 4, metric, mode, preds=preds, plan=plan), knn.prefiltered_knn(b, q, pairs, 4, metric, mode)))
+    assert got == alike
+    near = {(x.query_id, x.neighbor_id): x for x in knn.knn(b, q, 90, metric, mode, "sql").collect()}
+    some = {}
+    for x in pairs.distinct().collect():
+        if (x.query_id, x.ordinal) in near:
+            some.setdefault(x.query_id, []).append(near[x.query_id, x.ordinal])
+    want = [(i, x.neighbor_id, r, round(x.distance, 12)) for i in sorted(some) for r, x in enumerate(sorted(some[i], key=lambda x: x.rank)[:4])]
+    assert got == want and len(want) == 32
+    ground = knn.knn(b, q, 30, metric, mode)
+    assert triples(knn.postfiltered_knn(ground, rows, preds)) == triples(knn.postfiltered_knn(ground, pairs))
+    explained = [sorted(map(tuple, verify.explain_filtered_knn(ground, knn.prefiltered_knn(b, q, pairs, 4), p, 90, 4, *more).collect()), key=str) for p, more in ((rows.distinct(), (preds,)), (pairs.distinct(), ()))]
+    assert explained[0] == explained[1]
+
+
+def test_pairs_in_many_blocks_of_queries(spark, monkeypatch):
+    r = np.random.default_rng(11).normal(size=(60, 3))
+    b, q = frame(spark, r), frame(spark, r[:9])
+    pairs = spark.createDataFrame([(i, o) for i in range(9) for o in range(i, 60, 2)], "query_id int, ordinal long")
+    want = triples(knn.prefiltered_knn(b, q, pairs, 4))
+    monkeypatch.setattr(knn, "BLOCK_FLOATS", 6)
+    monkeypatch.setattr(knn, "RESCORED", 12)
+    assert triples(knn.prefiltered_knn(b, q, pairs, 4)) == want and len(want) == 36
+
+
+@pytest.mark.parametrize("name", ["postfiltered_knn", "verify_postfiltered"])
+def test_filters_of_a_label_make_no_pairs(spark, name, tmp_path):
+    # One label: the pairs that pass are all pairs of a query and a row.
+    r = np.random.default_rng(12).normal(size=(1200, 2))
+    frame(spark, r).withColumn("label", F.lit(1)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    df.collect()
+    rows, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        found = p.metrics().get("numOutputRows")
+        if found.isDefined():
+            rows.append(found.get().value())
+    assert 0 < max(rows) < 20_000
