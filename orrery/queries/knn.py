@@ -58,7 +58,8 @@ def _ties(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pre(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    return rounded(knn.prefiltered_knn(b, q, pairs(spark, sf), K))
+    rows, preds = passing(spark, sf)
+    return rounded(knn.prefiltered_knn(b, q, rows, K, preds=preds))
 
 
 def _post(spark: SparkSession, sf: str) -> DataFrame:
