@@ -126,8 +126,8 @@ def _explain(spark: SparkSession, sf: str) -> DataFrame:
 
 def _explain_filtered(spark: SparkSession, sf: str) -> DataFrame:
     b, q = sides(spark, sf)
-    rows = pairs(spark, sf)
-    out = verify.explain_filtered_knn(knn.knn(b, q, 50), knn.prefiltered_knn(b, q, rows, 50), rows, b.count(), 50)
+    rows, preds = passing(spark, sf)
+    out = verify.explain_filtered_knn(knn.knn(b, q, 50), knn.prefiltered_knn(b, q, rows, 50, preds=preds), rows, b.count(), 50, preds)
     return rounded(out, "selectivity", "recall", "mean_rank_shift")
 
 
