@@ -27,12 +27,6 @@ def passing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return b.select(F.col("label").alias("pred_id"), F.col("vec_id").alias("ordinal")), q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("pred_id"))
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, ordinal): base rows that share the query's label."""
-    b, q = sides(spark, sf)
-    return q.select(F.col("vec_id").alias("query_id"), "label").join(b.select(F.col("vec_id").alias("ordinal"), "label"), "label").drop("label")
-
-
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols or ("distance",)})
 
@@ -97,9 +91,10 @@ def _verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verify_pre(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours of the pairs that pass beside those that the tiles find within a label."""
+    """Neighbours among the rows that pass, by direct sums of every pair, beside those that the tiles find within a label."""
     b, q = sides(spark, sf)
-    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, pairs(spark, sf), K), knn.partitioned_knn(b, q, K)))
+    rows, preds = passing(spark, sf)
+    return verify.summary(verify.knn_compare(knn.prefiltered_knn(b, q, rows, K, preds=preds, plan="direct"), knn.partitioned_knn(b, q, K)))
 
 
 def _verify_post(spark: SparkSession, sf: str) -> DataFrame:

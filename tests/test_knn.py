@@ -235,7 +235,7 @@ def test_pairs_in_many_blocks_of_queries(spark, monkeypatch):
     assert triples(knn.prefiltered_knn(b, q, pairs, 4)) == want and len(want) == 36
 
 
-@pytest.mark.parametrize("name", ["prefiltered_knn", "postfiltered_knn", "explain_filtered_knn", "verify_postfiltered"])
+@pytest.mark.parametrize("name", ["prefiltered_knn", "postfiltered_knn", "explain_filtered_knn", "verify_prefiltered", "verify_postfiltered"])
 def test_filters_of_a_label_make_no_pairs(spark, name, tmp_path):
     # One label: the pairs that pass are all pairs of a query and a row.
     r = np.random.default_rng(12).normal(size=(1200, 2))
