@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,58 +27,72 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(_FLOAT), c.try_cast("double"))
 
 
+def _has(c: Column, *any_of: str) -> Column:
+    return reduce(or_, [c.contains(x) for x in any_of])
+
+
+def _only(gate: Column, test: Column) -> Column:
+    """A dear test behind a cheap one, which all that passes it has passed.
+
+    Not by AND: what a plan has twice on the right of an AND is computed for every row before.
+    """
+    return F.when(gate, test).otherwise(F.lit(False))
+
+
 def _octets(c: Column) -> Column:
-    return c.rlike(r"^([+]?[0-9]+[.]){3}[+]?[0-9]+$") & F.forall(F.split(c, "[.]"), lambda p: F.coalesce(p.try_cast("bigint") <= 255, F.lit(False)))
+    dotted = _only(_has(c, "."), c.rlike(r"^([+]?[0-9]+[.]){3}[+]?[0-9]+$"))
+    return _only(dotted, F.forall(F.split(c, "[.]"), lambda p: F.coalesce(p.try_cast("bigint") <= 255, F.lit(False))))
 
 
 def _ipv6(c: Column) -> Column:
     """Eight groups of up to four hex digits, one run of them replaced by ::, the last two perhaps as an IPv4 address."""
     v4 = F.regexp_extract(c, r":([0-9]+(?:[.][0-9]+){3})$", 1)
-    s = F.when(v4 == "", c).when(_octets(v4), F.regexp_replace(c, r"[0-9]+([.][0-9]+){3}$", "0:0")).otherwise(F.lit("x"))
+    s = F.when(~_has(c, "."), c).when(v4 == "", c).when(_octets(v4), F.regexp_replace(c, r"[0-9]+([.][0-9]+){3}$", "0:0")).otherwise(F.lit("x"))
     groups = F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
     shape = s.rlike(r"^([0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*)?(::([0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*)?)?$") & s.contains(":")
-    return shape & F.when(s.contains("::"), groups <= 7).otherwise(groups == 8)
+    plain = _only(_has(c, ":"), ~c.rlike(r"[^0-9a-fA-F:.\r\n\x{85}\x{2028}\x{2029}]"))
+    return _only(plain, shape & F.when(s.contains("::"), groups <= 7).otherwise(groups == 8))
 
 
 def _phone(c: Column) -> Column:
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
-    return digits.between(7, 15) & c.rlike("[+(-]") & ~c.rlike("[A-Za-z]")
+    return _only(_only(_has(c, "+", "(", "-"), ~c.rlike("[A-Za-z]")), digits.isin(*range(7, 16)))
 
 
 def _geocode(c: Column) -> Column:
     comma = F.instr(c, ",")
     lat, lng = _number(F.trim(F.substring_index(c, ",", 1))), _number(F.trim(F.substr(c, comma + 1)))
-    return (comma > 0) & lat.between(-90, 90) & lng.between(-180, 180)
+    return _only(_has(c, ","), lat.between(-90, 90) & lng.between(-180, 180))
 
 
 def _composite(c: Column) -> Column:
     body = F.regexp_extract(c, r"^[A-Za-z]{2,}[_-]([A-Za-z0-9]+)$", 1)
-    return (body != "") & (F.length(F.regexp_replace(body, "[^0-9]", "")) * 2 >= F.length(body))
+    return _only(_has(c, "_", "-"), (body != "") & (F.length(F.regexp_replace(body, "[^0-9]", "")) * 2 >= F.length(body)))
 
 
 def is_labelset(c: Column) -> Column:
     """At least two chunks between commas, each of one to three words."""
-    return c.rlike(r"^\s*[^\s,]+(\s+[^\s,]+){0,2}\s*(,\s*[^\s,]+(\s+[^\s,]+){0,2}\s*)+$")
+    return _only(_has(c, ","), c.rlike(r"^\s*[^\s,]+(\s+[^\s,]+){0,2}\s*(,\s*[^\s,]+(\s+[^\s,]+){0,2}\s*)+$"))
 
 
 #: Text probes in the suite's order; of equal rates the later one wins.
 TEXT_PROBES: dict[str, Callable[[Column], Column]] = {
-    "integer": lambda c: c.rlike("^[+-]?[0-9]+$") & c.try_cast("bigint").isNotNull(),
-    "decimal": lambda c: c.contains(".") & ~c.rlike("[eE]") & c.rlike(_FLOAT),
-    "float": lambda c: c.rlike("[eE]") & c.rlike(_FLOAT),
+    "integer": lambda c: _only(c.rlike("^[+-]?[0-9]+$"), c.try_cast("bigint").isNotNull()),
+    "decimal": lambda c: _only(_has(c, ".") & ~_has(c, "e", "E"), c.rlike(_FLOAT)),
+    "float": lambda c: _only(_has(c, "e", "E"), c.rlike(_FLOAT)),
     "boolean": lambda c: F.lower(c).isin("true", "false", "t", "f", "yes", "no", "y", "n", "1", "0"),
-    "uuid": lambda c: c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
-    "iso_date": lambda c: c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    "uuid": lambda c: _only(_has(c, "-"), c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
+    "iso_date": lambda c: _only(_has(c, "-"), c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
     "iso_datetime": lambda c: (F.octet_length(c) >= 19) & c.rlike("^.{4}-.{2}-.{2}[T ].{2}:.{2}:.{2}"),
-    "email": lambda c: F.length(c).between(3, 254) & c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*[.][A-Za-z0-9.-]*[A-Za-z0-9-]$"),
+    "email": lambda c: _only(_has(c, "@"), F.length(c).between(3, 254) & c.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*[.][A-Za-z0-9.-]*[A-Za-z0-9-]$")),
     "url": lambda c: (F.octet_length(c) >= 8) & F.lower(c).rlike(r"^(http|https|s3|file)://.") ,
     "ipv4": _octets,
     "ipv6": _ipv6,
     "phone": _phone,
     "geocode": _geocode,
-    "currency": lambda c: c.rlike("^[$€£¥]") & _number(F.replace(F.trim(F.substr(c, F.lit(2))), F.lit(","), F.lit(""))).isNotNull(),
+    "currency": lambda c: _only(c.rlike("^[$€£¥]"), _number(F.replace(F.trim(F.substr(c, F.lit(2))), F.lit(","), F.lit(""))).isNotNull()),
     "hex": lambda c: c.rlike("^(0[xX])?[0-9a-fA-F]{8,}$"),
-    "json": lambda c: c.rlike(r"^[{\[]") & F.try_parse_json(c).isNotNull(),
+    "json": lambda c: _only(c.rlike(r"^[{\[]"), F.try_parse_json(c).isNotNull()),
     "composite_id": _composite,
     "labelset": is_labelset,
 }
@@ -112,8 +128,9 @@ def encoding(kind: T.DataType) -> str:
 def probe_rates(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, probe, position, rate): the share of non-null values that each probe of a field accepts.
 
-    Fields of one kind are stacked, so that the plan has a suite's probes once and not once per field;
-    each task hands on one row of sums per field.
+    Fields of one kind are stacked, so that the plan has a suite's probes once and not once per field. Values are
+    counted by field and by which probes accept them, so each probe is a column of its own, compiled on its own, and
+    a task hands on a row for each set of probes that occurs.
     """
     out = df.sparkSession.createDataFrame([], "field string, probe string, position int, rate double")
     text = [f for f in fields if encoding(df.schema[f].dataType) == "Textual"]
@@ -123,8 +140,11 @@ def probe_rates(df: DataFrame, fields: list[str]) -> DataFrame:
             continue
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("v")) for f in names])
         rows = df.select(F.explode(pairs).alias("p")).select("p.field", "p.v")
-        tests = {k: F.avg(F.when(F.col("v").isNotNull(), F.coalesce(t(F.col("v")), F.lit(False)).cast("double"))) for k, t in suite.items()}
-        rates = rows.groupBy("field").agg(*[r.alias(k) for k, r in tests.items()])
+        there = F.col("v").isNotNull()
+        told = rows.select("field", there.alias("_there"), *[F.coalesce(t(F.col("v")), F.lit(False)).alias(k) for k, t in suite.items()])
+        sets = told.groupBy("field", "_there", *suite).agg(F.count(F.lit(1)).alias("_n"))
+        of = F.sum(F.when(F.col("_there"), F.col("_n")))
+        rates = sets.groupBy("field").agg(*[(F.sum(F.when(F.col(k), F.col("_n")).otherwise(0)) / of).alias(k) for k in suite])
         found = F.array(*[F.struct(F.lit(k).alias("probe"), F.lit(i).alias("position"), F.col(k).alias("rate")) for i, k in enumerate(suite)])
         out = out.unionByName(rates.select("field", F.explode(found).alias("r")).select("field", "r.probe", "r.position", "r.rate"))
     return out

@@ -312,3 +312,42 @@ def test_generated_vectors(spark):
     m = synth.generate_metadata(spark, 2000, {"a": (1, 6)}, 2).agg(F.min("a"), F.max("a"), F.count_distinct("a")).first()
     assert tuple(m) == (1, 6, 6)
     assert synth.sketch_vectors(spark, 10, 6).count() == 10 and synth.simple_predicates(spark, 9, 0, 3).count() == 9
+
+
+def test_dear_probes_run_only_behind_cheap_ones(spark, monkeypatch):
+    # Each costs microseconds a value where it is computed; of these values no one passes what stands before it.
+    df = spark.createDataFrame([("plain words",), ("12",), (None,)], "t string")
+    dear = F.raise_error
+    monkeypatch.setattr(survey.F, "regexp_replace", lambda c, *_: dear(c).cast("string"))
+    monkeypatch.setattr(survey.F, "regexp_extract", lambda c, *_: dear(c).cast("string"))
+    monkeypatch.setattr(survey.F, "split", lambda c, *_: F.array(dear(c).cast("string")))
+    assert {r.probe for r in survey.probe_rates(df, ["t"]).where("rate > 0").collect()} == {"integer"}
+
+
+PROBED = {
+    "ipv6": (["::", "::1", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "1:2:3:4:5:6:10.0.0.1", "fe80::1\n"], ["1:2", "12:30", "::1::2", "::ffff:10.0.0.256", "1:2:3:4:5:6:7:8:9", "g::1", "10.0.0.1"]),
+    "ipv4": (["10.0.0.1", "+1.2.3.4"], ["10.0.0.256", "1.2.3", "1.2.3.4.5", "1234"]),
+    "phone": (["+1 555 1234", "(030) 123-4567", "2024-01-02", "+123456789012345"], ["5551234", "+1 555 12", "+1234567890123456", "+1 555 1234x"]),
+    "composite_id": (["ORD-12", "ab_1x"], ["ORD12", "O-12", "ORD-abc", "ORD-1abc"]),
+    "geocode": (["1, 2", "-90,180"], ["91, 2", "1 2", ",", "1,"]),
+    "labelset": (["a,b", "red, one two three"], ["a", "a,", "one two three four, b"]),
+    "email": (["a@b.c"], ["a@b", "a.b.c"]),
+    "decimal": (["1.5", ".5", "1."], ["1", "1.5e3", "1.5.2", "."]),
+    "float": (["1e3", "1.5E-2"], ["1.5", "e", "1e"]),
+    "iso_date": (["2024-01-02"], ["2024-1-2", "20240102"]),
+}
+
+
+@pytest.mark.parametrize("probe", sorted(PROBED))
+def test_probe(spark, probe):
+    for values, rate in zip(PROBED[probe], (1.0, 0.0), strict=True):
+        for v in values:
+            df = spark.createDataFrame([(v,), (None,)], "t string")
+            assert survey.probe_rates(df, ["t"]).where(F.col("probe") == probe).first().rate == rate, v
+
+
+def test_rates_of_a_field_without_values(spark):
+    df = spark.createDataFrame([(None, "1", 5), (None, None, None), (None, "x", 7)], "a string, b string, c long")
+    got = {(r.field, r.probe): r.rate for r in survey.probe_rates(df, ["a", "b", "c"]).collect()}
+    assert len(got) == 2 * len(survey.TEXT_PROBES) + len(survey.NUMBER_PROBES)
+    assert {v for (f, _), v in got.items() if f == "a"} == {None} and got["b", "integer"] == 0.5 and got["b", "json"] == 0.0 and got["c", "epoch_seconds"] == 0.0
