@@ -351,3 +351,11 @@ def test_rates_of_a_field_without_values(spark):
     got = {(r.field, r.probe): r.rate for r in survey.probe_rates(df, ["a", "b", "c"]).collect()}
     assert len(got) == 2 * len(survey.TEXT_PROBES) + len(survey.NUMBER_PROBES)
     assert {v for (f, _), v in got.items() if f == "a"} == {None} and got["b", "integer"] == 0.5 and got["b", "json"] == 0.0 and got["c", "epoch_seconds"] == 0.0
+
+
+def test_types_come_from_counts_of_sets_of_probes(spark, sf):
+    # One row of a task for each field and set of probes, and no average for each value and probe.
+    from orrery.queries.survey import QUERIES
+
+    plan = QUERIES["semantic_types"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(" not in plan and plan.count("count(1)") >= 1
